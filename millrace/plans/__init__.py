@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.plans.registry import Query
 
-THEMES = ("sales",)
+THEMES = ("sales", "joins", "aggregates", "windows")
 
 
 def all_queries() -> list[Query]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.money import money, net_price
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
@@ -13,7 +14,8 @@ registry = Registry()
 
 @registry.query("""
     SELECT r_name, count(*) AS n_lines,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))
+                AS DOUBLE) AS revenue
     FROM lineitem
     JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey
@@ -29,7 +31,7 @@ def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count("*").alias("n_lines"),
-            F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+            F.sum(net_price()).alias("revenue"),
         )
     )
     places = (
@@ -47,14 +49,15 @@ def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("r_name")
         .agg(
             F.sum("n_lines").alias("n_lines"),
-            F.round(F.sum("revenue"), 2).alias("revenue"),
+            F.sum("revenue").cast("double").alias("revenue"),
         )
     )
 
 
 @registry.query("""
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-           round(l_extendedprice * (1 - l_discount), 4) AS net_price
+           CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                AS DOUBLE) AS net_price
     FROM lineitem
     WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag <> 'N'
@@ -75,15 +78,16 @@ def discounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_suppkey",
             "l_linenumber",
             "l_quantity",
-            F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net_price"),
+            net_price().cast("double").alias("net_price"),
         )
     )
 
 
 @registry.query("""
     SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_quantity) AS sum_qty,
-           round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net_price,
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS sum_base_price,
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))
+                AS DOUBLE) AS sum_net_price,
            round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_discount
     FROM lineitem
     WHERE l_shipdate <= TIMESTAMP '2001-09-02'
@@ -97,10 +101,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count("*").alias("n_lines"),
             F.sum("l_quantity").alias("sum_qty"),
-            F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias(
-                "sum_net_price"
-            ),
+            F.sum(money("l_extendedprice")).cast("double").alias("sum_base_price"),
+            F.sum(net_price()).cast("double").alias("sum_net_price"),
             F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
             F.round(F.avg("l_discount"), 6).alias("avg_discount"),
         )
