@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.plans.registry import Query
 
-THEMES = ("sales", "joins", "aggregates", "windows")
+THEMES = ("sales", "joins", "aggregates", "windows", "scalars", "streams")
 
 
 def all_queries() -> list[Query]:
