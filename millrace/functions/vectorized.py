@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import arrow_udtf, pandas_udf
 
 
 @pandas_udf(T.LongType())
@@ -32,16 +34,31 @@ def longest_run(values: pd.Series) -> pd.Series:
     return pd.Series(longest).where(present).astype("Int64")
 
 
-@udtf(
-    returnType=T.StructType().add("place", T.IntegerType()).add("word", T.StringType()),
-    useArrow=True,
+@arrow_udtf(
+    returnType=T.StructType()
+    .add("id", T.LongType())
+    .add("place", T.IntegerType())
+    .add("word", T.StringType())
 )
 class WordsWithPlaces:
-    """The words of a text with their places, counted from 1."""
+    """The words of each row's text with their places, counted from 1, a batch at a time.
 
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        if text is not None:
-            yield from enumerate(text.split(), start=1)
+    Takes a table of an id and a text.
+    """
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        words = pc.utf8_split_whitespace(batch.column(1))
+        owners = pc.list_parent_indices(words)
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(lengths) - lengths
+        places = np.arange(len(owners)) - starts[owners.to_numpy()] + 1
+        yield pa.table(
+            {
+                "id": batch.column(0).take(owners),
+                "place": pa.array(places, pa.int32()),
+                "word": pc.list_flatten(words),
+            }
+        )
 
 
 def smoothed_daily(df: DataFrame, key: str, day: str, amount: str, weight: float) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS
 from millrace.operators.segments import PLACE, Split, plan_split
 
 
@@ -20,7 +19,7 @@ def over_neighbours(
     after: int,
     columns: Mapping[str, Callable[[WindowSpec], Column]],
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Adds window columns that look at most ``before`` rows back and ``after`` rows ahead.
 

@@ -15,13 +15,15 @@ def grouping_totals(
     sums: Mapping[str, Column],
     flags: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Sums over ``rollup``, ``cube`` or the given grouping sets of the dimensions.
+    """Totals over ``rollup``, ``cube`` or the given grouping sets of the dimensions.
+
+    ``sums`` names aggregates whose totals add up, such as a sum or a count.
 
     Spark copies every input row once per grouping set. Sums of sums are sums, so the rows
     are first grouped by all dimensions and only those few groups are copied. ``flags`` names
     a column for ``grouping(dimension)``.
     """
-    finest = df.groupBy(*dims).agg(*[F.sum(column).alias(name) for name, column in sums.items()])
+    finest = df.groupBy(*dims).agg(*[total.alias(name) for name, total in sums.items()])
     if sets == "rollup":
         grouped = finest.rollup(*dims)
     elif sets == "cube":

@@ -7,28 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is never worth splitting.
-SMALL_KEY_ROWS = 1_000
-MAX_PARTS = 1_024
+# A key with fewer rows than this is no burden for one task and is never split. The session
+# may set another bound.
+SMALL_KEY_ROWS_CONF = "spark.millrace.smallKeyRows"
+SMALL_KEY_ROWS = 200_000
+# Into how many pieces a hot key is cut; by default one per shuffle partition, within bounds.
+PARTS_CONF = "spark.millrace.parts"
+FEWEST_PARTS, MOST_PARTS = 8, 1_024
 
 
 def part_count(spark: SparkSession) -> int:
-    """Into how many pieces a hot key is cut: one per shuffle partition, within bounds."""
-    return max(8, min(MAX_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    by_default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = int(spark.conf.get(PARTS_CONF, str(by_default)))
+    return max(FEWEST_PARTS, min(MOST_PARTS, wanted))
+
+
+def small_key_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(SMALL_KEY_ROWS_CONF, str(SMALL_KEY_ROWS)))
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], parts: int, min_rows: int = SMALL_KEY_ROWS
+    df: DataFrame, keys: Sequence[str], parts: int, min_rows: int | None = None
 ) -> DataFrame | None:
     """The keys with more than 1/parts of all rows as a local table, or None if there are none.
 
     Fewer than ``parts`` keys can each hold more than 1/parts of the rows, so both the rows
     brought here and the table that is broadcast are bounded whatever the data.
     """
-    bar = max(df.count() // parts, min_rows)
+    spark = df.sparkSession
+    if min_rows is None:
+        min_rows = small_key_rows(spark)
+    total = df.count()
+    if total <= min_rows:
+        return None
+    bar = max(total // parts, min_rows)
     found = df.groupBy(*keys).count().where(F.col("count") > bar).drop("count")
     rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    return spark.createDataFrame(rows, found.schema) if rows else None
 
 
 def flag_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
@@ -51,7 +66,7 @@ def spread_join(
     how: str,
     spread_by: Sequence[str],
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Joins many rows to a side holding at most one row per key.
 

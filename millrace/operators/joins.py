@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS, spread_join
+from millrace.operators.hot import spread_join
 from millrace.operators.running import BEST, running
 
 
@@ -92,7 +92,7 @@ def as_of_join(
     values: Sequence[str],
     left_id: Sequence[str],
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Every left row with the values of the latest right row of its key not after it.
 

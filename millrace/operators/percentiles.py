@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS
 from millrace.operators.segments import PLACE, Split, plan_split
 
 
@@ -18,7 +17,7 @@ def exact_percentiles(
     shares: Mapping[str, float],
     spread: Sequence[str] = (),
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """One row per group with the linearly interpolated percentile for each named share.
 

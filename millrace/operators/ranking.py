@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS
 from millrace.operators.segments import PLACE, Split, plan_split
 
 
@@ -19,7 +18,7 @@ def ranked(
     descending: bool = False,
     tiles: int = 4,
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Adds row_number, rank, dense_rank, percent_rank, cume_dist and ntile columns.
 

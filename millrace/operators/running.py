@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS
 from millrace.operators.segments import PLACE, Split, plan_split
 
 SUM, BEST = "sum", "best"
@@ -21,7 +20,7 @@ def running(
     folds: Mapping[str, tuple[str, Column]],
     spread: Sequence[str] = (),
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Adds, per key, the fold of all rows whose ``by`` is at or below the row's own.
 

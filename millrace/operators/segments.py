@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS, flag_hot, hot_keys, part_count
+from millrace.operators.hot import flag_hot, hot_keys, part_count, small_key_rows
 
 PLACE = ["_seg", "_sub"]
 
@@ -131,13 +131,15 @@ def plan_split(
     tie: str | None = None,
     spread: Sequence[str] = (),
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> Split:
     """Looks for hot keys and, if there are any, for the points at which to cut them.
 
     ``by`` and ``tie`` are numeric columns. Without hot keys this costs two counts.
     """
     parts = parts or part_count(df.sparkSession)
+    if min_rows is None:
+        min_rows = small_key_rows(df.sparkSession)
     everything_hot = not keys and df.count() > min_rows
     hot = hot_keys(df, keys, parts, min_rows) if keys else None
     spread = tuple(spread) or tuple(df.columns)

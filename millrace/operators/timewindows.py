@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import SMALL_KEY_ROWS
 from millrace.operators.running import SUM, running
 from millrace.operators.segments import PLACE, plan_split
 
@@ -44,7 +43,7 @@ def trailing_sums(
     width: int,
     sums: Mapping[str, Column],
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Adds sums over ``at - width .. at`` of the same key, equal instants included.
 
@@ -80,7 +79,7 @@ def sessions(
     sums: Mapping[str, Column],
     spread: Sequence[str] = (),
     parts: int | None = None,
-    min_rows: int = SMALL_KEY_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Groups the rows of a key whose instants follow each other by at most ``gap``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.money import cents, money
+from millrace.functions.money import amount, cents, exact_sum
 from millrace.operators.grouping import distinct_sketches, grouping_totals, pivot_sums
 from millrace.operators.percentiles import exact_percentiles
 from millrace.plans.registry import Registry
@@ -23,12 +23,12 @@ def _orders_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         "o_orderpriority",
         F.year("o_orderdate").alias("order_year"),
-        money("o_totalprice").alias("price"),
+        cents("o_totalprice").alias("price"),
     )
 
 
 def _totals() -> dict[str, Column]:
-    return {"n_orders": F.lit(1), "total": F.col("price")}
+    return {"n_orders": F.count(F.lit(1)), "total": exact_sum(F.col("price"))}
 
 
 @registry.query("""
@@ -42,7 +42,7 @@ def order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"all_statuses": "o_orderstatus", "all_priorities": "o_orderpriority"}
     dims = ["o_orderstatus", "o_orderpriority"]
     totals = grouping_totals(_orders_by_year(spark, sf_dir), dims, "rollup", _totals(), flags)
-    return totals.withColumn("total", F.col("total").cast("double"))
+    return totals.withColumn("total", amount(F.col("total"), 2))
 
 
 @registry.query("""
@@ -53,7 +53,7 @@ def order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["o_orderstatus", "order_year"]
     totals = grouping_totals(_orders_by_year(spark, sf_dir), dims, "cube", _totals())
-    return totals.withColumn("total", F.col("total").cast("double"))
+    return totals.withColumn("total", amount(F.col("total"), 2))
 
 
 @registry.query("""
@@ -67,7 +67,7 @@ def order_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["o_orderstatus", "o_orderpriority", "order_year"]
     sets = [["o_orderstatus", "order_year"], ["o_orderpriority"], []]
     totals = grouping_totals(_orders_by_year(spark, sf_dir), dims, sets, _totals())
-    return totals.withColumn("total", F.col("total").cast("double"))
+    return totals.withColumn("total", amount(F.col("total"), 2))
 
 
 @registry.query("""
@@ -143,16 +143,17 @@ def supplier_price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events GROUP BY event_type
 """)
 def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.col("k")
     return (
         table(spark, sf_dir, "events")
+        .select("event_type", "value", F.from_json("props", "k double")["k"].alias("k"))
         .groupBy("event_type")
         .agg(
             F.count("*").alias("n"),
             F.round(F.stddev_samp("value"), 6).alias("sd"),
             F.round(F.var_pop("value"), 6).alias("variance"),
-            F.round(F.corr(F.col("value"), k), 6).alias("corr_k"),
-            F.round(F.covar_samp(F.col("value"), k), 6).alias("covar_k"),
+            F.round(F.corr("value", k), 6).alias("corr_k"),
+            F.round(F.covar_samp("value", k), 6).alias("covar_k"),
             F.min("value").alias("lowest"),
             F.max("value").alias("highest"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.money import money, net_price
+from millrace.functions.money import amount, cents, exact_sum, net_units
 from millrace.functions.times import HOUR, SECOND, micros
 from millrace.operators.joins import (
     as_of_join,
@@ -66,7 +66,7 @@ def urgent_or_returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .where("l_returnflag = 'R'")
         .groupBy(F.col("l_orderkey").alias("orderkey"))
-        .agg(F.count("*").alias("n_returned"), F.sum(net_price()).cast("double").alias("lost"))
+        .agg(F.count("*").alias("n_returned"), amount(exact_sum(net_units()), 4).alias("lost"))
     )
     return urgent.join(returned, "orderkey", "full")
 
@@ -138,19 +138,19 @@ def latest_view_at_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("""
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders o
-    WHERE CAST(o_totalprice AS DECIMAL(12,2)) * 2 >
-          (SELECT 3 * CAST(sum(CAST(i.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / count(*)
-           FROM orders i WHERE i.o_custkey = o.o_custkey)
+    WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice)
+                          FROM orders i WHERE i.o_custkey = o.o_custkey)
 """)
 def orders_above_customer_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A correlated average, decorrelated into a grouping that is joined back."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    average = F.sum(money("o_totalprice")).cast("double") * 3 / F.count("*")
-    bars = orders.groupBy("o_custkey").agg(average.alias("bar"))
+    total = exact_sum(cents("o_totalprice"))
+    bars = orders.groupBy("o_custkey").agg(total.alias("total"), F.count("*").alias("n"))
+    above = cents("o_totalprice").cast("decimal(20,0)") * 2 * F.col("n") > F.col("total") * 3
     return (
         paired_with_group(orders, bars, ["o_custkey"], ["o_orderkey"])
-        .where((money("o_totalprice") * 2).cast("double") > F.col("bar"))
-        .drop("bar")
+        .where(above)
+        .drop("total", "n")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.money import money, net_price
+from millrace.functions.money import amount, cents, exact_sum, net_units
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
@@ -31,7 +31,7 @@ def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count("*").alias("n_lines"),
-            F.sum(net_price()).alias("revenue"),
+            exact_sum(net_units()).alias("revenue"),
         )
     )
     places = (
@@ -49,7 +49,7 @@ def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("r_name")
         .agg(
             F.sum("n_lines").alias("n_lines"),
-            F.sum("revenue").cast("double").alias("revenue"),
+            amount(F.sum("revenue"), 4).alias("revenue"),
         )
     )
 
@@ -78,7 +78,7 @@ def discounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_suppkey",
             "l_linenumber",
             "l_quantity",
-            net_price().cast("double").alias("net_price"),
+            amount(net_units(), 4).alias("net_price"),
         )
     )
 
@@ -101,8 +101,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count("*").alias("n_lines"),
             F.sum("l_quantity").alias("sum_qty"),
-            F.sum(money("l_extendedprice")).cast("double").alias("sum_base_price"),
-            F.sum(net_price()).cast("double").alias("sum_net_price"),
+            amount(exact_sum(cents("l_extendedprice")), 2).alias("sum_base_price"),
+            amount(exact_sum(net_units()), 4).alias("sum_net_price"),
             F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
             F.round(F.avg("l_discount"), 6).alias("avg_discount"),
         )

@@ -280,5 +280,4 @@ def smoothed_cents_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def part_words_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    words = WordsWithPlaces(F.col("p_name").outer())
-    return parts.lateralJoin(words).select("p_partkey", "place", "word")
+    return WordsWithPlaces(parts.asTable()).withColumnRenamed("id", "p_partkey")

@@ -27,11 +27,11 @@ def stream_table(
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared checkpoint folder the session names.
+    """A fresh folder in the checkpoint folder that the session or its context names.
 
     Every executor must be able to reach it, so no machine-local default is invented here.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{root.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"

@@ -58,7 +58,7 @@ def test_grouping_totals(spark, events, sets, sql):
         events,
         ["event_type", "user_id"],
         sets,
-        {"n": F.lit(1), "total": F.col("cents")},
+        {"n": F.count("*"), "total": F.sum("cents")},
         {"g_type": "event_type", "g_user": "user_id"},
     )
     expected = spark.sql(
