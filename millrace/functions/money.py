@@ -23,11 +23,24 @@ def net_units() -> Column:
     return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
 
 
+def limb_sums(units: Column, name: str) -> list[Column]:
+    """The two sums that together hold an exact total; sums of them hold totals of totals."""
+    low = units.bitwiseAND((1 << LOW_BITS) - 1)
+    return [
+        F.sum(F.shiftright(units, LOW_BITS)).alias(f"{name}_high"),
+        F.sum(low).alias(f"{name}_low"),
+    ]
+
+
+def total_of(high: Column, low: Column) -> Column:
+    """The total held by two limb sums, as a decimal without fraction."""
+    return high.cast("decimal(20,0)") * F.lit(1 << LOW_BITS) + low.cast("decimal(20,0)")
+
+
 def exact_sum(units: Column) -> Column:
     """The sum of a long column as a decimal without fraction."""
-    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND((1 << LOW_BITS) - 1)).cast("decimal(20,0)")
-    return high * F.lit(1 << LOW_BITS) + low
+    high, low = limb_sums(units, "_")
+    return total_of(high, low)
 
 
 def amount(total: Column, digits: int) -> Column:

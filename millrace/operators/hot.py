@@ -13,7 +13,7 @@ SMALL_KEY_ROWS_CONF = "spark.millrace.smallKeyRows"
 SMALL_KEY_ROWS = 200_000
 # Into how many pieces a hot key is cut; by default one per shuffle partition, within bounds.
 PARTS_CONF = "spark.millrace.parts"
-FEWEST_PARTS, MOST_PARTS = 8, 1_024
+FEWEST_PARTS, MOST_PARTS = 8, 4_096
 
 
 def part_count(spark: SparkSession) -> int:
@@ -67,6 +67,7 @@ def spread_join(
     spread_by: Sequence[str],
     parts: int | None = None,
     min_rows: int | None = None,
+    nulls_match: bool = False,
 ) -> DataFrame:
     """Joins many rows to a side holding at most one row per key.
 
@@ -74,18 +75,26 @@ def spread_join(
     partitions only where both join inputs come straight from a shuffle, which is not so
     when one of them is a grouping. Here rows of a hot key are dealt out by a hash of
     ``spread_by`` (best a unique id, so that the deal is the same if a task runs again), and
-    the key's one row on the other side is repeated for every share.
+    the key's one row on the other side is repeated for every share. NULL keys, which meet
+    no row or with ``nulls_match`` one another, are dealt out too when they are many.
     """
     parts = parts or part_count(rows.sparkSession)
     hot = hot_keys(rows, keys, parts, min_rows)
-    if hot is None:
-        return rows.join(unique, list(keys), how)
-    share = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
-    dealt = flag_hot(rows, hot, keys, "_hot").withColumn(
-        "_share", F.when(F.col("_hot"), share).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = flag_hot(unique, hot, keys, "_hot").withColumn("_share", F.explode(copies))
-    return dealt.drop("_hot").join(repeated.drop("_hot"), [*keys, "_share"], how).drop("_share")
+    on = list(keys)
+    if hot is not None:
+        share = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
+        rows = flag_hot(rows, hot, keys, "_hot").withColumn(
+            "_share", F.when(F.col("_hot"), share).otherwise(0)
+        )
+        every = F.sequence(F.lit(0), F.lit(parts - 1))
+        copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
+        unique = flag_hot(unique, hot, keys, "_hot").withColumn("_share", F.explode(copies))
+        rows, unique = rows.drop("_hot"), unique.drop("_hot")
+        on.append("_share")
+    if not nulls_match:
+        return rows.join(unique, on, how).drop("_share")
+    unique = unique.withColumnsRenamed({key: f"_its_{key}" for key in on})
+    same = F.lit(True)
+    for key in on:
+        same = same & F.col(key).eqNullSafe(F.col(f"_its_{key}"))
+    return rows.join(unique, same, how).drop("_share", *[f"_its_{key}" for key in on])

@@ -129,5 +129,5 @@ def as_of_join(
 def paired_with_group(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
 ) -> DataFrame:
-    """Rows with the columns of their group's summary, NULL where there is none."""
-    return spread_join(rows, groups, keys, "left", spread_by)
+    """Rows with the columns of their group's summary; rows without a key are a group too."""
+    return spread_join(rows, groups, keys, "left", spread_by, nulls_match=True)

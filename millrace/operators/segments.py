@@ -13,6 +13,7 @@ every row to the same segment again.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -53,6 +54,12 @@ def count_below(points: Sequence[int | float], value: Column, inclusive: bool =
     return F.when(run == 0, 0).otherwise((run - 1) * width + within)
 
 
+def _thinned(points: Sequence[int | float], wanted: int) -> tuple[int | float, ...]:
+    """About as many of the sorted points as wanted, evenly chosen, each once."""
+    step = max(1, len(points) // wanted)
+    return tuple(sorted(set(points[step - 1 :: step])))
+
+
 @dataclass(frozen=True)
 class Split:
     """Where the hot keys are cut.
@@ -149,19 +156,20 @@ def plan_split(
     rows = split.flagged(df.select(*keys, by, *([tie] if tie else []))).where("_hot")
     shares = [i / parts for i in range(1, parts)]
     accuracy = max(10_000, 20 * parts)
-    cuts = rows.agg(F.percentile_approx(by, shares, accuracy)).first()[0] or []
-    points = tuple(sorted(set(cuts)))
-    solid = tuple(point for point in points if cuts.count(point) > 1)
+    cuts = Counter(rows.agg(F.percentile_approx(by, shares, accuracy)).first()[0] or [])
+    points = tuple(sorted(cuts))
+    solid = tuple(point for point in points if cuts[point] > 1)
     ties: tuple[tuple[int | float, ...], ...] = ()
     if solid and tie:
-        most = max(cuts.count(point) for point in solid) + 1
+        most = max(cuts[point] for point in solid) + 1
         shares = [i / most for i in range(1, most)]
         found = (
             rows.where(F.array_contains(F.expr(_array(solid)), F.col(by)))
             .groupBy(by)
             .agg(F.percentile_approx(tie, shares, accuracy).alias("cuts"))
+            .orderBy(by)
             .collect()
         )
-        per_value = {row[by]: tuple(sorted(set(row["cuts"] or []))) for row in found}
-        ties = tuple(per_value[value] for value in solid)
+        # A value that fills n pieces needs n cuts, so all of them together stay below `parts`.
+        ties = tuple(_thinned(row["cuts"] or [], cuts[row[by]] + 1) for row in found)
     return replace(split, points=points, solid=solid, ties=ties)

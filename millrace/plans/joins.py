@@ -15,6 +15,7 @@ from millrace.operators.joins import (
     keep_unmatched,
     paired_with_group,
 )
+from millrace.operators.setops import except_all, intersect_all
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
@@ -169,7 +170,7 @@ def trading_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_met_by_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
     visitors = table(spark, sf_dir, "events").select(F.col("user_id").alias("custkey"))
-    return buyers.intersectAll(visitors)
+    return intersect_all(buyers, visitors)
 
 
 @registry.query("""
@@ -178,4 +179,4 @@ def orders_met_by_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_not_met_by_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     visitors = table(spark, sf_dir, "events").select("user_id")
     buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
-    return visitors.exceptAll(buyers)
+    return except_all(visitors, buyers)

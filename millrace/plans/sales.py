@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.money import amount, cents, exact_sum, net_units
+from millrace.functions.money import (
+    amount,
+    cents,
+    exact_sum,
+    limb_sums,
+    net_units,
+    total_of,
+)
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
@@ -24,34 +31,43 @@ registry = Registry()
     GROUP BY r_name
 """)
 def revenue_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines are summed per order before the joins, so the widest shuffle carries one row
-    per order and a hot order collapses on the map side."""
+    """Totals are taken per order, then per customer, each before the next join. The joins
+    therefore meet one row per key on both sides, and a hot order or customer collapses on
+    the map side."""
+
+    def summed() -> list[Column]:
+        return [F.sum(name).alias(name) for name in ("n_lines", "net_high", "net_low")]
+
     per_order = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(
-            F.count("*").alias("n_lines"),
-            exact_sum(net_units()).alias("revenue"),
+        .agg(F.count("*").alias("n_lines"), *limb_sums(net_units(), "net"))
+    )
+    per_customer = (
+        table(spark, sf_dir, "orders")
+        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("o_custkey")
+        .agg(*summed())
+    )
+    per_nation = (
+        per_customer.join(
+            table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
         )
+        .groupBy("c_nationkey")
+        .agg(*summed())
     )
     places = (
         table(spark, sf_dir, "nation")
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", "r_name")
     )
-    return (
-        table(spark, sf_dir, "orders")
-        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
-        .agg(F.sum("n_lines").alias("n_lines"), F.sum("revenue").alias("revenue"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    per_region = (
+        per_nation.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("r_name")
-        .agg(
-            F.sum("n_lines").alias("n_lines"),
-            amount(F.sum("revenue"), 4).alias("revenue"),
-        )
+        .agg(*summed())
     )
+    revenue = amount(total_of(F.col("net_high"), F.col("net_low")), 4)
+    return per_region.select("r_name", "n_lines", revenue.alias("revenue"))
 
 
 @registry.query("""

@@ -85,8 +85,8 @@ def streamed_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and errors arrive twice, as from a source that repeats a failed delivery."""
     events = stream_table(spark, sf_dir, "events")
     again = stream_table(spark, sf_dir, "events").where("event_type in ('purchase', 'error')")
-    both = on_event_time(events.unionByName(again), "ts", DELAY)
-    done = drain(once_each(both, ["event_id"]), "once")
+    both = events.unionByName(again)
+    done = drain(once_each(both, ["event_id"], "ts", DELAY), "once")
     return done.groupBy("event_type").agg(
         F.count("*").alias("n"), F.sum(cents("value")).alias("cents")
     )

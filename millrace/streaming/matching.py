@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.streaming.windows import on_event_time
 
-def once_each(stream: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Rows delivered again within the watermark delay are dropped; state is kept no longer."""
-    return stream.dropDuplicatesWithinWatermark(list(ids))
+
+def once_each(stream: DataFrame, ids: Sequence[str], at: str, delay: str) -> DataFrame:
+    """Rows delivered again within the delay are dropped; state is kept no longer than that.
+
+    Spark sends every row to the task that remembers its id. So that an id repeated very often
+    does not swamp that task, repeats with the same time are dropped within each Arrow batch
+    first.
+    """
+    same = [*ids, at]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repeats = batch.select(same).to_pandas().duplicated().to_numpy()
+            yield batch.filter(pa.array(~repeats))
+
+    thinned = stream.mapInArrow(thin, stream.schema)
+    return on_event_time(thinned, at, delay).dropDuplicatesWithinWatermark(list(ids))
 
 
 def stream_interval_join(

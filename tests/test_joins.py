@@ -8,9 +8,11 @@ from collections import defaultdict
 import pytest
 from conftest import SMALL
 from oracle import spark_rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from skew import skewed_events
 
+from millrace.operators import setops
 from millrace.operators.hot import hot_keys, spread_join
 from millrace.operators.joins import as_of_join, full_outer, interval_join
 
@@ -35,6 +37,28 @@ def test_spread_join(events, how):
     assert spark_rows(found) == spark_rows(events.join(sides, "user_id", how))
 
 
+def test_spread_join_with_nulls_matching(events):
+    sides = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    found = spread_join(
+        events, sides, ["user_id"], "left", ["event_id"], 20, min_rows=10, nulls_match=True
+    )
+    expected = events.withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    assert spark_rows(found) == spark_rows(expected)
+
+
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_set_operations_keep_duplicates(events, most, monkeypatch):
+    monkeypatch.setattr(setops._copies, "__defaults__", (most,))
+    left = events.select("user_id", "event_type")
+    right = events.where("event_id % 4 <> 0").select("user_id", "event_type")
+    for found, expected in (
+        (setops.intersect_all(left, right), left.intersectAll(right)),
+        (setops.except_all(left, right), left.exceptAll(right)),
+        (setops.except_all(right, left), right.exceptAll(left)),
+    ):
+        assert spark_rows(found) == spark_rows(expected)
+
+
 def test_full_outer(events):
     left = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("l"))
     right = events.where("event_type = 'view' and (user_id = 7 or user_id > 50)")

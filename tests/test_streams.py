@@ -71,12 +71,13 @@ def test_repeats_across_batches_count_once(spark, events):
     folder = scratch_path(spark, "repeats")
 
     def run():
-        stream = on_event_time(feed.stream(), "ts", "60 days")
-        return drain(once_each(stream, ["event_id"]), "repeats", folder)
+        return drain(once_each(feed.stream(), ["event_id"], "ts", "60 days"), "repeats", folder)
 
     feed.deliver(events.where("event_id < 600"))
     run()
-    feed.deliver(events.where("event_id >= 300"))
+    again = events.where("event_id >= 300")
+    hot = events.where("event_id = 17").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    feed.deliver(again.unionByName(hot.drop("_copy")).unionByName(again))
     found = run()
     assert sorted(r.event_id for r in found.select("event_id").collect()) == sorted(
         r.event_id for r in events.select("event_id").collect()
