@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 # may set another bound.
 SMALL_KEY_ROWS_CONF = "spark.millrace.smallKeyRows"
 SMALL_KEY_ROWS = 200_000
-# Into how many pieces a hot key is cut; by default one per shuffle partition, within bounds.
+# Into how many pieces a hot key is cut. By default several per shuffle partition, as pieces
+# find their partition by hash and a few each even out better than one each.
 PARTS_CONF = "spark.millrace.parts"
+PARTS_PER_PARTITION = 4
 FEWEST_PARTS, MOST_PARTS = 8, 4_096
 
 
 def part_count(spark: SparkSession) -> int:
-    by_default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_default = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = int(spark.conf.get(PARTS_CONF, str(by_default)))
     return max(FEWEST_PARTS, min(MOST_PARTS, wanted))
 

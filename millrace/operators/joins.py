@@ -97,8 +97,8 @@ def as_of_join(
     """Every left row with the values of the latest right row of its key not after it.
 
     ``at`` is an integer instant on both sides; among right rows of the same instant the one
-    with the largest ``right_tie`` wins. Left rows without such a row get NULLs. The two
-    sides are laid on one timeline, right before left at equal instants, and the latest right
+    with the largest ``right_tie`` wins. Left rows without such a row get NULLs; a NULL key or
+    instant has none. The two sides are laid on one timeline, right before left at equal instants, and the latest right
     row is a running best: no pairs are formed and a hot key is cut along time.
     """
     latest = F.struct(
@@ -111,7 +111,7 @@ def as_of_join(
         F.struct(*names).alias("_left"),
         F.xxhash64(*left_id).alias("_deal"),
     )
-    right_rows = right.select(
+    right_rows = right.dropna(subset=[*keys, at]).select(
         *keys,
         (F.col(at) * 2).alias("_order"),
         latest.alias("_right"),

@@ -129,4 +129,5 @@ def top_per_group(
     limit), so a hot group sends k rows per task and not all of its rows.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_name, F.row_number().over(window)).where(F.col(rank_name) <= k)
+    first = df.withColumn(rank_name, F.row_number().over(window)).where(F.col(rank_name) <= k)
+    return first.withColumn(rank_name, F.col(rank_name).cast("long"))

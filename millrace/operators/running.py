@@ -29,14 +29,20 @@ def running(
     one value, as in SQL's default frame. Sums should be of integers or decimals, whose
     totals do not depend on the order of addition.
     """
-    inputs = {f"_in_{name}": column for name, (_, column) in folds.items()}
+    folded = df.agg(*[_FOLD[kind](column).alias(name) for name, (kind, column) in folds.items()])
+    types = {field.name: field.dataType for field in folded.schema}
+    # Carried sums travel as inputs, so inputs are as wide as sums.
+    inputs = {f"_in_{name}": column.cast(types[name]) for name, (_, column) in folds.items()}
     rows = df.withColumns(inputs)
     split = plan_split(rows, keys, by, spread=spread or df.columns, parts=parts, min_rows=min_rows)
     rows = split.tag(rows).withColumn("_lead", F.lit(0))
     if split.needed:
         rows = rows.unionByName(_lead_in(rows, split, folds), allowMissingColumns=True)
     window = split.window(F.desc("_lead"), F.col(by))
-    local = {name: _FOLD[kind](f"_in_{name}").over(window) for name, (kind, _) in folds.items()}
+    local = {
+        name: _FOLD[kind](f"_in_{name}").over(window).cast(types[name])
+        for name, (kind, _) in folds.items()
+    }
     return (
         rows.withColumns(local)
         .where("_lead = 0")

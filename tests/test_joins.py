@@ -108,7 +108,7 @@ def test_as_of_join(events, parts):
         min_rows=10,
     )
     lines = defaultdict(list)
-    for row in right.collect():
+    for row in right.where("user_id is not null").collect():
         lines[row.user_id].append((row.at, row.view_id, row.view_cents))
     for line in lines.values():
         line.sort()

@@ -8,6 +8,13 @@ from oracle import connect, duck_rows, spark_rows
 
 from millrace.plans import all_queries
 
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 QUERIES = {query.name: query for query in all_queries()}
 
 
@@ -23,6 +30,8 @@ def test_matches_sql(spark, duck, name):
     result = query.build(spark, MEDIUM)
     columns, expected = duck_rows(duck, query.oracle)
     assert sorted(result.columns) == sorted(columns)
+    types = {row[0]: row[1] for row in duck.execute(f"DESCRIBE {query.oracle}").fetchall()}
+    assert {name: SAME_TYPE[kind] for name, kind in result.dtypes} == types
     actual = spark_rows(result)
     assert len(actual) == len(expected)
     assert actual == expected

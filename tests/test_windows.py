@@ -76,6 +76,20 @@ def test_running(events, keys, parts):
     assert spark_rows(found) == spark_rows(expected)
 
 
+def test_running_sums_of_ints_and_decimals_have_room(events):
+    """What one segment hands to the next may be too large for the type of the input."""
+    price = F.col("cents").cast("decimal(9,2)") * 0 + F.lit("9999999.99").cast("decimal(9,2)")
+    folds = {"ints": ("sum", F.lit(2**30)), "decimals": ("sum", price)}
+    found = running(events, [], "at", folds, ["event_id"], parts=50, min_rows=10)
+    window = Window.partitionBy().orderBy("at")
+    expected = events.withColumns(
+        {"ints": F.sum(F.lit(2**30)).over(window), "decimals": F.sum(price).over(window)}
+    )
+    assert found.schema["ints"].dataType == expected.schema["ints"].dataType
+    assert found.schema["decimals"].dataType == expected.schema["decimals"].dataType
+    assert spark_rows(found) == spark_rows(expected)
+
+
 @pytest.mark.parametrize("parts", [8, 50])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("by", ["at", "cents"])
