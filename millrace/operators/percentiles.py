@@ -33,12 +33,13 @@ def exact_percentiles(
     else:
         nothing = F.lit(None).cast("long")
         tagged = tagged.withColumns({"_before": nothing, "_all": nothing})
-    partition = Window.partitionBy(*split.place)
+    order = split.window(F.asc(value))
+    # A frame over everything in the ordered window, so that Spark does it in the same pass.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = tagged.withColumns(
         {
-            "_total": F.coalesce("_all", F.count(F.lit(1)).over(partition)),
-            "_at": F.row_number().over(partition.orderBy(value)) - 1
-            + F.coalesce("_before", F.lit(0)),
+            "_total": F.coalesce("_all", F.count(F.lit(1)).over(whole)),
+            "_at": F.row_number().over(order) - 1 + F.coalesce("_before", F.lit(0)),
         }
     )
     picks = []

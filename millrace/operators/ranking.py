@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.segments import PLACE, Split, plan_split
+from millrace.operators.segments import Split, plan_split
 
 
 def ranked(
@@ -33,39 +33,51 @@ def ranked(
     direction = F.desc(by) if descending else F.asc(by)
     full = split.window(F.desc("_lead"), direction, F.asc(tie))
     peers = split.window(F.desc("_lead"), direction)
-    partition = Window.partitionBy(*split.place)
-
-    def carried(name: str) -> Column:
-        if not split.needed:
-            return F.lit(0)
-        return F.coalesce(F.first(name).over(full), F.lit(0))
-
-    led = F.first("_lead").over(full)
-    local_total = F.count(F.lit(1)).over(partition) - F.sum("_lead").over(partition)
-    at_or_before = F.count(F.lit(1)).over(peers) - led
-    if split.needed:
-        total = F.coalesce(F.first("_all").over(full), local_total)
-        at_or_before = F.when(F.col("_solo"), F.first("_like").over(full)).otherwise(at_or_before)
-    else:
-        total = local_total
-    position = F.row_number().over(full) - led + carried("_ahead")
-    rank = F.rank().over(peers) - led + carried("_below")
-    out = rows.withColumns(
+    # A frame over everything in an ordered window, so that Spark does it in the same pass.
+    whole = peers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    led = F.first("_lead").over(full) if split.needed else F.lit(0)
+    ranks = {
+        "_position": F.row_number().over(full) - led,
+        "_rank": F.rank().over(peers),
+        "_dense": F.dense_rank().over(peers),
+        "_upto": F.count(F.lit(1)).over(peers),
+        "_total": F.count(F.lit(1)).over(whole),
+    }
+    if not split.needed:
+        return _shares(rows.withColumns(ranks), df.columns, tiles)
+    placed = rows.withColumns({**ranks, "_carry": F.first("_carry").over(full)})
+
+    def from_before(local: str, carried: str) -> Column:
+        """The local figure, less the lead-in row's own place, plus what it stands for."""
+        carry = F.col(f"_carry.{carried}")
+        return F.when(carry.isNotNull(), F.col(local) - 1 + carry).otherwise(F.col(local))
+
+    upto = F.when(F.col("_solo"), F.col("_carry.below") + F.col("_carry.alike"))
+    added = placed.where("_lead = 0").withColumns(
         {
-            "_total": total,
-            "_upto": at_or_before + carried("_below"),
-            "row_number": position.cast("long"),
-            "rank": rank.cast("long"),
-            "dense_rank": (F.dense_rank().over(peers) - led + carried("_levels")).cast("long"),
+            "_position": F.col("_position") + F.coalesce("_carry.ahead", F.lit(0)),
+            "_rank": from_before("_rank", "below"),
+            "_dense": from_before("_dense", "levels"),
+            "_upto": F.coalesce(upto, from_before("_upto", "below")),
+            "_total": F.coalesce("_carry.all", "_total"),
         }
-    ).where("_lead = 0")
-    spread = F.when(F.col("_total") > 1, (F.col("rank") - 1) / (F.col("_total") - 1))
-    names = [*df.columns, "row_number", "rank", "dense_rank"]
-    return out.select(
-        *names,
-        F.coalesce(spread, F.lit(0.0)).alias("percent_rank"),
-        (F.col("_upto") / F.col("_total")).alias("cume_dist"),
-        _tile(F.col("row_number"), F.col("_total"), tiles).alias("ntile"),
+    )
+    return _shares(added, df.columns, tiles)
+
+
+def _shares(rows: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:
+    """The six ranking columns, from places and totals."""
+    total = F.col("_total")
+    percent = F.when(total > 1, (F.col("_rank") - 1) / (total - 1)).otherwise(0.0)
+    return rows.select(
+        *columns,
+        F.col("_position").cast("long").alias("row_number"),
+        F.col("_rank").cast("long").alias("rank"),
+        F.col("_dense").cast("long").alias("dense_rank"),
+        percent.alias("percent_rank"),
+        (F.col("_upto") / total).alias("cume_dist"),
+        _tile(F.col("_position").cast("long"), total, tiles).alias("ntile"),
     )
 
 
@@ -80,11 +92,11 @@ def _tile(position: Column, total: Column, tiles: int) -> Column:
 
 
 def _lead_in(rows: DataFrame, split: Split, descending: bool) -> DataFrame:
-    """Per segment, how many rows and levels come before it.
+    """Per segment, how many rows and levels come before it, packed in ``_carry``.
 
-    ``_ahead`` counts the rows before the subsegment, ``_below`` those before the segment,
-    ``_levels`` the distinct values before it, ``_like`` the rows of the segment and ``_all``
-    those of the key.
+    ``ahead`` counts the rows before the subsegment, ``below`` those before the segment,
+    ``levels`` the distinct values before it, ``alike`` the rows of the segment and ``all``
+    those of the key. As one struct they cost an ordinary row a single empty field.
     """
     counts = (
         rows.where("_hot")
@@ -95,23 +107,23 @@ def _lead_in(rows: DataFrame, split: Split, descending: bool) -> DataFrame:
     key = Window.partitionBy(*split.keys)
     ahead = key.orderBy(seg, F.asc("_sub")).rowsBetween(Window.unboundedPreceding, -1)
     below = key.orderBy(seg).rangeBetween(Window.unboundedPreceding, -1)
+    segment = Window.partitionBy(*split.keys, "_seg")
+    # The subsegments of a single value are one level together, counted at the first.
+    first = F.row_number().over(segment.orderBy("_sub")) == 1
     level = F.when(~F.col("_solo") | F.col("_first"), F.col("_d")).otherwise(0)
-    first = F.row_number().over(Window.partitionBy(*split.keys, "_seg").orderBy("_sub")) == 1
+    carry = F.struct(
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("ahead"),
+        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("below"),
+        F.coalesce(F.sum("_d").over(below), F.lit(0)).alias("levels"),
+        F.sum("_n").over(segment).alias("alike"),
+        F.sum("_n").over(key).alias("all"),
+    )
     return (
         counts.withColumn("_first", first)
         .withColumn("_d", level)
-        .withColumns(
-            {
-                "_ahead": F.sum("_n").over(ahead),
-                "_below": F.sum("_n").over(below),
-                "_levels": F.sum("_d").over(below),
-                "_like": F.sum("_n").over(Window.partitionBy(*split.keys, "_seg")),
-                "_all": F.sum("_n").over(key),
-                "_hot": F.lit(True),
-                "_lead": F.lit(1),
-            }
-        )
+        .withColumn("_carry", carry)
         .drop("_n", "_d", "_first")
+        .withColumns({"_hot": F.lit(True), "_lead": F.lit(1)})
     )
 
 

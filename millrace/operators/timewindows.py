@@ -91,19 +91,16 @@ def sessions(
     split = plan_split(rows, keys, at, spread=spread, parts=parts, min_rows=min_rows)
     numbered = _numbered(split.tag(rows), split.place, F.col(at), F.col(at), gap, [at])
     totals = [F.sum(f"_add_{name}").alias(name) for name in sums]
-    parts_of = numbered.groupBy(*split.place, "_hot", "_session").agg(
+    parts_of = numbered.groupBy(*split.place, "_hot", "_session", "_last").agg(
         F.min(at).alias("start_at"), F.max(at).alias("end_at"), *totals
     )
     names = [*keys, "start_at", "end_at", *sums]
     if not split.needed:
         return parts_of.select(*names)
-    segment = Window.partitionBy(*split.place)
-    edge = (F.col("_session") == F.min("_session").over(segment)) | (
-        F.col("_session") == F.max("_session").over(segment)
-    )
+    edge = (F.col("_session") == 0) | (F.col("_session") == F.col("_last"))
     marked = parts_of.withColumn("_edge", F.col("_hot") & edge)
     order = [*PLACE, "start_at"]
-    pieces = marked.where("_edge").drop("_session")
+    pieces = marked.where("_edge").drop("_session", "_last")
     joined = _numbered(pieces, keys, F.col("start_at"), F.col("end_at"), gap, order)
     merged = joined.groupBy(*keys, "_session").agg(
         F.min("start_at").alias("start_at"),
@@ -121,7 +118,11 @@ def _numbered(
     gap: int,
     order: Sequence[str],
 ) -> DataFrame:
-    """Adds ``_session``: how many times a gap wider than allowed has come so far."""
+    """Adds ``_session``, how many times a gap wider than allowed has come so far, and
+    ``_last``, how many times it comes in all."""
     window = Window.partitionBy(*partition).orderBy(*order)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     breaks = F.when(start - F.lag(end).over(window) > gap, 1).otherwise(0)
-    return df.withColumn("_break", breaks).withColumn("_session", F.sum("_break").over(window))
+    return df.withColumn("_break", breaks).withColumns(
+        {"_session": F.sum("_break").over(window), "_last": F.sum("_break").over(whole)}
+    )
