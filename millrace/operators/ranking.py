@@ -46,20 +46,21 @@ def ranked(
     }
     if not split.needed:
         return _shares(rows.withColumns(ranks), df.columns, tiles)
-    placed = rows.withColumns({**ranks, "_carry": F.first("_carry").over(full)})
+    carried = {name: F.first(name).over(full) for name in ("_carry", "_levels")}
+    placed = rows.withColumns({**ranks, **carried})
 
-    def from_before(local: str, carried: str) -> Column:
+    def from_before(local: str, carry: str) -> Column:
         """The local figure, less the lead-in row's own place, plus what it stands for."""
-        carry = F.col(f"_carry.{carried}")
-        return F.when(carry.isNotNull(), F.col(local) - 1 + carry).otherwise(F.col(local))
+        before = F.col(carry)
+        return F.when(before.isNotNull(), F.col(local) - 1 + before).otherwise(F.col(local))
 
     upto = F.when(F.col("_solo"), F.col("_carry.below") + F.col("_carry.alike"))
     added = placed.where("_lead = 0").withColumns(
         {
             "_position": F.col("_position") + F.coalesce("_carry.ahead", F.lit(0)),
-            "_rank": from_before("_rank", "below"),
-            "_dense": from_before("_dense", "levels"),
-            "_upto": F.coalesce(upto, from_before("_upto", "below")),
+            "_rank": from_before("_rank", "_carry.below"),
+            "_dense": from_before("_dense", "_levels"),
+            "_upto": F.coalesce(upto, from_before("_upto", "_carry.below")),
             "_total": F.coalesce("_carry.all", "_total"),
         }
     )
@@ -92,11 +93,12 @@ def _tile(position: Column, total: Column, tiles: int) -> Column:
 
 
 def _lead_in(rows: DataFrame, split: Split, descending: bool) -> DataFrame:
-    """Per segment, how many rows and levels come before it, packed in ``_carry``.
+    """Per segment, how many rows come before it, packed in ``_carry``, and how many levels.
 
     ``ahead`` counts the rows before the subsegment, ``below`` those before the segment,
-    ``levels`` the distinct values before it, ``alike`` the rows of the segment and ``all``
-    those of the key. As one struct they cost an ordinary row a single empty field.
+    ``alike`` the rows of the segment and ``all`` those of the key. As one struct they cost an
+    ordinary row a single empty field. ``_levels``, the distinct values before the segment,
+    stands apart: it is dear to count, and Spark leaves it out if no dense rank is used.
     """
     counts = (
         rows.where("_hot")
@@ -114,14 +116,15 @@ def _lead_in(rows: DataFrame, split: Split, descending: bool) -> DataFrame:
     carry = F.struct(
         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("ahead"),
         F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("below"),
-        F.coalesce(F.sum("_d").over(below), F.lit(0)).alias("levels"),
         F.sum("_n").over(segment).alias("alike"),
         F.sum("_n").over(key).alias("all"),
     )
     return (
         counts.withColumn("_first", first)
         .withColumn("_d", level)
-        .withColumn("_carry", carry)
+        .withColumns(
+            {"_carry": carry, "_levels": F.coalesce(F.sum("_d").over(below), F.lit(0))}
+        )
         .drop("_n", "_d", "_first")
         .withColumns({"_hot": F.lit(True), "_lead": F.lit(1)})
     )

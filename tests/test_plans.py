@@ -9,7 +9,9 @@ from conftest import MEDIUM, SMALL
 from oracle import connect, duck_rows, spark_rows
 
 from millrace.operators.hot import PARTS_CONF, SMALL_KEY_ROWS_CONF
+from millrace.operators.ranking import ranked
 from millrace.plans import all_queries
+from millrace.sources import table
 from millrace.streaming.drain import session_conf
 
 QUERIES = {query.name: query for query in all_queries()}
@@ -96,3 +98,12 @@ def test_a_split_window_shuffles_its_rows_once(spark, name):
         plan = plan_of(QUERIES[name].build(spark, MEDIUM))
     assert "Union" in plan
     assert "SortMergeJoin" not in plan
+
+
+def test_levels_are_counted_only_for_a_dense_rank(spark):
+    events = table(spark, MEDIUM, "events").select("event_id", "event_type", "value")
+    with session_conf(spark, SPLIT_ALL):
+        found = ranked(events, ["event_type"], "value", "event_id")
+        with_levels = plan_of(found)
+        without = plan_of(found.select("event_id", "row_number", "rank", "cume_dist", "ntile"))
+    assert with_levels.count("Exchange hash") == without.count("Exchange hash") + 1
