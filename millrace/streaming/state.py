@@ -53,12 +53,15 @@ def _preselect(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return select
 
 
-def _closes_ms(day: int) -> int:
-    return (day + 1) * DAY_SECONDS * 1000
+def _keep_largest(k: int) -> Callable:
+    """Folds new rows into the state; on time-out sends on the days that are over.
 
+    Its helpers are nested so that they travel to the executors with it: those need not have
+    this package.
+    """
 
-def _keep_largest(k: int) -> Callable:
-    """Folds new rows into the state; on time-out sends on the days that are over."""
+    def closes_ms(day: int) -> int:
+        return (day + 1) * DAY_SECONDS * 1000
 
     def remember(state: GroupState, best: list[tuple[int, int, int]]) -> None:
         if not best:
@@ -66,7 +69,7 @@ def _keep_largest(k: int) -> Callable:
             return
         state.update(tuple(list(column) for column in zip(*best, strict=True)))
         # A timer goes off once the watermark is beyond it, here once it reaches the day's end.
-        state.setTimeoutTimestamp(_closes_ms(best[0][0]) - 1)
+        state.setTimeoutTimestamp(closes_ms(best[0][0]) - 1)
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -74,7 +77,7 @@ def _keep_largest(k: int) -> Callable:
         best = sorted(zip(*state.get, strict=True)) if state.exists else []
         watermark_ms = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            done = [entry for entry in best if _closes_ms(entry[0]) <= watermark_ms]
+            done = [entry for entry in best if closes_ms(entry[0]) <= watermark_ms]
             remember(state, best[len(done) :])
             sent = [
                 (key[0], day, place, row_id, -falling)
@@ -91,7 +94,7 @@ def _keep_largest(k: int) -> Callable:
                 strict=True,
             )
             # Rows of a day that has been sent on already are late.
-            best.extend(row for row in rows if _closes_ms(row[0]) > watermark_ms)
+            best.extend(row for row in rows if closes_ms(row[0]) > watermark_ms)
             by_day = groupby(sorted(best), key=itemgetter(0))
             best = [row for _, rows_of_day in by_day for row in islice(rows_of_day, k)]
         if best:
