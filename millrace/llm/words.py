@@ -7,6 +7,7 @@ bytes cuts whole characters. Nulls count as empty texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,15 +122,44 @@ def words_of(column: pa.Array, lower: bool = False, hashes: int = 1) -> Words:
     return Words(data, offsets, start, end, first, keys)
 
 
+#: Bytes that are hashed at once; only the memory for it depends on this.
+STRETCH = 1 << 18
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from running sums modulo 2**64."""
-    n = len(data)
+    """A 64-bit hash of each span of bytes, from running sums modulo 2**64.
+
+    Spans are in order and do not overlap.
+    """
     base = BASES[which]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    powers = _powers(base, n + 1)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    value = sums[end] - sums[start]
-    # Every span is moved to the same power, so that equal bytes give equal values anywhere.
-    inverse = _powers(pow(base, -1, 1 << 64), n + 1)
-    value *= inverse[start]
-    return mix(value ^ (end - start).astype(np.uint64), which)
+    out = np.zeros(len(start), dtype=np.uint64)
+    powers = inverse = np.ones(1, dtype=np.uint64)
+    done = 0
+    while done < len(start):
+        begin = start[done]
+        stop = max(int(np.searchsorted(end, begin + STRETCH, side="right")), done + 1)
+        n = int(end[stop - 1] - begin)
+        if n + 1 > len(powers):
+            powers = _powers(base, n + 1)
+            inverse = _powers(pow(base, -1, 1 << 64), n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        part = data[begin : begin + n].astype(np.uint64)
+        part += np.uint64(1)
+        part *= powers[:n]
+        np.cumsum(part, out=sums[1:])
+        first, last = start[done:stop] - begin, end[done:stop] - begin
+        # Every span is moved to the same power, so that equal bytes give equal values anywhere.
+        out[done:stop] = (sums[last] - sums[first]) * inverse[first]
+        done = stop
+    return mix(out ^ (end - start).astype(np.uint64), which)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes of text each, or one longer text."""
+    offsets = text_bytes(batch.column(column))[1]
+    done = 0
+    while done < batch.num_rows:
+        stop = int(np.searchsorted(offsets, offsets[done] + most, side="right")) - 1
+        stop = max(stop, done + 1)
+        yield batch.slice(done, stop - done)
+        done = stop
