@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import encoder
+from millrace.llm.words import slices
 
 WINDOW = 1024
 CLOSING_ID = 0
 #: Tokens of finished pieces that a task gathers before it hands them on.
-HANDED_ON = 1 << 20
+HANDED_ON = 1 << 19
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         own = encoder(tokenizer, keep_ids=True)
         packer = Packer(window, TaskContext.get().partitionId() << 36)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids, first = own.sequences(batch.column("text"))
             bounds = first.tolist()
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):

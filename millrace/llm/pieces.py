@@ -17,7 +17,7 @@ import pyarrow as pa
 from millrace.llm.words import span_hashes, text_bytes
 
 #: Distinct pieces kept by a worker before it starts its store afresh; only memory depends on it.
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,12 +85,11 @@ class Encoder:
             (self.known.get(k, -1) for k in keys.tolist()), dtype=np.int64, count=len(keys)
         )
         new = np.flatnonzero(numbers < 0)
-        raw = data.tobytes() if len(new) else b""
         for block in range(0, len(new), 4096):
             some = new[block : block + 4096]
             places = at[some]
             texts = [
-                raw[s:e].decode("utf-8")
+                data[s:e].tobytes().decode("utf-8")
                 for s, e in zip(start[places].tolist(), end[places].tolist(), strict=True)
             ]
             for index, ids in zip(some.tolist(), self.encode(texts), strict=True):

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.plans.registry import Query
 
-MODULES = ("tokens", "repeats", "classifiers")
+MODULES = ("tokens", "repeats", "classifiers", "quality")
 
 
 def llm_queries() -> list[Query]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import encoder
+from millrace.llm.words import slices
 
 #: Characters of a chunk without its overlap, and of the first overlap.
 CHUNK = 32_768
@@ -31,14 +32,14 @@ OVERLAP = 256
 #: Times an overlap grows when a splice fails.
 WIDER = 8
 
-#: A letter, digit or plain stop before a space or line feed: a boundary of tokens for certain.
-BOUNDARY = re.compile(r"[0-9A-Za-z.,](?=[ \n])")
+#: A printable ASCII character before a space or line feed: a boundary of tokens for certain.
+BOUNDARY = re.compile(r"[!-~](?=[ \n])")
 
 
 def _whole(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, keep_ids=False)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("n_bytes"),
                  pa.array(own.counts(batch.column("text")), pa.int64())],
@@ -101,7 +102,7 @@ def count_tokens(
     counted = rows.where(short).mapInArrow(_whole(tokenizer), SCHEMA)
     huge = rows.where(~short)
     width = overlap
-    while not huge.isEmpty():
+    while True:
         parts = (
             huge.withColumn("n_chars", F.length("text"))
             .withColumn("overlap", F.lit(width))
