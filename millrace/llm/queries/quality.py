@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import host_rules as rules
+from millrace.llm.decontamination import overlaps
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
@@ -80,3 +81,12 @@ FROM judged JOIN verdicts USING (host)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return rules.with_verdicts(docs, "doc_id")
+
+
+@registry.query(None)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each text that holds a benchmark passage, and each item; clean texts give none."""
+    return overlaps(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark"),
+    )
