@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.near_duplicates import near_duplicates
 from millrace.llm.substrings import remove_repeated_windows
 from millrace.plans.registry import Registry
 from millrace.sources import table
@@ -49,3 +50,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256")
     )
+
+
+@registry.query(None)
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
