@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.language_model import score_texts
 from millrace.llm.toxicity import ToxicityModel, fit_toxicity
 from millrace.plans.registry import Registry
 from millrace.sources import table
@@ -35,3 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= TOXIC).cast("int").alias("predicted"),
     )
+
+
+@registry.query(None)
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, remainder(10) != 0).withColumn(
+        "held_out", F.coalesce(remainder(10) == 0, F.lit(False))
+    )
