@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.byte_spans import remove_repeated_bytes
 from millrace.llm.near_duplicates import near_duplicates
 from millrace.llm.substrings import remove_repeated_windows
 from millrace.plans.registry import Registry
@@ -55,3 +56,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(None)
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registry.query(None)
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_bytes(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )

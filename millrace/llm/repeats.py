@@ -44,11 +44,13 @@ CELLS = "block long, slice long, cells binary, several binary"
 @dataclass
 class Blocks:
     """docs: block, digest, doc_id, text and what else was given. copies: block, copy_id, copied
-    (the digest) of the rows that repeat an earlier document's text. cells: cells of a row of the sketch."""
+    (the digest) of the rows that repeat an earlier document's text. cells: cells of a row of the sketch.
+    count: blocks."""
 
     docs: DataFrame
     copies: DataFrame
     cells: int
+    count: int
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -91,7 +93,7 @@ def blocks_of(docs: DataFrame, bytes_per_anchor: int, block_bytes: int = BLOCK_B
     # At least as many partitions as the session's, at most one per block.
     parts = min(count, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 8))
     blocked = docs.select(block.alias("block"), F.md5(text.cast("binary")).alias("digest"), "*")
-    return Blocks(blocked.repartition(parts, "block"), copies, cells)
+    return Blocks(blocked.repartition(parts, "block"), copies, cells, count)
 
 
 def cells_of(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
