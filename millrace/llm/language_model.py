@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import stored
 from millrace.llm.words import mix, slices, words_of
-from millrace.sources.tables import scratch_path
 
 #: Base of the quantised counts.
 LEVEL = 1.5
@@ -274,27 +274,20 @@ def score_texts(
 
     training: a condition on docs(doc_id, text); rows where it is true are learned from.
     """
-    spark = docs.sparkSession
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     train = docs.where(training).select("text")
     # White space and words take four bytes at least for a token on the whole; more blocks than
     # needed do no harm.
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, size // 6 // TOKENS_PER_BLOCK)
     lists = "block long, keys binary, counts binary"
-    single = kept(train.mapInArrow(_counts(False, blocks), lists), "lm-ones")
-    exact = kept(single.groupBy("block").applyInArrow(_exact, "token long, c long"), "lm-exact")
+    single = stored(train.mapInArrow(_counts(False, blocks), lists), "lm-ones")
+    exact = stored(single.groupBy("block").applyInArrow(_exact, "token long, c long"), "lm-exact")
     starts = int(np.array(START).view(np.int64))
     words = exact.where(F.col("token") != starts)
     n_train, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = "block long, bits binary"
     ones = Filter.of([tuple(r) for r in single.groupBy("block").applyInArrow(_built, bits).collect()], blocks)
-    built = kept(
+    built = stored(
         train.mapInArrow(_counts(True, blocks), lists).groupBy("block").applyInArrow(_built, bits), "lm-pairs"
     )
     # The head: all tokens from the least count on of which there are few enough.
@@ -316,7 +309,7 @@ def score_texts(
             held = 0
         held += n
     edges.append(blocks)
-    context = spark.sparkContext
+    context = docs.sparkSession.sparkContext
     shared_ones, shared_head = context.broadcast(ones), context.broadcast(head)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = None
@@ -324,7 +317,7 @@ def score_texts(
         own = built.where((F.col("block") >= low) & (F.col("block") < high)).collect()
         pairs = context.broadcast(Filter.of([tuple(r) for r in own], blocks))
         run = _scored(shared_ones, pairs, shared_head, n_train, n_distinct, least, k == 0)
-        part = kept(rows.select("row", "text").mapInArrow(run, SCORED), "lm-scored")
+        part = stored(rows.select("row", "text").mapInArrow(run, SCORED), "lm-scored")
         found = part if found is None else found.unionByName(part)
         pairs.unpersist()
     total = n_train + 0.1 * (n_distinct + 1)

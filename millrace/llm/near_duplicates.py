@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import stored
 from millrace.llm.words import slices, words_of
-from millrace.sources.tables import scratch_path
 
 WORDS = 5
 #: A link: intersection / union at least so much, in percent.
@@ -48,13 +48,6 @@ LEVELS = 6
 LEAF = 16
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage is cut and sizes are known."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts, each text's in order, and their bounds."""
     words = words_of(column, lower=True)

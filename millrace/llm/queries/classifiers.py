@@ -23,13 +23,13 @@ def remainder(divisor: int) -> Column:
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ToxicityModel:
     """Fitted on the labelled rows of docs that are not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(4) != 2)
-    return fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit_toxicity(docs, labels)
 
 
 @registry.query(None)
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = toxicity_model(spark, sf_dir, docs).score(docs, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_model(spark, sf_dir, docs).score(docs)
     return scored.select(
         "doc_id",
         F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),

@@ -11,9 +11,9 @@ and the calibration are each fitted on their own part of a bounded sample of lab
 that none sees its own training rows through another. Scoring covers every row.
 
 Defined results: a null or empty text has all features zero and gets the score that the trees
-and the calibration give it; a null doc_id keeps its row; with no toxic or no clean training
-row, every score is the share of toxic ones (0.5 without labels); repeated rows are repeated in
-the result; other columns are ignored.
+and the calibration give it; a null doc_id keeps its row; with fewer than FEWEST toxic or clean
+rows to grow trees on, the score follows from the number of strong lexicon entries alone;
+repeated rows are repeated in the result; all given columns are kept but one called score.
 """
 
 from __future__ import annotations
@@ -23,20 +23,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.llm.scratch import stored
 from millrace.llm.words import BASES, MASK, mix, slices, span_hashes, text_bytes
 
 #: Labelled rows that are used for fitting, at most: those with the smallest hashes of doc_id.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Entries of the learned lexicon, at most.
 ENTRIES = 2_000
 TREES, DEPTH = 30, 4
+#: Toxic and clean rows that trees need, at least.
+FEWEST = 12
+#: An entry's log odds times the root of its toxic texts, at least: few texts prove nothing.
+SURE = 6
 #: Words from a lexicon hit within which a second-person word counts as near.
 NEAR = 4
 
@@ -210,9 +216,8 @@ def learned_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .mapInArrow(_entry_counts, "entry long, texts long, toxic long")
         .groupBy("entry")
         .agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-        .where("toxic >= 3")
         .withColumn("weight", weight)
-        .where("weight > 1.5")
+        .where(f"weight > 1.5 AND weight * sqrt(toxic) >= {SURE}")
         # Frequent entries first; the list is a bounded part of the model.
         .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry")
         .limit(ENTRIES)
@@ -232,32 +237,37 @@ class ToxicityModel:
     weights: np.ndarray
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
-    share: float
 
-    def features(self, docs: DataFrame, *columns: str) -> DataFrame:
+    def features(self, rows: DataFrame) -> DataFrame:
+        """rows(given: struct with text) with the vector column `features`."""
         keys, weights = self.keys, self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in slices(whole, "text")):
-                values = features_of(batch.column("text"), keys, weights)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in columns]
-                    + [pa.array(np.ascontiguousarray(v)) for v in values.T],
-                    [*columns, *FEATURES],
-                )
-
-        kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-        schema = [f"`{c}` {kinds[c]}" for c in columns] + [f"{c} double" for c in FEATURES]
-        found = docs.select(*columns, "text").mapInArrow(run, ", ".join(schema))
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
-
-    def score(self, docs: DataFrame, *columns: str) -> DataFrame:
-        """The named columns of docs(text, ...) and score."""
-        if self.trees is None:
-            return docs.select(*columns, F.lit(self.share).alias("score"))
-        return self.calibrated(self.raw(self.features(docs, *columns))).select(*columns, "score")
+            for whole in batches:
+                given = whole.column("given")
+                texts = pa.RecordBatch.from_arrays([given, pc.struct_field(given, "text")], ["given", "text"])
+                for batch in slices(texts, "text"):
+                    values = features_of(batch.column("text"), keys, weights)
+                    bounds = pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32())
+                    flat = pa.ListArray.from_arrays(bounds, pa.array(values.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("given"), flat], ["given", "flat"])
+
+        schema = T.StructType().add(rows.schema["given"]).add("flat", T.ArrayType(T.DoubleType()))
+        return rows.mapInArrow(run, schema).select("given", array_to_vector("flat").alias("features"))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """docs(text, ...) with score; a column of that name is replaced.
+
+        The given columns travel as one struct, so that none meets the model's own names.
+        """
+        columns = [c for c in docs.columns if c.lower() != "score"]
+        found = self.features(docs.select(F.struct(*columns).alias("given")))
+        return self.calibrated(self.raw(found)).select("given.*", "score")
 
     def raw(self, found: DataFrame) -> DataFrame:
+        if self.trees is None:
+            hits = F.expm1(vector_to_array("features")[FEATURES.index("strong_hits")])
+            return found.withColumn("raw", 1 - 0.95 * F.pow(F.lit(0.55), hits))
         scored = self.trees.transform(found)
         return scored.withColumn("raw", vector_to_array("probability")[1])
 
@@ -270,39 +280,35 @@ class ToxicityModel:
         )
 
 
-def fit_toxicity(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """From labelled(doc_id, text, toxic): a row per label; toxic 1 or 0."""
-    order = F.xxhash64("doc_id", F.lit(17))
-    rows = (
-        labelled.where("toxic IS NOT NULL")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"))
-        .withColumn("order", order)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    """From the texts of docs(doc_id, text) and labels(doc_id, toxic), toxic 1 or 0.
+
+    Of more than `sample` labels those with the smallest hashes are used. They are few enough to
+    be broadcast, so that no text is shuffled.
+    """
+    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", F.col("toxic").cast("double").alias("toxic"), F.xxhash64("doc_id", F.lit(17)).alias("order")
     )
-    count = rows.count()
-    if count > sample:
-        # The smallest hashes, without sorting texts: the bound is read off the hashes alone.
-        bound = rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
-        rows = rows.where(F.col("order") <= bound)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(10))).checkpoint()
-    n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
-    share = float(bad / n) if n else 0.5
-    own = rows.where("part < 4")
-    model = ToxicityModel(*learned_lexicon(own), None, None, share)
-    grown = rows.where("part >= 4")
-    have = {r[0]: r[1] for r in grown.groupBy("toxic").count().collect()}
-    if len(have) < 2:
+    picked = stored(marks.orderBy("order", "doc_id").limit(sample).drop("order"), "toxic-labels")
+    rows = stored(
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(picked), "doc_id")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(10))),
+        "toxic-rows",
+    )
+    model = ToxicityModel(*learned_lexicon(rows.where("part < 4")), None, None)
+    have = {(r[0], r[1]): r[2] for r in rows.groupBy(F.expr("part >= 8"), "toxic").count().collect()}
+    if min(sum(have.get((late, toxic), 0) for late in (False, True)) for toxic in (0.0, 1.0)) < FEWEST:
         return model
-    data = model.features(grown, "doc_id", "toxic", "part").checkpoint()
-    trees = GBTClassifier(
+    data = model.features(rows.where("part >= 4").select(F.struct("text", "toxic", "part").alias("given")))
+    data = data.select("features", "given.toxic", "given.part").checkpoint()
+    # A small table; a few partitions keep the many small jobs short.
+    fitting, held = data.where("part < 8").coalesce(2), data.where("part >= 8").coalesce(2)
+    model.trees = GBTClassifier(
         featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2,
         minInstancesPerNode=5, maxBins=64, seed=7,
-    )
-    fitting, held = data.where("part < 8").coalesce(2), data.where("part >= 8").coalesce(2)
-    if fitting.select("toxic").distinct().count() < 2:
-        fitting = data.coalesce(2)
-    model.trees = trees.fit(fitting)
-    counts = held.agg(F.count("*"), F.sum("toxic")).first()
-    if counts[1] and 20 <= counts[1] < counts[0]:
+    ).fit(fitting)
+    if min(have.get((True, 0.0), 0), have.get((True, 1.0), 0)) >= 20:
         model.calibration = IsotonicRegression(
             featuresCol="raw", labelCol="toxic", predictionCol="calibrated"
         ).fit(model.raw(held).select("raw", "toxic"))
