@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import Raised, blocks_of, copied, live, raised_cells
+from millrace.llm.repeats import Raised, blocks_of, carried, copied, live, raised_cells
 from millrace.llm.words import BASES, MASK, _powers, mix, text_bytes
 
 WINDOW = 50
@@ -258,7 +258,7 @@ def _judged(window: int):
     return judge
 
 
-def _removed(window: int, columns: list[str]):
+def _removed(window: int):
     def remove(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         texts = docs.column("text").combine_chunks()
         data, offsets, text, begin, count, _ = segments_of(texts, window)
@@ -299,7 +299,7 @@ def _removed(window: int, columns: list[str]):
             removed.append(n)
             spans_found.append(int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum()) if n else 0)
             kept.append(data[a:b][~own].tobytes() if n else data[a:b].tobytes())
-        found = {c: docs.column(c) for c in columns} | {
+        found = {c: docs.column(c) for c in ("doc_id", "text", "given")} | {
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
             "n_spans": pa.array(spans_found, pa.int64()),
@@ -315,9 +315,7 @@ ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text, ...) with ADDED: kept_bytes is what is left of the text's bytes."""
-    clash = [c for c in docs.columns if c.lower() in ("block", "digest", *ADDED)]
-    docs = docs.drop(*clash).withColumn("doc_id", F.col("doc_id").cast("long"))
-    columns = docs.columns
+    given, docs = carried(docs, ADDED)
     blocks = blocks_of(docs, BYTES_PER_ANCHOR)
     flags = raised_cells(blocks, _anchors(window))
     segments = (
@@ -339,5 +337,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         blocks.docs.groupBy("block")
         .cogroup(verdicts.groupBy("block"))
-        .applyInArrow(_removed(window, columns), kinds.add("kept_bytes", "binary"))
+        .applyInArrow(_removed(window), kinds.add("kept_bytes", "binary"))
+        .select("doc_id", "text", *given, *ADDED)
     )

@@ -64,6 +64,18 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
+def carried(docs: DataFrame, added: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """How to take the other columns back, and docs as doc_id, text and a struct of those.
+
+    Columns named as one of `added` are dropped; no other name can clash inside the struct.
+    """
+    own = {"doc_id", "text", *added}
+    others = [c for c in docs.columns if c.lower() not in own]
+    struct = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", struct.alias("given"))
+    return [f"given.`{c}`" for c in others], slim
+
+
 def blocks_of(docs: DataFrame, bytes_per_anchor: int, block_bytes: int = BLOCK_BYTES) -> Blocks:
     """One pass over the texts measures them and makes their digests; the digests are kept."""
     text = F.coalesce("text", F.lit(""))

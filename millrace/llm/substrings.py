@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import Raised, blocks_of, copied, live, raised_cells
+from millrace.llm.repeats import Raised, blocks_of, carried, copied, live, raised_cells
 from millrace.llm.words import Words, words_of
 
 WINDOW = 13
@@ -91,7 +91,7 @@ def cut_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.nd
     return b"".join(pieces)
 
 
-def _removed(window: int, columns: list[str]):
+def _removed(window: int):
     def remove(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         n = docs.num_rows
         texts = docs.column("text").combine_chunks()
@@ -125,7 +125,7 @@ def _removed(window: int, columns: list[str]):
             out[i] = cut_text(
                 words.data[base:end], words.start[a:b] - base, words.end[a:b] - base, ~gone[a:b]
             ).decode("utf-8")
-        found = {c: docs.column(c) for c in columns} | {
+        found = {c: docs.column(c) for c in ("doc_id", "text", "given")} | {
             "text": pa.array(out, pa.string()),
             "n_words": pa.array(np.diff(words.first), pa.int64()),
             "n_removed": pa.array(n_removed, pa.int64()),
@@ -137,9 +137,7 @@ def _removed(window: int, columns: list[str]):
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text, ...) with text cut, and n_words (before) and n_removed added."""
-    clash = [c for c in docs.columns if c.lower() in ("block", "digest", "n_words", "n_removed")]
-    docs = docs.drop(*clash).withColumn("doc_id", F.col("doc_id").cast("long"))
-    columns = docs.columns
+    given, docs = carried(docs, ("n_words", "n_removed"))
     blocks = blocks_of(docs, BYTES_PER_ANCHOR)
     flags = raised_cells(blocks, _anchors(window))
     candidates = (
@@ -164,6 +162,6 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         blocks.docs.groupBy("block")
         .cogroup(verdicts.groupBy("block"))
-        .applyInArrow(_removed(window, columns), kept)
-        .select(*columns, "n_words", "n_removed")
+        .applyInArrow(_removed(window), kept)
+        .select("doc_id", "text", *given, "n_words", "n_removed")
     )
