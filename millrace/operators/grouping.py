@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Aggregates whose totals are no sums of their parts.
+NOT_ADDING_UP = re.compile(
+    r"\b(avg|mean|min|max|median|mode|first|last|any_value|percentile\w*|approx\w*|stddev\w*|std"
+    r"|var\w*|corr|covar\w*|collect\w*|max_by|min_by)\b",
+    re.IGNORECASE,
+)
+
 
 def grouping_totals(
     df: DataFrame,
@@ -17,12 +25,16 @@ def grouping_totals(
 ) -> DataFrame:
     """Totals over ``rollup``, ``cube`` or the given grouping sets of the dimensions.
 
-    ``sums`` names aggregates whose totals add up, such as a sum or a count.
+    ``sums`` names aggregates whose totals add up: sums and counts. Others raise a
+    ValueError; distinct ones do not add up either, but their names do not tell them.
 
     Spark copies every input row once per grouping set. Sums of sums are sums, so the rows
     are first grouped by all dimensions and only those few groups are copied. ``flags`` names
     a column for ``grouping(dimension)``.
     """
+    for name, total in sums.items():
+        if NOT_ADDING_UP.search(str(total)):
+            raise ValueError(f"totals of {name} do not add up: {total}")
     finest = df.groupBy(*dims).agg(*[total.alias(name) for name, total in sums.items()])
     if sets == "rollup":
         grouped = finest.rollup(*dims)
@@ -35,12 +47,14 @@ def grouping_totals(
 
 
 def pivot_sums(
-    df: DataFrame, rows: Sequence[str], across: str, values: Sequence[str], amount: Column
+    df: DataFrame,
+    rows: Sequence[str],
+    across: str,
+    values: Sequence[str],
+    amount: Column,
+    other: str = "other",
 ) -> DataFrame:
-    """One column per listed value; listing them saves Spark a pass to find them."""
-    return df.groupBy(*rows).pivot(across, list(values)).agg(F.sum(amount))
-
-
-def distinct_sketches(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """A mergeable distinct-count sketch (HLL) per group, a few kilobytes whatever its size."""
-    return df.groupBy(*keys).agg(F.hll_sketch_agg(column).alias(name))
+    """One column per listed value, and ``other`` for all the rest, NULL included."""
+    listed = F.when(F.col(across).isin(*values), F.col(across)).otherwise(other)
+    named = df.withColumn(across, listed)
+    return named.groupBy(*rows).pivot(across, [*values, other]).agg(F.sum(amount))

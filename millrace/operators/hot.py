@@ -7,25 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is no burden for one task and is never split. The session
-# may set another bound.
+# The session may name a number of rows up to which keys are never split; by default only a
+# key's share of the rows counts, whatever the size of the input.
 SMALL_KEY_ROWS_CONF = "spark.millrace.smallKeyRows"
-SMALL_KEY_ROWS = 200_000
 # Into how many pieces a hot key is cut. By default several per shuffle partition, as pieces
 # find their partition by hash and a few each even out better than one each.
 PARTS_CONF = "spark.millrace.parts"
 PARTS_PER_PARTITION = 4
-FEWEST_PARTS, MOST_PARTS = 8, 4_096
+FEWEST_PARTS = 8
 
 
 def part_count(spark: SparkSession) -> int:
     by_default = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = int(spark.conf.get(PARTS_CONF, str(by_default)))
-    return max(FEWEST_PARTS, min(MOST_PARTS, wanted))
+    return max(FEWEST_PARTS, wanted)
 
 
 def small_key_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(SMALL_KEY_ROWS_CONF, str(SMALL_KEY_ROWS)))
+    return int(spark.conf.get(SMALL_KEY_ROWS_CONF, "0"))
 
 
 def hot_keys(

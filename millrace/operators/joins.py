@@ -16,20 +16,56 @@ from millrace.operators.running import BEST, running
 
 
 def keep_matched(
-    rows: DataFrame, others: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
+    rows: DataFrame,
+    others: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    unique: bool = False,
 ) -> DataFrame:
     """The rows whose key occurs among the others (a semi join).
 
-    Only distinct keys of the other side are shuffled; repeats collapse before that.
+    Only distinct keys of the other side are shuffled; repeats collapse before that. With
+    ``unique`` each key is in one row, so that none can be hot and none is looked for.
     """
-    return spread_join(rows, others.select(*keys).distinct(), keys, "left_semi", spread_by)
+    return _kept(rows, others, keys, spread_by, unique, "left_semi")
 
 
 def keep_unmatched(
-    rows: DataFrame, others: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
+    rows: DataFrame,
+    others: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    unique: bool = False,
 ) -> DataFrame:
     """The rows whose key does not occur among the others (an anti join)."""
-    return spread_join(rows, others.select(*keys).distinct(), keys, "left_anti", spread_by)
+    return _kept(rows, others, keys, spread_by, unique, "left_anti")
+
+
+def _kept(
+    rows: DataFrame,
+    others: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    unique: bool,
+    how: str,
+) -> DataFrame:
+    distinct = others.select(*keys).distinct()
+    if unique:
+        return rows.join(distinct, list(keys), how)
+    return spread_join(rows, distinct, keys, how, spread_by)
+
+
+def full_outer_with_unique(
+    rows: DataFrame, unique: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
+) -> DataFrame:
+    """A full outer join of many rows with a side of at most one row per key.
+
+    A left join that can be split, and the unique rows that met nothing.
+    """
+    met = spread_join(rows, unique, keys, "left", spread_by)
+    return met.unionByName(
+        keep_unmatched(unique, rows, keys, keys, unique=True), allowMissingColumns=True
+    )
 
 
 def full_outer(

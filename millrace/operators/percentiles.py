@@ -23,7 +23,7 @@ def exact_percentiles(
 
     Spark's ``percentile`` keeps every distinct value of a group in one task's memory. Here
     the rows of a hot group are first counted by segment; only the segments that hold a
-    wanted position are then sorted.
+    wanted position are then sorted. A group without values has NULLs.
     """
     rows = df.where(F.col(value).isNotNull()).select(*{*keys, value, *spread})
     split = plan_split(rows, keys, value, spread=spread, parts=parts, min_rows=min_rows)
@@ -49,7 +49,11 @@ def exact_percentiles(
         high = F.max(F.when(F.col("_at") == F.ceil(position), F.col(value)))
         weight = F.max(position - F.floor(position))
         picks.append((low + (high - low) * weight).alias(name))
-    return placed.groupBy(*keys).agg(*picks)
+    found = placed.groupBy(*keys).agg(*picks)
+    if not keys:
+        return found
+    without = df.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0").drop("_n")
+    return found.unionByName(without, allowMissingColumns=True)
 
 
 def _with_wanted_segments(

@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,15 +26,32 @@ from millrace.operators.hot import flag_hot, hot_keys, part_count, small_key_row
 PLACE = ["_seg", "_sub"]
 
 
-def _literal(point: int | float) -> str:
-    return f"{point}L" if isinstance(point, int) else f"{point!r}D"
+Point = int | float | Decimal
 
 
-def _array(points: Sequence[int | float]) -> str:
+def _literal(point: Point) -> str:
+    if isinstance(point, int):
+        return f"{point}L"
+    if isinstance(point, Decimal):
+        return f"{point:f}BD"
+    return f"{point!r}D" if math.isfinite(point) else f"double('{point!r}')"
+
+
+def _in_order(points: Iterable[Point]) -> list[Point]:
+    """Sorted as Spark sorts: NaN last."""
+    return sorted(points, key=lambda point: (point != point, point))
+
+
+def _cuts(points: Sequence[Point]) -> Counter[Point]:
+    """How often each point was found; all NaNs are one point."""
+    return Counter(math.nan if point != point else point for point in points)
+
+
+def _array(points: Sequence[Point]) -> str:
     return f"array({', '.join(map(_literal, points))})"
 
 
-def count_below(points: Sequence[int | float], value: Column, inclusive: bool = False) -> Column:
+def count_below(points: Sequence[Point], value: Column, inclusive: bool = False) -> Column:
     """How many of the sorted points lie below the value (or at it).
 
     Looks first at every k-th point and then within one run of k, so a row costs about twice
@@ -54,10 +72,10 @@ def count_below(points: Sequence[int | float], value: Column, inclusive: bool =
     return F.when(run == 0, 0).otherwise((run - 1) * width + within)
 
 
-def _thinned(points: Sequence[int | float], wanted: int) -> tuple[int | float, ...]:
+def _thinned(points: Sequence[Point], wanted: int) -> tuple[Point, ...]:
     """About as many of the sorted points as wanted, evenly chosen, each once."""
     step = max(1, len(points) // wanted)
-    return tuple(sorted(set(points[step - 1 :: step])))
+    return tuple(_in_order(_cuts(points[step - 1 :: step])))
 
 
 @dataclass(frozen=True)
@@ -76,9 +94,9 @@ class Split:
     tie: str | None
     hot: DataFrame | None
     everything_hot: bool
-    points: tuple[int | float, ...]
-    solid: tuple[int | float, ...]
-    ties: tuple[tuple[int | float, ...], ...]
+    points: tuple[Point, ...]
+    solid: tuple[Point, ...]
+    ties: tuple[tuple[Point, ...], ...]
     spread: tuple[str, ...]
     parts: int
 
@@ -156,10 +174,10 @@ def plan_split(
     rows = split.flagged(df.select(*keys, by, *([tie] if tie else []))).where("_hot")
     shares = [i / parts for i in range(1, parts)]
     accuracy = max(10_000, 20 * parts)
-    cuts = Counter(rows.agg(F.percentile_approx(by, shares, accuracy)).first()[0] or [])
-    points = tuple(sorted(cuts))
+    cuts = _cuts(rows.agg(F.percentile_approx(by, shares, accuracy)).first()[0] or [])
+    points = tuple(_in_order(cuts))
     solid = tuple(point for point in points if cuts[point] > 1)
-    ties: tuple[tuple[int | float, ...], ...] = ()
+    ties: tuple[tuple[Point, ...], ...] = ()
     if solid and tie:
         most = max(cuts[point] for point in solid) + 1
         shares = [i / most for i in range(1, most)]
@@ -171,5 +189,6 @@ def plan_split(
             .collect()
         )
         # A value that fills n pieces needs n cuts, so all of them together stay below `parts`.
-        ties = tuple(_thinned(row["cuts"] or [], cuts[row[by]] + 1) for row in found)
+        own = {repr(point): count for point, count in cuts.items()}
+        ties = tuple(_thinned(row["cuts"] or [], own[repr(row[by])] + 1) for row in found)
     return replace(split, points=points, solid=solid, ties=ties)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # One task makes at most so many copies of a row before the next task takes over.
-COPIES_PER_TASK = 1_000_000
+COPIES_PER_TASK = 1_000
 
 
 def intersect_all(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -35,20 +35,17 @@ def _copies(
 ) -> DataFrame:
     """Repeats each row as wanted.
 
-    Spark's own INTERSECT ALL and EXCEPT ALL make all copies of a row in one task. Here a row
-    with very many is first dealt out as shares, and each share makes its own copies.
+    Spark's own INTERSECT ALL and EXCEPT ALL make all copies of a row in one task. Here every
+    row is first dealt out as shares of at most so many copies, and each share makes its own.
     """
-    rows = counts.select(*columns, wanted.alias("_n"))
-    few = rows.where((F.col("_n") > 0) & (F.col("_n") <= most))
-    many = rows.where(F.col("_n") > most)
+    rows = counts.select(*columns, wanted.alias("_n")).where("_n > 0")
     last = F.call_function("div", F.col("_n") - 1, F.lit(most))
     rest = F.when(F.col("_share") == last, F.col("_n") - last * most).otherwise(most)
     shares = (
-        many.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        rows.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .withColumn("_n", rest)
         .repartition("_share", *columns)
         .drop("_share")
     )
-    every = few.unionByName(shares)
     ones = F.array_repeat(F.lit(True), F.col("_n").cast("int"))
-    return every.select(*columns, F.explode(ones).alias("_one")).drop("_one")
+    return shares.select(*columns, F.explode(ones).alias("_one")).drop("_one")

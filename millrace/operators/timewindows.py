@@ -23,11 +23,16 @@ def tumbling_sums(
 def sliding_sums(
     df: DataFrame, at: str, size: str, slide: str, keys: Sequence[str], sums: Mapping[str, Column]
 ) -> DataFrame:
-    """Sums over overlapping windows; ``size`` is a whole multiple of ``slide``.
+    """Sums over overlapping windows; ``size`` must be a whole multiple of ``slide``.
 
     Rows are first added up per slide-wide pane. Spark then copies the panes into every
     window they belong to, where it would otherwise copy the rows.
     """
+    start = "timestamp_ntz '2000-01-01 00:00:00'"
+    lengths = [f"timestampdiff(MICROSECOND, {start}, {start} + INTERVAL '{n}')" for n in (size, slide)]
+    whole, step = df.sparkSession.range(1).select(*map(F.expr, lengths)).first()
+    if whole % step:
+        raise ValueError(f"{size} is no whole multiple of {slide}")
     panes = tumbling_sums(df, at, slide, keys, sums)
     window = F.window("window_start", size, slide)
     totals = [F.sum(name).alias(name) for name in sums]

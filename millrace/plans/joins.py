@@ -9,7 +9,7 @@ from millrace.functions.money import amount, cents, exact_sum, net_units
 from millrace.functions.times import HOUR, SECOND, micros
 from millrace.operators.joins import (
     as_of_join,
-    full_outer,
+    full_outer_with_unique,
     interval_join,
     keep_matched,
     keep_unmatched,
@@ -33,7 +33,7 @@ def orders_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("l_returnflag = 'R'")
         .select(F.col("l_orderkey").alias("o_orderkey"))
     )
-    return keep_matched(orders, returned, ["o_orderkey"], ["o_orderkey"])
+    return keep_matched(orders, returned, ["o_orderkey"], ["o_orderkey"], unique=True)
 
 
 @registry.query("""
@@ -43,7 +43,7 @@ def orders_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return keep_unmatched(orders, lines, ["o_orderkey"], ["o_orderkey"])
+    return keep_unmatched(orders, lines, ["o_orderkey"], ["o_orderkey"], unique=True)
 
 
 @registry.query("""
@@ -76,13 +76,12 @@ def urgent_or_returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH urgent AS (SELECT o_orderkey, o_totalprice FROM orders
                     WHERE o_orderpriority = '1-URGENT'),
          returned AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem
-                      WHERE l_returnflag = 'R' AND l_quantity > 40)
+                      WHERE l_returnflag = 'R')
     SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, o_totalprice, l_partkey, l_linenumber
     FROM urgent FULL OUTER JOIN returned ON o_orderkey = l_orderkey
 """)
 def urgent_orders_and_bulk_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row by row: lines of one order may be many, so the join is built from parts that
-    split."""
+    """Row by row: lines of one order may be many, but an order is one row."""
     urgent = (
         table(spark, sf_dir, "orders")
         .where("o_orderpriority = '1-URGENT'")
@@ -90,11 +89,11 @@ def urgent_orders_and_bulk_returns(spark: SparkSession, sf_dir: str) -> DataFram
     )
     returned = (
         table(spark, sf_dir, "lineitem")
-        .where("l_returnflag = 'R' and l_quantity > 40")
+        .where("l_returnflag = 'R'")
         .select(F.col("l_orderkey").alias("orderkey"), "l_partkey", "l_linenumber")
     )
-    return full_outer(
-        urgent, returned, ["orderkey"], ["orderkey"], ["l_partkey", "l_linenumber", "orderkey"]
+    return full_outer_with_unique(
+        returned, urgent, ["orderkey"], ["l_partkey", "l_linenumber", "orderkey"]
     )
 
 

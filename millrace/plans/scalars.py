@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.money import cents
 from millrace.functions.vectorized import WordsWithPlaces, longest_run, smoothed_daily
-from millrace.operators.ranking import top_per_group
+from millrace.operators.ranking import ranked, top_per_group
 from millrace.plans.registry import Registry
 from millrace.sources import table
 
 registry = Registry()
 
+# Rows of one chunk of a complete ordered list.
+CHUNK = 20
+
 
 @registry.query("""
     SELECT c_custkey, upper(c_mktsegment) AS upper_segment,
@@ -157,7 +160,7 @@ def totals_by_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50
 """)
 def events_with_large_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     label = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
     events = table(spark, sf_dir, "events").select("event_id", k.alias("k"), label.alias("label"))
     return events.where("k >= 50")
@@ -195,6 +198,29 @@ def last_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("o_custkey").agg(F.array_join(keys, ",").alias("last_orders"))
 
 
+@registry.query("""
+    SELECT o_custkey, chunk, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY place) AS orders
+    FROM (SELECT o_custkey, o_orderkey, place, (place - 1) // 20 AS chunk
+          FROM (SELECT o_custkey, o_orderkey,
+                       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place
+                FROM orders))
+    GROUP BY o_custkey, chunk
+""")
+def all_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ordered list of each customer's orders, in numbered chunks of bounded size."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    placed = ranked(orders, ["o_custkey"], "o_orderkey", "o_orderkey").select(
+        "o_custkey", "o_orderkey", F.col("row_number").cast("long").alias("place")
+    )
+    chunk = F.call_function("div", F.col("place") - 1, F.lit(CHUNK))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "o_orderkey")))
+    keys = F.transform(ordered, lambda entry: entry["o_orderkey"].cast("string"))
+    return (
+        placed.groupBy("o_custkey", chunk.alias("chunk"))
+        .agg(F.array_join(keys, ",").alias("orders"))
+    )
+
+
 @registry.query("""
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
                FROM embeddings)
@@ -205,7 +231,7 @@ def last_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(len(list_filter(e, lambda x: x > 0)) AS INTEGER) AS n_positive,
            CAST(list_position(e, list_max(e)) AS INTEGER) AS place_of_max,
            len(list_filter(e, lambda x: abs(x) > 0.4)) > 0 AS has_peak,
-           round(list_sum(list_transform(list_zip(e[1:63], e[2:64]), lambda p: p[1] * p[2])), 6)
+           round(list_sum(list_transform(list_zip(e[1:len(e) - 1], e[2:len(e)]), lambda p: p[1] * p[2])), 6)
                AS neighbour_product,
            round(list_reverse_sort(e)[3], 6) AS third_largest
     FROM v
@@ -216,7 +242,9 @@ def embedding_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")
     )
-    products = F.zip_with(F.slice(e, 1, 63), F.slice(e, 2, 63), lambda x, y: x * y)
+    products = F.zip_with(
+        F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e) - 1), lambda x, y: x * y
+    )
 
     def total(array: Column) -> Column:
         return F.aggregate(array, zero, lambda acc, x: acc + x)
@@ -238,7 +266,7 @@ def embedding_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("""
     WITH signs AS (
         SELECT vec_id, i, sign(embedding[i]) AS s
-        FROM embeddings CROSS JOIN range(1, 65) AS r(i)),
+        FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i)),
     runs AS (
         SELECT vec_id, s, i - row_number() OVER (PARTITION BY vec_id, s ORDER BY i) AS run
         FROM signs),

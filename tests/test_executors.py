@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 
@@ -41,6 +42,7 @@ print("all ran")
 
 def test_python_functions_bring_what_they_need(tmp_path):
     done = subprocess.run(
-        [sys.executable, "-c", SCRIPT], cwd=tmp_path, capture_output=True, text=True, timeout=300
+        [sys.executable, "-c", SCRIPT], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
     )
     assert "all ran" in done.stdout, done.stderr[-3000:]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 
 import pytest
@@ -12,16 +11,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from skew import skewed_events
 
-from millrace.operators.grouping import grouping_totals
+from millrace.operators.grouping import grouping_totals, pivot_sums
 from millrace.operators.percentiles import exact_percentiles
 from millrace.operators.timewindows import sessions, sliding_sums, trailing_sums
+from millrace.sources.tables import scratch_path
 
 HOUR = 3_600_000_000
 
 
 @pytest.fixture(scope="module")
 def events(spark):
-    target = f"{spark.conf.get('spark.checkpoint.dir')}/skewed-{uuid.uuid4().hex}"
+    target = scratch_path(spark, "skewed")
     skewed_events(spark, SMALL).write.parquet(target)
     return spark.read.parquet(target)
 
@@ -110,3 +110,36 @@ def test_sessions(events, gap, parts):
             current[2:] = [at, current[3] + 1, current[4] + cents]
     rows = found.select("user_id", "start_at", "end_at", "n", "total").collect()
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, map(tuple, expected)))
+
+
+def test_percentiles_keep_groups_without_values(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "k string, v double")
+    found = exact_percentiles(rows, ["k"], "v", {"half": 0.5}, ["v"])
+    assert {tuple(r) for r in found.collect()} == {("a", 2.0), ("b", None)}
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "float", "double"])
+def test_percentiles_of_split_groups_by_type(events, kind):
+    rows = events.withColumn("v", F.col("cents").cast(kind))
+    shares = {"p10": 0.1, "half": 0.5}
+    split = exact_percentiles(rows, ["event_type"], "v", shares, ["event_id"], 20, min_rows=10)
+    whole = exact_percentiles(rows, ["event_type"], "v", shares, ["event_id"], 20, min_rows=10**9)
+    assert spark_rows(split) == spark_rows(whole)
+
+
+def test_sliding_windows_must_be_made_of_whole_panes(events):
+    with pytest.raises(ValueError, match="no whole multiple"):
+        sliding_sums(events, "ts", "5 hours", "2 hours", [], {"n": F.lit(1)})
+
+
+@pytest.mark.parametrize("total", [F.avg, F.min])
+def test_grouping_totals_must_add_up(events, total):
+    with pytest.raises(ValueError, match="do not add up"):
+        grouping_totals(events, ["event_type"], "rollup", {"x": total("cents")})
+
+
+def test_pivot_keeps_what_is_not_listed(events):
+    rows = events.withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "refund").otherwise(F.col("event_type")))
+    found = pivot_sums(rows, [], "event_type", ["view"], F.col("cents")).first()
+    total = rows.agg(F.sum("cents")).first()[0]
+    assert found["other"] and found["view"] + found["other"] == total

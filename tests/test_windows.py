@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from oracle import spark_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,16 +13,15 @@ from millrace.operators.frames import over_neighbours
 from millrace.operators.ranking import ranked, top_per_group
 from millrace.operators.running import running
 from millrace.operators.segments import count_below, plan_split
+from millrace.sources import table
+from millrace.sources.tables import scratch_path
 
 KEYS = [[], ["user_id"], ["event_type"]]
 
 
 @pytest.fixture(scope="module")
 def events(spark):
-    path = spark.conf.get("spark.checkpoint.dir")
-    import uuid
-
-    target = f"{path}/skewed-{uuid.uuid4().hex}"
+    target = scratch_path(spark, "skewed")
     skewed_events(spark, SMALL).write.parquet(target)
     return spark.read.parquet(target)
 
@@ -133,3 +132,24 @@ def test_top_per_group_limits_before_the_shuffle(events):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert found.groupBy("user_id").count().agg(F.max("count")).first()[0] == 3
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "float", "double"])
+def test_split_ranks_by_type_with_nan_infinity_and_null(events, kind):
+    value = F.col("cents").cast(kind)
+    if kind != "decimal(12,2)":
+        odd = F.when(F.col("event_id") % 5 == 0, F.lit("NaN").cast(kind)).when(
+            F.col("event_id") % 7 == 0, F.lit("Infinity").cast(kind)
+        )
+        value = F.coalesce(odd, value)
+    rows = events.withColumn("v", F.when(F.col("event_id") % 11 != 0, value))
+    split = ranked(rows, ["event_type"], "v", "event_id", parts=20, min_rows=10)
+    whole = ranked(rows, ["event_type"], "v", "event_id", parts=20, min_rows=10**9)
+    assert spark_rows(split) == spark_rows(whole)
+
+
+def test_registered_inputs_are_split_without_a_row_floor(spark):
+    """The share of the rows alone decides, so the small tables go through the split code too."""
+    rows = table(spark, MEDIUM, "events").select("event_id", "event_type", "value")
+    assert plan_split(rows, ["event_type"], "value", "event_id").needed
+    assert plan_split(rows, [], "value", "event_id").needed
