@@ -4,20 +4,20 @@ A document's set holds its distinct 5-word shingles. Documents with equal sets a
 before anything else. The others are spread over independent trees: a document enters, in each
 tree, the node of its minwise shingle under that tree's hash function, so that two documents of
 similarity s meet in a tree with probability s. Nodes of few documents are compared
-exhaustively. In a larger node all members are compared with one of them, the pivot:
+exhaustively. In a larger node all members are compared with a few of them, the pivots:
 
-- those linked to it are in its component, so pairs among them need no look;
-- similarity has a metric distance, so a pair of one linked (at distance d from the pivot) and
-  one other (at distance e) can only be linked if e - d is at most the largest distance of a
-  link; members that no such pair needs are set aside;
-- what is left branches into two children each, by the minwise shingles under two further
-  functions, and so on. At the last level nodes are not branched any more but lose one pivot
-  after the other, until none is large.
+- pivots are done then, and leave the node;
+- members that hang together through verified links to pivots that are linked themselves are
+  one component, so pairs among them need no look; they stay only for the others' sake;
+- a node whose members are all of that kind is done. Others branch into two children each, by
+  the minwise shingles under two further functions, and so on. At the last level nodes do not
+  branch any more but go on losing pivots until none is large.
 
 So neither a large group of near copies nor a passage in very many documents makes all pairs of
-a group. Every candidate is confirmed on full sets. With TREES trees two documents at the
-threshold miss each other with probability 0.25**TREES, about 2e-10, before what deeper levels
-add; pairs that are more alike miss more rarely still.
+a group. Of two candidates, LEAST_ALIKE of their minwise shingles must agree, which a pair at the
+threshold misses once in 10**9; the others are confirmed on full sets. With TREES trees two
+documents at the threshold never meet with probability 0.25**TREES, about 2e-10, before what
+deeper levels add; pairs that are more alike miss more rarely still.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as its one shingle; rows with equal
@@ -28,6 +28,7 @@ component, and kept; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,11 @@ PERCENT = 75
 TREES = 16
 #: Hash functions for the levels below the first.
 DEEPER = 16
-LEVELS = 6
+LEVELS = 5
+#: Minwise shingles of all functions that candidates must share, at least.
+LEAST_ALIKE = 9
+#: Pivots of a large node in each round: active ones, and others.
+PIVOTS, OTHERS = 4, 2
 #: Documents of a node that are compared exhaustively, at most.
 LEAF = 16
 
@@ -136,7 +141,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with distance and linked, from the documents' whole texts."""
+    """pairs(a, b) with linked, from the documents' whole texts."""
     ids = stored(
         pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids"
     )
@@ -149,9 +154,8 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         _compared, "a long, b long, common long, union long"
     )
     return found.select(
-        "a", "b", (1 - F.col("common") / F.col("union")).alias("distance"),
-        F.expr(f"100 * common >= {PERCENT} * union").alias("linked"),
-    )
+        "a", "b", F.expr(f"100 * common >= {PERCENT} * union").alias("linked")
+    )
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -165,6 +169,62 @@ def sized(members: DataFrame) -> DataFrame:
     return members.join(sizes, "node")
 
 
+def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The distinct pairs(a, b) of which enough minwise shingles agree."""
+    for side in ("a", "b"):
+        own = signatures.select(F.col("doc_id").alias(side), F.col("mins").alias(f"mins_{side}"))
+        pairs = (pairs.distinct() if side == "a" else pairs).join(own, side)
+    agree = "size(filter(arrays_zip(mins_a, mins_b), m -> m.mins_a = m.mins_b))"
+    return pairs.where(f"{agree} >= {LEAST_ALIKE}").select("a", "b")
+
+
+def pivots_of(large: DataFrame) -> DataFrame:
+    """(node, pivot, main): some members of each node, by the smallest of several hashes.
+
+    main: not active, so of the component whose members need not be compared with each other.
+    """
+    picks = [
+        F.min_by(
+            F.when(F.col("active") == active, F.struct(F.col("doc").alias("pivot"), (~F.col("active")).alias("main"))),
+            F.when(F.col("active") == active, F.xxhash64("doc", F.lit(k))),
+        )
+        for active, count in ((True, PIVOTS), (False, OTHERS))
+        for k in range(count)
+    ]
+    picked = large.groupBy("node").agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("p"))
+    return picked.select("node", F.inline("p"))
+
+
+def left_over(large: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of large nodes that still have something to compare, with active set anew."""
+    star = large.join(pivots, "node").where("doc <> pivot")
+    linked = star.join(
+        links, F.expr("a = least(doc, pivot) AND b = greatest(doc, pivot)")
+    ).select("node", "doc", "pivot", "main", "active")
+    # The centre: a pivot of the old main component, else the one with most links.
+    degrees = linked.groupBy("node", "pivot", "main").count()
+    old = pivots.where("main").groupBy("node").agg(F.min("pivot").alias("old"))
+    centres = (
+        degrees.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("found"))
+        .join(old, "node", "full").select("node", F.coalesce("old", "found").alias("centre"))
+    )
+    # Pivots of the centre's component: the old main ones, itself, and those linked to it.
+    core = (
+        pivots.where("main").select("node", "pivot")
+        .unionByName(centres.select("node", F.col("centre").alias("pivot")))
+        .unionByName(
+            linked.join(centres, "node").where("doc = centre").select("node", "pivot")
+        )
+        .distinct()
+    )
+    joined = linked.join(core, ["node", "pivot"]).select("node", "doc").distinct()
+    return (
+        large.join(joined.withColumn("met", F.lit(True)), ["node", "doc"], "left")
+        .join(pivots.select("node", F.col("pivot").alias("doc")), ["node", "doc"], "left_anti")
+        .select("node", "doc", "tree", F.expr("active AND met IS NULL").alias("active"))
+    )
+
+
 def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of linked documents. signatures(doc_id, mins) of one document per distinct set."""
     members = stored(
@@ -178,10 +238,9 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
         ),
         "near-members",
     )
-    furthest = 1 - PERCENT / 100
-    found = []
+    found: list[DataFrame] = []
     level = 0
-    while True:
+    while not members.isEmpty():
         small = members.where(F.col("size") <= LEAF)
         large = members.where(F.col("size") > LEAF)
         left, right = small.alias("l"), small.alias("r")
@@ -189,28 +248,16 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
             right,
             F.expr("l.node = r.node AND l.doc < r.doc AND (l.active OR r.active)"),
         ).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
-        pivots = large.where("active").groupBy("node").agg(F.min("doc").alias("pivot"))
-        around = large.join(pivots, "node").where("doc <> pivot")
-        star = around.select(
+        pivots = stored(pivots_of(large), "near-pivots")
+        star = large.join(pivots, "node").where("doc <> pivot AND (active OR NOT main)").select(
             F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")
         )
-        pairs = stored(within.unionByName(star).distinct(), "near-pairs")
-        if pairs.isEmpty():
+        pairs = stored(alike(within.unionByName(star), signatures), "near-pairs")
+        links = stored(compared(pairs, docs).where("linked").select("a", "b"), "near-links")
+        found.append(links)
+        if pivots.isEmpty():
             break
-        result = stored(compared(pairs, docs), "near-compared")
-        found.append(result.where("linked").select("a", "b"))
-        near = around.join(
-            result,
-            F.expr("least(doc, pivot) = a AND greatest(doc, pivot) = b"),
-        ).select("node", "doc", "tree", "active", "distance", "linked")
-        # The nearest member that is not linked; only linked ones this far out can reach it.
-        rings = near.where("active AND NOT linked").groupBy("node").agg(
-            F.min("distance").alias("nearest")
-        )
-        left_over = near.join(rings, "node").select(
-            "node", "doc", "tree", "distance",
-            F.expr("active AND NOT linked").alias("active"), "nearest",
-        ).where(F.col("active") | (F.col("distance") >= F.col("nearest") - furthest - 1e-9))
+        rest = left_over(large, pivots, links)
         level += 1
         if level < LEVELS:
             child = [
@@ -220,18 +267,13 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
                 )
                 for branch in (0, 1)
             ]
-            left_over = left_over.join(
+            # Only nodes with anything left to compare look up their members' shingles.
+            rest = sized(rest).drop("size").join(
                 signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc"
             ).select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "active")
-        else:
-            left_over = left_over.select("node", "doc", "tree", "active")
-        members = stored(sized(left_over), "near-members")
-        if members.isEmpty():
-            break
-    links = found[0] if found else signatures.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return stored(links.distinct(), "near-links")
+        members = stored(sized(rest), "near-members")
+    none = signatures.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    return reduce(DataFrame.unionByName, found, none).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
