@@ -27,23 +27,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.scratch import stored
-from millrace.llm.words import mix, slices, words_of
+from millrace.llm.words import mix, slices, text_bytes, words_of
 
 #: Base of the quantised counts.
 LEVEL = 1.5
 #: Bits of a block per member, and probes per member.
-BITS, PROBES = 10, 5
+BITS, PROBES = 8, 4
 #: Tokens of training text for each block.
 TOKENS_PER_BLOCK = 1 << 17
 #: Weight of the one-token model, in tokens.
 WEIGHT = 30.0
 #: Bytes of two-token blocks that are broadcast at once, and tokens broadcast with exact counts.
-FILTER_BYTES = 64 << 20
-HEAD = 1 << 20
+FILTER_BYTES = 80 << 20
+HEAD = 1 << 19
 #: Distinct n-grams that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -140,9 +141,12 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 def probes(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """Places of a member's bits within its block."""
     one = mix(keys ^ (np.asarray(level, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)), 31)
-    two = mix(one, 32) | np.uint64(1)
-    for k in range(PROBES):
-        yield (((one + np.uint64(k) * two) >> np.uint64(20)) % np.asarray(bits, dtype=np.uint64)).astype(np.int64)
+    two = (one << np.uint64(32)) | np.uint64(1 << 31)
+    wide = np.asarray(bits, dtype=np.uint64)
+    for _ in range(PROBES):
+        # The upper half of a number, scaled to the block.
+        yield (((one >> np.uint64(32)) * wide) >> np.uint64(32)).astype(np.int64)
+        one = one + two
 
 
 def _built(lists: pa.Table) -> pa.Table:
@@ -177,16 +181,14 @@ class Filter:
     data: np.ndarray
 
     @staticmethod
-    def of(rows: list, blocks: int) -> Filter:
-        rows = sorted(rows)
-        sizes = np.array([len(bits) for _, bits in rows], dtype=np.int64)
-        return Filter(
-            blocks,
-            np.array([block for block, _ in rows], dtype=np.int64),
-            np.cumsum(sizes) - sizes,
-            sizes,
-            np.frombuffer(b"".join(bits for _, bits in rows), dtype=np.uint8),
-        )
+    def of(rows: DataFrame, blocks: int) -> Filter:
+        """From rows(block, bits), fetched as Arrow batches, without an object for each."""
+        fetched = rows.toArrow().sort_by("block")
+        bits = fetched.column("bits").combine_chunks()
+        sizes = pc.binary_length(bits).to_numpy().astype(np.int64)
+        data, starts = text_bytes(bits) if len(bits) else (np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64))
+        own = fetched.column("block").to_numpy()
+        return Filter(blocks, own, starts[:-1], sizes, data)
 
     def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether the key's block is here, its quantised count) of each key."""
@@ -196,14 +198,18 @@ class Filter:
         block = block_of(keys, self.blocks)
         at = np.minimum(np.searchsorted(self.own, block), len(self.own) - 1)
         here = self.own[at] == block
+        # By block, so that a block's bits stay at hand while they are asked for.
         left = np.flatnonzero(here)
+        left = left[np.argsort(at[left].astype(np.uint16 if len(self.own) < 1 << 16 else np.int64), kind="stable")]
         level = 0
         while len(left):
             level += 1
             start, size = self.starts[at[left]], self.sizes[at[left]]
             hit = np.ones(len(left), dtype=bool)
             for places in probes(keys[left], level, size * 8):
-                hit &= self.data[start + (places >> 3)] >> (7 - (places & 7)).astype(np.uint8) & 1 > 0
+                bits = self.data[start + (places >> 3)]
+                bits <<= (places & 7).astype(np.uint8)
+                hit &= bits > 127
             left = left[hit]
             # The middle of the counts of a level.
             counts[left] = (LEVEL ** (level - 1) + max(LEVEL**level - 1, 1)) / 2 if level > 1 else 1
@@ -222,12 +228,13 @@ def _scored(ones, pairs, head, n_train: int, n_distinct: int, least: int, first_
             token, before, text = sequences(batch.column("text"))
             unique, inverse = np.unique(np.append(token, START), return_inverse=True)
             one = singles.counts(unique)[1]
-            key = pair_key(before, token)
-            here, both = couples.counts(key)
-            at = np.searchsorted(unique, before)
-            at = np.minimum(at, len(unique) - 1)
-            history = np.where(unique[at] == before, one[at], 0)
-            p_one = (one[inverse[:-1]] + 0.1) / total
+            # Frequent pairs have many levels to ask for, so each is asked for once.
+            pair, pairs_at = np.unique(pair_key(before, token), return_inverse=True)
+            here, both = couples.counts(pair)
+            here, both = here[pairs_at], both[pairs_at]
+            own, history = one[inverse[:-1]], one[np.append(inverse[-1:], inverse[:-2])]
+            history[np.flatnonzero(before == START)] = one[inverse[-1]]
+            p_one = (own + 0.1) / total
             p = (np.minimum(both, history) + WEIGHT * p_one) / (history + WEIGHT)
             score = np.bincount(text, weights=np.where(here, np.log10(p), 0), minlength=n)
             columns = {
@@ -240,9 +247,10 @@ def _scored(ones, pairs, head, n_train: int, n_distinct: int, least: int, first_
                 "times": pa.nulls(n, pa.int64()),
             }
             if first_pass:
-                place = np.minimum(np.searchsorted(keys, token), max(len(keys) - 1, 0))
-                known = keys[place] == token if len(keys) else np.zeros(len(token), dtype=bool)
-                value = np.where(known, np.log10((exact[place] + 0.1) / total) if len(keys) else 0, 0)
+                place = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
+                is_known = keys[place] == unique if len(keys) else np.zeros(len(unique), dtype=bool)
+                value = np.where(is_known, np.log10((exact[place] + 0.1) / total) if len(keys) else 0, 0)
+                known, value = is_known[inverse[:-1]], value[inverse[:-1]]
                 columns["base"] = pa.array(np.bincount(text, weights=value, minlength=n))
                 columns["n_tokens"] = pa.array(np.bincount(text, minlength=n))
                 columns["n_known"] = pa.array(np.bincount(text[known], minlength=n))
@@ -286,7 +294,7 @@ def score_texts(
     words = exact.where(F.col("token") != starts)
     n_train, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = "block long, bits binary"
-    ones = Filter.of([tuple(r) for r in single.groupBy("block").applyInArrow(_built, bits).collect()], blocks)
+    ones = Filter.of(single.groupBy("block").applyInArrow(_built, bits), blocks)
     built = stored(
         train.mapInArrow(_counts(True, blocks), lists).groupBy("block").applyInArrow(_built, bits), "lm-pairs"
     )
@@ -298,9 +306,10 @@ def score_texts(
         if sum_so_far > head_tokens:
             break
         least = c
-    top = np.array([tuple(r) for r in words.where(F.col("c") >= least).collect()], dtype=np.int64).reshape(-1, 2)
-    order = np.argsort(top[:, 0].view(np.uint64) if len(top) else top[:, 0])
-    head = (np.ascontiguousarray(top[order, 0]).view(np.uint64), top[order, 1])
+    top = words.where(F.col("c") >= least).toArrow()
+    tokens = top.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    head = (tokens[order], top.column("c").to_numpy()[order])
     sizes = built.select("block", F.octet_length("bits").alias("n")).orderBy("block").collect()
     edges, held = [0], 0
     for block, n in sizes:
@@ -314,12 +323,12 @@ def score_texts(
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = None
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        own = built.where((F.col("block") >= low) & (F.col("block") < high)).collect()
-        pairs = context.broadcast(Filter.of([tuple(r) for r in own], blocks))
+        own = built.where((F.col("block") >= low) & (F.col("block") < high))
+        pairs = context.broadcast(Filter.of(own, blocks))
         run = _scored(shared_ones, pairs, shared_head, n_train, n_distinct, least, k == 0)
         part = stored(rows.select("row", "text").mapInArrow(run, SCORED), "lm-scored")
         found = part if found is None else found.unionByName(part)
-        pairs.unpersist()
+        pairs.destroy()
     total = n_train + 0.1 * (n_distinct + 1)
     c = F.coalesce("c", F.lit(0))
     rare = (
