@@ -6,13 +6,16 @@ windows have equal anchors, so all segments of an anchor meet in one bucket, and
 needs them. Segments reach it once per block and content.
 
 In a bucket, a segment that is the only one of its anchor has no windows to share with another.
-The rest are dealt into two shards. Each shard's rotations are sorted and give its transform;
-the two transforms are then merged without sorting suffixes again: starting from one shard
-after the other, the interleave is refined once for each byte of the window by a stable
-distribution of its rows by their transformed byte (Holt and McMillan, 2014). A row starts a new
-interval when its byte or its predecessor's interval differs, so after 50 rounds the intervals
-are the windows with common 50-byte prefixes, and an interval's smallest document is the first
-in which its window starts. These go back to the blocks, which mark the bytes they cover.
+The rest are dealt into two shards. A shard sorts the places of its windows by their last
+CONTEXT bytes once; with the byte before each place that is its transform, of bounded order. The
+two transforms are then merged without sorting suffixes again (Holt and McMillan, 2014): the
+interleave of the shards' rows by context is refined, once for each further byte of the window,
+by a stable distribution of its rows by their transformed byte, each row going on to the one
+before it. A row starts a new interval when its byte or its predecessor's interval differs, so
+in the end the intervals are the windows with common 50-byte prefixes. Rows alone in their
+interval share no such prefix with any other and leave early. An interval's smallest document is
+the first in which its window starts. These go back to the blocks, which mark the bytes they
+cover.
 
 Defined results: a null text is an empty one; a text shorter than a window is never changed;
 rows with equal doc_id never remove each other's bytes; a row with a null doc_id is neither
@@ -37,6 +40,10 @@ ANCHOR = 20
 BYTES_PER_ANCHOR = 16
 #: Windows of a segment, at most; longer ones go on in the next.
 LONGEST = 200
+#: Bytes by which a shard's rows are sorted.
+CONTEXT = 8
+#: Windows whose anchors are found at once; only memory and time depend on this.
+STRETCH = 1 << 16
 
 SEGMENTS = "block long, bucket long, anchor long, key long, bytes binary, low long, high long"
 VERDICTS = "block long, key long, spans binary"
@@ -44,10 +51,16 @@ VERDICTS = "block long, key long, spans binary"
 
 def byte_anchors(data: np.ndarray, window: int) -> np.ndarray:
     """The anchor of the window at every place of data (text edges not regarded)."""
+    n = max(len(data) - window + 1, 0)
+    out = np.empty(n, dtype=np.uint64)
+    for low in range(0, n, STRETCH):
+        high = min(low + STRETCH, n)
+        out[low:high] = _anchors_at(data[low : high + window - 1], window)
+    return out
+
+
+def _anchors_at(data: np.ndarray, window: int) -> np.ndarray:
     gram = min(ANCHOR, window)
-    n = len(data) - window + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
     sums = np.zeros(len(data) - gram + 1, dtype=np.uint64)
     done, step = 0, 1
     # Strings of `gram` bytes as polynomials, put together from powers of two of their length.
@@ -69,7 +82,7 @@ def byte_anchors(data: np.ndarray, window: int) -> np.ndarray:
         more = min(have, width - have)
         least = np.minimum(least[: len(least) - more], least[more:])
         have += more
-    return least[:n]
+    return least
 
 
 def segments_of(column: pa.Array, window: int) -> tuple:
@@ -146,79 +159,64 @@ def _segments(window: int, cells: int, buckets: int):
 
 
 class Shard:
-    """The rotations of some strings, each closed by a zero, in order, and their transform."""
-
-    def __init__(self, strings: list[bytes]):
-        lengths = np.array([len(s) + 1 for s in strings], dtype=np.int64)
-        joined = np.frombuffer(b"".join(s + b"\xff" for s in strings), dtype=np.uint8)
-        # UTF-8 has no byte FF, so adding one leaves zero to the closing sign alone.
-        symbols = joined + np.uint8(1)
-        n = len(symbols)
-        starts = np.cumsum(lengths) - lengths
-        self.string = np.repeat(np.arange(len(strings)), lengths)
-        self.offset = np.arange(n) - starts[self.string]
-        begin, size = starts[self.string], lengths[self.string]
-
-        def ahead(step: int) -> np.ndarray:
-            return begin + (self.offset + step) % size
-
-        key = np.zeros(n, dtype=np.uint64)
-        for step in range(8):
-            key = (key << np.uint64(8)) | symbols[ahead(step)]
-        step = 8
-        # Prefix doubling; rotations of distinct strings differ within twice the longest.
-        longest = int(lengths.max()) if n else 0
-        while True:
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.ones(n, dtype=bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            if new.all() or step >= 2 * longest:
-                break
-            rank = np.empty(n, dtype=np.uint64)
-            rank[order] = np.cumsum(new)
-            key = (rank << np.uint64(32)) | rank[ahead(step)]
-            step *= 2
-        self.order = order
-        self.transform = symbols[begin + (self.offset - 1) % size][order]
-
-
-def merged(one: Shard, two: Shard, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(from which shard each merged row is, the interval of equal prefixes it is in)."""
-    source = np.concatenate([np.zeros(len(one.order), dtype=bool), np.ones(len(two.order), dtype=bool)])
-    interval = np.zeros(len(source), dtype=np.int32)
-    byte = np.empty(len(source), dtype=np.uint8)
-    for _ in range(rounds):
-        byte[source] = two.transform
-        byte[~source] = one.transform
+    """The places of a shard's windows, CONTEXT bytes before their ends, by the bytes there."""
+
+    def __init__(self, data: np.ndarray, places: np.ndarray, context: int):
+        key = np.zeros(len(places), dtype=np.uint64)
+        for step in range(context):
+            key = (key << np.uint64(8)) | data[places + step]
+        order = np.argsort(key, kind="stable")
+        self.places, self.key = places[order], key[order]
+
+
+def merged(one: Shard, two: Shard, data: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window starts, intervals of equal windows) of all windows that are not alone."""
+    key = np.concatenate([one.key, two.key])
+    order = np.argsort(key, kind="stable")  # two sorted runs: one merge
+    places = np.concatenate([one.places, two.places])[order]
+    key = key[order]
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    interval = np.cumsum(new, dtype=np.int32)
+    for round_ in range(rounds + 1):
+        alone = new & np.append(new[1:], True)
+        if round_ == rounds or np.count_nonzero(alone) > len(alone) // 8:
+            keep = ~alone
+            places, interval = places[keep], interval[keep]
+        if round_ == rounds or not len(places):
+            break
+        places = places - 1
+        byte = data[places]
         order = np.argsort(byte, kind="stable")
-        source, was, byte = source[order], interval[order], byte[order]
-        new = np.zeros(len(source), dtype=np.int32)
+        places, was, byte = places[order], interval[order], byte[order]
+        new = np.ones(len(places), dtype=bool)
         new[1:] = (byte[1:] != byte[:-1]) | (was[1:] != was[:-1])
-        np.cumsum(new, out=interval)
-    return source, interval
+        interval = np.cumsum(new, dtype=np.int32)
+    return places, interval
 
 
 def first_documents(strings: list[bytes], low: np.ndarray, window: int) -> list[np.ndarray]:
-    """For every window of each (distinct) string the smallest document that has it."""
-    half = (len(strings) + 1) // 2
-    shards = [Shard(strings[:half]), Shard(strings[half:])]
-    source, interval = merged(*shards, window)
-    string = np.empty(len(source), dtype=np.int64)
-    offset = np.empty(len(source), dtype=np.int64)
-    for which, (shard, shift) in enumerate(zip(shards, (0, half), strict=True)):
-        own = source == bool(which)
-        string[own] = shard.string[shard.order] + shift
-        offset[own] = shard.offset[shard.order]
-    whole = offset + window <= np.array([len(s) for s in strings])[string]
-    string, offset, interval = string[whole], offset[whole], interval[whole]
-    first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]][: len(interval)])
-    least = np.minimum.reduceat(low[string], first)
-    least = np.repeat(least, np.diff(np.append(first, len(interval))))
-    order = np.lexsort((offset, string))
-    edges = np.searchsorted(string[order], np.arange(len(strings) + 1))
-    ordered = least[order]
-    return [ordered[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    """For every window of each string the smallest document that has it."""
+    context = min(CONTEXT, window)
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+    begin = np.cumsum(lengths) - lengths
+    count = np.maximum(lengths - window + 1, 0)
+    edges = np.concatenate([[0], np.cumsum(count)])
+    string = np.repeat(np.arange(len(strings)), count)
+    start = begin[string] + np.arange(len(string)) - edges[string]
+    half = int(edges[(len(strings) + 1) // 2])
+    shards = [Shard(data, part + (window - context), context) for part in (start[:half], start[half:])]
+    places, interval = merged(*shards, data, window - context)
+    least = low[string]
+    if len(places):
+        number = np.zeros(len(data), dtype=np.int64)
+        number[start] = np.arange(len(start))
+        found = number[places]
+        first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+        smallest = np.minimum.reduceat(low[string[found]], first)
+        least[found] = np.repeat(smallest, np.diff(np.append(first, len(found))))
+    return [least[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def spans_of(least: np.ndarray) -> bytes:

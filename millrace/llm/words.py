@@ -35,15 +35,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n - 1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    done = 1
-    while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        done += more
+    """base**0 to base**(n - 1) modulo 2**64, by doubling; kept for the task."""
+    out = _POWERS.get(base, np.ones(1, dtype=np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    _POWERS[base] = out
     return out[:n]
 
 
