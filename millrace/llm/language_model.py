@@ -239,6 +239,7 @@ def _scored(ones, pairs, head, n_train: int, n_distinct: int, least: int, first_
             score = np.bincount(text, weights=np.where(here, np.log10(p), 0), minlength=n)
             columns = {
                 "row": batch.column("row"),
+                "doc_id": batch.column("doc_id"),
                 "score": pa.array(score),
                 "base": pa.array(np.zeros(n)),
                 "n_tokens": pa.array(np.zeros(n, dtype=np.int64)),
@@ -259,8 +260,10 @@ def _scored(ones, pairs, head, n_train: int, n_distinct: int, least: int, first_
                 rare = np.column_stack([text[~known].astype(np.uint64), token[~known]])
                 rare, times = np.unique(rare, axis=0, return_counts=True)
                 m = len(rare)
+                whose = pa.array(rare[:, 0].astype(np.int64))
                 yield pa.RecordBatch.from_pydict({
-                    "row": batch.column("row").take(pa.array(rare[:, 0].astype(np.int64))),
+                    "row": batch.column("row").take(whose),
+                    "doc_id": batch.column("doc_id").take(whose),
                     "score": pa.array(np.zeros(m)),
                     "base": pa.array(np.zeros(m)),
                     "n_tokens": pa.array(np.zeros(m, dtype=np.int64)),
@@ -272,7 +275,7 @@ def _scored(ones, pairs, head, n_train: int, n_distinct: int, least: int, first_
     return run
 
 
-SCORED = "row long, score double, base double, n_tokens long, n_known long, token long, times long"
+SCORED = "row long, doc_id long, score double, base double, n_tokens long, n_known long, token long, times long"
 
 
 def score_texts(
@@ -320,13 +323,16 @@ def score_texts(
     edges.append(blocks)
     context = docs.sparkSession.sparkContext
     shared_ones, shared_head = context.broadcast(ones), context.broadcast(head)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # The same three columns in every pass, so that a row has one number in all of them.
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+    )
     found = None
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         own = built.where((F.col("block") >= low) & (F.col("block") < high))
         pairs = context.broadcast(Filter.of(own, blocks))
         run = _scored(shared_ones, pairs, shared_head, n_train, n_distinct, least, k == 0)
-        part = stored(rows.select("row", "text").mapInArrow(run, SCORED), "lm-scored")
+        part = stored(rows.mapInArrow(run, SCORED), "lm-scored")
         found = part if found is None else found.unionByName(part)
         pairs.destroy()
     total = n_train + 0.1 * (n_distinct + 1)
@@ -335,18 +341,18 @@ def score_texts(
         found.where("token IS NOT NULL")
         .join(words.where(F.col("c") < least), "token", "left")
         .select(
-            "row", "score", F.lit(0).cast("long").alias("n_tokens"),
+            "row", "doc_id", "score", F.lit(0).cast("long").alias("n_tokens"),
             (F.col("times") * F.log10((c + 0.1) / total)).alias("base"),
             F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"),
         )
     )
     sums = (
-        found.where("token IS NULL").select("row", "score", "n_tokens", "base", "n_known")
+        found.where("token IS NULL").select("row", "doc_id", "score", "n_tokens", "base", "n_known")
         .unionByName(rare)
-        .groupBy("row")
+        .groupBy("row", "doc_id")
         .agg(*[F.sum(name).alias(name) for name in ("score", "base", "n_tokens", "n_known")])
     )
-    return rows.select("row", "doc_id").join(sums, "row").select(
+    return sums.select(
         "doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )
