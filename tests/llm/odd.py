@@ -13,6 +13,10 @@ def passage(seed: int, n: int) -> str:
     return " ".join(random.Random(seed).choices(WORDS, k=n))
 
 
+def passage_of(stem: str, n: int) -> str:
+    return " ".join(f"{stem}{k}" for k in range(n))
+
+
 def texts() -> list[tuple[int | None, str | None]]:
     """(doc_id, text): nulls, empties, copies, near copies, shared passages, one long text."""
     shared, hot = passage(1, 40), passage(2, 25)
