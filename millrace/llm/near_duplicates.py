@@ -3,15 +3,15 @@
 A document's set holds its distinct 5-word shingles. Documents with equal sets are one class
 before anything else. The others are spread over independent trees: a document enters, in each
 tree, the node of its minwise shingle under that tree's hash function, so that two documents of
-similarity s meet in a tree with probability s. Nodes of few documents are compared
+similarity s meet in a tree with probability s. Nodes with few pairs to compare are compared
 exhaustively. In a larger node all members are compared with a few of them, the pivots:
 
 - pivots are done then, and leave the node;
 - members that hang together through verified links to pivots that are linked themselves are
   one component, so pairs among them need no look; they stay only for the others' sake;
-- a node whose members are all of that kind is done. Others branch into two children each, by
-  the minwise shingles under two further functions, and so on. At the last level nodes do not
-  branch any more but go on losing pivots until none is large.
+- a node whose members are all of that kind is done. One with such a component goes on with
+  other pivots; one without branches into two children, by the minwise shingles under two
+  further functions. With each round more pairs of a node count as few, so that the rounds end.
 
 So neither a large group of near copies nor a passage in very many documents makes all pairs of
 a group. Of two candidates, LEAST_ALIKE of their minwise shingles must agree, which a pair at the
@@ -44,13 +44,12 @@ PERCENT = 75
 TREES = 16
 #: Hash functions for the levels below the first.
 DEEPER = 16
-LEVELS = 5
 #: Minwise shingles of all functions that candidates must share, at least.
 LEAST_ALIKE = 9
 #: Pivots of a large node in each round: active ones, and others.
 PIVOTS, OTHERS = 4, 2
-#: Documents of a node that are compared exhaustively, at most.
-LEAF = 16
+#: Pairs of a node that are compared exhaustively, at most, and their growth with each round.
+FEW, MORE = 1024, 4
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +158,12 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sized(members: DataFrame) -> DataFrame:
-    """members(node, ...) of nodes with two or more of them, an active one included, and size."""
+    """members(node, ...) of nodes with pairs to compare, with size and the number of pairs."""
     sizes = (
         members.groupBy("node")
-        .agg(F.count("*").alias("size"), F.max("active").alias("live"))
-        .where("size > 1 AND live")
-        .select("node", "size")
+        .agg(F.count("*").alias("size"), F.count_if("active").alias("live"))
+        .where("size > 1 AND live > 0")
+        .select("node", "size", (F.col("size") * F.col("live")).alias("pairs"))
     )
     return members.join(sizes, "node")
 
@@ -178,7 +177,7 @@ def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.where(f"{agree} >= {LEAST_ALIKE}").select("a", "b")
 
 
-def pivots_of(large: DataFrame) -> DataFrame:
+def pivots_of(large: DataFrame, level: int) -> DataFrame:
     """(node, pivot, main): some members of each node, by the smallest of several hashes.
 
     main: not active, so of the component whose members need not be compared with each other.
@@ -186,7 +185,7 @@ def pivots_of(large: DataFrame) -> DataFrame:
     picks = [
         F.min_by(
             F.when(F.col("active") == active, F.struct(F.col("doc").alias("pivot"), (~F.col("active")).alias("main"))),
-            F.when(F.col("active") == active, F.xxhash64("doc", F.lit(k))),
+            F.when(F.col("active") == active, F.xxhash64("doc", F.lit(k + 16 * level))),
         )
         for active, count in ((True, PIVOTS), (False, OTHERS))
         for k in range(count)
@@ -241,37 +240,44 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     level = 0
     while not members.isEmpty():
-        small = members.where(F.col("size") <= LEAF)
-        large = members.where(F.col("size") > LEAF)
-        left, right = small.alias("l"), small.alias("r")
-        within = left.join(
-            right,
-            F.expr("l.node = r.node AND l.doc < r.doc AND (l.active OR r.active)"),
-        ).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
-        pivots = stored(pivots_of(large), "near-pivots")
+        few = F.col("pairs") <= FEW * MORE**level
+        small, large = members.where(few), members.where(~few)
+        # Two that are both active meet twice, which `alike` puts right.
+        within = (
+            small.where("active").select("node", F.col("doc").alias("one"))
+            .join(small.select("node", F.col("doc").alias("other")), "node")
+            .where("one <> other")
+            .select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+        )
+        pivots = stored(pivots_of(large, level), "near-pivots")
         star = large.join(pivots, "node").where("doc <> pivot AND (active OR NOT main)").select(
             F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")
         )
         pairs = stored(alike(within.unionByName(star), signatures), "near-pairs")
-        links = stored(compared(pairs, docs).where("linked").select("a", "b"), "near-links")
-        found.append(links)
+        links = pairs
+        if not pairs.isEmpty():
+            links = stored(compared(pairs, docs).where("linked").select("a", "b"), "near-links")
+            found.append(links)
         if pivots.isEmpty():
             break
         rest = left_over(large, pivots, links)
         level += 1
-        if level < LEVELS:
-            child = [
-                F.xxhash64(
-                    "node", F.lit(branch),
-                    F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1),
-                )
-                for branch in (0, 1)
-            ]
-            # Only nodes with anything left to compare look up their members' shingles.
-            rest = sized(rest).drop("size").join(
-                signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc"
-            ).select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "active")
-        members = stored(sized(rest), "near-members")
+        # Without a component of its own a node branches; with one it goes on as it is.
+        child = [
+            F.xxhash64(
+                "node", F.lit(branch),
+                F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1),
+            )
+            for branch in (0, 1)
+        ]
+        rest = stored(sized(rest).select("node", "doc", "tree", "active", (F.col("pairs") < F.col("size") * F.col("size")).alias("tied")), "near-rest")
+        branched = (
+            rest.where("NOT tied")
+            .join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc")
+            .select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "active")
+        )
+        again = rest.where("tied").drop("tied").unionByName(branched)
+        members = stored(sized(again), "near-members")
     none = signatures.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     return reduce(DataFrame.unionByName, found, none).distinct()
 
