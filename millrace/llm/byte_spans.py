@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.repeats import Raised, blocks_of, carried, copied, live, raised_cells
-from millrace.llm.words import BASES, MASK, _powers, mix, text_bytes
+from millrace.llm.words import BASES, _powers, mix, text_bytes
 
 WINDOW = 50
 #: Bytes of the strings whose smallest hash is a window's anchor.
@@ -145,12 +145,13 @@ def _segments(window: int, cells: int, buckets: int):
         key, ids, anchor, begin, end = key[order], ids[order], anchor[order], begin[order], end[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         raw = data.tobytes()
+        bounds = zip(begin[first].tolist(), end[first].tolist(), strict=True)
         return pa.table({
             "block": pa.array(np.full(len(first), block, dtype=np.int64)),
             "bucket": (mix(anchor[first], 8) % np.uint64(buckets)).astype(np.int64),
             "anchor": anchor[first].view(np.int64),
             "key": key[first].view(np.int64),
-            "bytes": pa.array([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary()),
+            "bytes": pa.array([raw[a:b] for a, b in bounds], pa.binary()),
             "low": np.minimum.reduceat(ids, first) if len(first) else ids,
             "high": np.maximum.reduceat(ids, first) if len(first) else ids,
         })
@@ -267,7 +268,8 @@ def _removed(window: int):
         if len(keys) and len(begin):
             order = np.argsort(keys)
             keys = keys[order]
-            spans = [np.frombuffer(s, dtype="<i8").reshape(-1, 2) for s in known.column("spans").take(pa.array(order)).to_pylist()]
+            raw = known.column("spans").take(pa.array(order)).to_pylist()
+            spans = [np.frombuffer(s, dtype="<i8").reshape(-1, 2) for s in raw]
             sizes = np.array([len(s) for s in spans])
             firsts = np.cumsum(sizes) - sizes
             pairs = np.concatenate(spans)

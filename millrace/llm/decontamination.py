@@ -11,9 +11,10 @@ Tokens are words, lower case, without other characters than letters and digits.
 
 The benchmark is the query side: its hashes, each with the tokens around, are dealt into blocks
 of a bounded number of rows; each block is broadcast and meets all training rows, so that a
-larger benchmark takes more passes and no more memory. Texts are never shuffled: tokens, hashes, look-up and verification of a text happen in
-one stage, and only verified hits leave it. A text is compared per place, so a passage in a
-third of all texts gives one row for each hit and no pairs of texts.
+larger benchmark takes more passes and no more memory. Texts are never shuffled: tokens, hashes,
+look-up and verification of a text happen in one stage, and only its hits leave it, summed by
+text and item. A text is compared per place, so a passage in a third of all texts gives rows for
+each hit and no pairs of texts.
 
 Defined results: null or empty texts and items without tokens match nothing; of repeated rows
 each is judged the same; a null doc_id or item_id is carried along; other columns are ignored.

@@ -108,6 +108,9 @@ def read_page(html: str) -> Page:
         if tag["name"] is None:
             continue
         name, ends = tag["name"].lower(), bool(tag["end"])
+        if skipped == "p" and not ends and name not in INLINE | VOID:
+            # A paragraph without an end tag ends where the next block begins.
+            skipped = ""
         if skipped:
             # An end tag of what holds the skipped element ends it too, if its own is missing.
             if name == skipped and not tag["rest"].endswith("/"):

@@ -270,7 +270,8 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
             )
             for branch in (0, 1)
         ]
-        rest = stored(sized(rest).select("node", "doc", "tree", "active", (F.col("pairs") < F.col("size") * F.col("size")).alias("tied")), "near-rest")
+        tied = (F.col("pairs") < F.col("size") * F.col("size")).alias("tied")
+        rest = stored(sized(rest).select("node", "doc", "tree", "active", tied), "near-rest")
         branched = (
             rest.where("NOT tied")
             .join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.scratch import stored
-from millrace.llm.words import BASES, MASK, mix, slices, span_hashes, text_bytes
+from millrace.llm.words import BASES, MASK, slices, span_hashes, text_bytes
 
 #: Labelled rows that are used for fitting, at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -297,8 +297,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
         "toxic-rows",
     )
     model = ToxicityModel(*learned_lexicon(rows.where("part < 4")), None, None)
-    have = {(r[0], r[1]): r[2] for r in rows.groupBy(F.expr("part >= 8"), "toxic").count().collect()}
-    if min(sum(have.get((late, toxic), 0) for late in (False, True)) for toxic in (0.0, 1.0)) < FEWEST:
+    counts = rows.where("part >= 4").groupBy(F.expr("part >= 8"), "toxic").count().collect()
+    have = {(late, toxic): n for late, toxic, n in counts}
+    if min(have.get((False, toxic), 0) for toxic in (0.0, 1.0)) < FEWEST:
         return model
     data = model.features(rows.where("part >= 4").select(F.struct("text", "toxic", "part").alias("given")))
     data = data.select("features", "given.toxic", "given.part").checkpoint()

@@ -30,7 +30,8 @@ def test_toxicity_of_unseen_texts(spark):
 
 def test_without_labels_insults_alone_decide(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    table = spark.createDataFrame([(1, "you absolute idiot"), (2, "a fine day"), (3, None), (4, "1d10t idi0t")], "doc_id long, text string")
+    rows = [(1, "you absolute idiot"), (2, "a fine day"), (3, None), (4, "1d10t idi0t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.score for r in fit_toxicity(table, none).score(table).collect()}
     assert found[1] >= TOXIC and found[4] >= TOXIC and found[2] < TOXIC and found[3] < TOXIC
 
@@ -58,7 +59,8 @@ def test_base_scores_are_exact_however_small_the_head_and_the_passes(spark):
     scores = []
     for filter_bytes, head in ((80 << 20, 1 << 19), (1000, 50)):
         found = score_texts(docs(spark), remainder(10) != 0, filter_bytes, head).collect()
-        assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == expected
+        exact = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found]
+        assert Counter(exact) == expected
         assert all(r.score < 0 for r in found)
         scores.append(sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in found))
     assert scores[0] == scores[1]

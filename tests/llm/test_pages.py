@@ -36,6 +36,11 @@ def test_what_a_page_marks_as_no_article_goes():
     assert article(read_page(html), []) == "Title & more\nOne two three\nfour <5 é\nfivesix"
 
 
+def test_a_left_out_paragraph_needs_no_end_tag():
+    html = '<article><p>one<p class="notice">gone<p>two</article>'
+    assert article(read_page(html), []) == "one\ntwo"
+
+
 def test_pages_without_an_article_lose_the_lines_of_their_neighbours(spark):
     def page(k):
         return f"<body><div>Site name</div><p>Text {k} a</p><p>Text {k} b</p><div>All rights</div></body>"
