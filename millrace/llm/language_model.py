@@ -43,10 +43,10 @@ TOKENS_PER_BLOCK = 1 << 17
 #: Weight of the one-token model, in tokens.
 WEIGHT = 30.0
 #: Bytes of two-token blocks that are broadcast at once, and tokens broadcast with exact counts.
-FILTER_BYTES = 80 << 20
+FILTER_BYTES = 40 << 20
 HEAD = 1 << 19
 #: Distinct n-grams that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 
 START, END = np.uint64(0x51A27), np.uint64(0xE4D)
 
@@ -104,7 +104,7 @@ def _counts(pairs: bool, blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             token, before, text = sequences(batch.column("text"))
             if pairs:
                 keys = pair_key(before, token)
