@@ -102,7 +102,8 @@ def interval_join(
 
     Both instants are integers (such as microseconds). Time is cut into buckets as wide as
     the interval and the bucket joins the key, so a row meets only rows near it in time and a
-    hot key spreads over its buckets. The interval of a left row touches at most two buckets
+    hot key spreads over its buckets. All pairs are the result: their number grows with the
+    square of a key's rate. The interval of a left row touches at most two buckets
     and a right row lies in one, so no pair is found twice.
     """
     width = before + after + 1

@@ -83,8 +83,13 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def streamed_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and errors arrive twice, as from a source that repeats a failed delivery."""
-    events = stream_table(spark, sf_dir, "events")
-    again = stream_table(spark, sf_dir, "events").where("event_type in ('purchase', 'error')")
+    needed = ["event_id", "ts", "event_type", "value"]
+    events = stream_table(spark, sf_dir, "events").select(*needed)
+    again = (
+        stream_table(spark, sf_dir, "events")
+        .select(*needed)
+        .where("event_type in ('purchase', 'error')")
+    )
     both = events.unionByName(again)
     done = drain(once_each(both, ["event_id"], "ts", DELAY), "once")
     return done.groupBy("event_type").agg(

@@ -40,7 +40,8 @@ def stream_interval_join(
     """Pairs of one key with the right row at most ``before_seconds`` before the left one.
 
     Both streams carry watermarks, so that the time bound lets Spark forget rows which can
-    find no partner any more. As in batch, a time bucket joins the key to spread a hot key.
+    find no partner any more. As in batch, a time bucket joins the key to spread a hot key. All
+    pairs are the result: their number grows with the square of a key's rate.
     """
     width = F.lit(before_seconds + 1)
     latest = F.floor(F.unix_seconds(left_at) / width)
