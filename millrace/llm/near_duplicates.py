@@ -48,6 +48,8 @@ DEEPER = 16
 LEAST_ALIKE = 9
 #: Pivots of a large node in each round: active ones, and others.
 PIVOTS, OTHERS = 4, 2
+#: Texts, or pairs of full sets, that go to Python at once; only memory depends on this.
+BATCH_ROWS = 500
 #: Pairs of a node that are compared exhaustively, at most, and their growth with each round.
 FEW, MORE = 1024, 4
 
@@ -145,7 +147,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids"
     )
     texts = docs.join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "doc_id long, members binary"), "near-sets")
+    sets = stored(texts.mapInArrow(_sets, "doc_id long, members binary"), "near-sets", BATCH_ROWS)
     joined = pairs.join(
         sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a")), "a"
     ).join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b")
@@ -256,7 +258,8 @@ def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = stored(alike(within.unionByName(star), signatures), "near-pairs")
         links = pairs
         if not pairs.isEmpty():
-            links = stored(compared(pairs, docs).where("linked").select("a", "b"), "near-links")
+            linked = compared(pairs, docs).where("linked").select("a", "b")
+            links = stored(linked, "near-links", BATCH_ROWS)
             found.append(links)
         if pivots.isEmpty():
             break
@@ -323,6 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             _signatures, "doc_id long, n_shingles long, k1 long, k2 long, mins array<long>"
         ),
         "near-signed",
+        BATCH_ROWS,
     )
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("n_shingles", "k1", "k2").agg(
