@@ -57,12 +57,14 @@ def test_matches_sql_with_keys_split(spark, duck, name):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_products_and_no_large_broadcasts(spark, name):
-    """Without Spark's size-checked broadcasts, only tables bounded by construction remain."""
+    """Without Spark's size-checked broadcasts, only tables bounded by construction remain: the
+    hot keys and the segments that hold wanted percentiles."""
     with session_conf(spark, NO_BROADCAST):
         plan = plan_of(QUERIES[name].build(spark, SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
-    assert "BroadcastHashJoin" not in plan
+    for line in plan.splitlines():
+        assert "BroadcastHashJoin" not in line or "_mark_" in line or "_its_" in line
 
 
 @pytest.mark.parametrize("name", BATCH)
