@@ -1,36 +1,49 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are dealt out and sorted by host and URL path, so that neighbours are the pages of a host
-whose paths are nearest. A page is read into lines, one per block. What the page itself marks
-as no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) is
-left out. The other lines are aligned with each neighbour's by their longest common
-subsequence, and shared lines are deleted, unless the page marks them as its article (then a
-page and its copy keep their text), or the two pages share nearly all they have and so are
-copies of each other. A page that marks an article gives that; one that marks none gives every
-line left.
-
-Sorting deals even one host of a third of all pages over tasks, and a task holds three pages at
-a time. A page at the edge of a task's stretch is compared with the one neighbour it has there.
+Pages are sorted by host and URL path, so that neighbours are the pages of a host whose paths are
+nearest. A page is read into lines, one per block. What the page itself marks as no article
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) is left out. Pages
+of a host with the same lines are one page. Each is aligned with the NEAR nearest different pages
+before and after it by longest common subsequences of lines. Neighbours that are copies of the
+page are set apart: what is left of each beside the shared lines is hardly anything or an edited
+form of the other's, or the page shares nearly all it has beside the lines that recur on third
+pages. Lines shared with the other neighbours are deleted, unless the page marks them as its
+article. A page that marks an article gives that; one that marks none gives every line left.
+
+Sorting deals even one host of a third of all pages over tasks. The cut points are found first, on
+keys and hashes of the lines alone, and with them the different pages next to each cut, however
+far away equal pages push them; those go to the tasks on both sides. A task holds a few pages.
 
 Defined results: a null or empty html has an empty text; a null url counts as an empty one;
-repeated rows are repeated in the result; other columns are ignored.
+repeated rows are repeated in the result; other columns are ignored. On a host with two different
+pages nothing tells a short article in a long template from an edit, but the rest of the lines. A
+page with NEAR or more copies next to it on both sides, all of them different, keeps its text.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import stored
 from millrace.llm.words import slices
 
-#: Pages that share so large a part of either's characters are copies; nothing is deleted.
+#: Different pages before and after a page that it is compared with.
+NEAR = 3
+#: Pages that share so large a part of their characters may be copies.
 COPY_SHARE = 0.8
+#: They are if the rest is so small a part of them, or shares so large a part of its word pairs.
+EDIT_SHARE, EDIT_WORDS = 0.02, 0.5
 
 #: Elements whose text is never shown or never part of an article.
 LEFT_OUT = frozenset(
@@ -70,6 +83,13 @@ class Page:
     lines: list[str] = field(default_factory=list)
     own: list[bool] = field(default_factory=list)
 
+    def size(self) -> int:
+        return sum(map(len, self.lines))
+
+    def digest(self) -> str:
+        marks = "".join("01"[own] for own in self.own)
+        return blake2b("\n".join([marks, *self.lines]).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
 
 def marked(name: str, rest: str, within: bool) -> bool:
     if name in LEFT_OUT or (name == "header" and not within):
@@ -141,18 +161,21 @@ def read_page(html: str) -> Page:
     return page
 
 
-def shared_lines(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of a longest common subsequence of the two, by rows of bits."""
+def aligned_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence of the two, by rows of bits."""
+    both = set(a) & set(b)
+    at_a = [i for i, line in enumerate(a) if line in both]
+    at_b = [j for j, line in enumerate(b) if line in both]
     places: dict[str, int] = {}
-    for j, line in enumerate(b):
-        places[line] = places.get(line, 0) | 1 << j
-    full = (1 << len(b)) - 1
+    for j, place in enumerate(at_b):
+        places[b[place]] = places.get(b[place], 0) | 1 << j
+    full = (1 << len(at_b)) - 1
     rows = [full]
-    for line in a:
-        row, hit = rows[-1], rows[-1] & places.get(line, 0)
+    for place in at_a:
+        row, hit = rows[-1], rows[-1] & places[a[place]]
         rows.append(((row + hit) | (row & ~hit)) & full)
     found = []
-    i, j = len(a), len(b)
+    i, j = len(at_a), len(at_b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
@@ -160,49 +183,224 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            found.append(i)
+            found.append((at_a[i], at_b[j]))
     return found
 
 
+def shared_lines(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of a longest common subsequence of the two."""
+    return [i for i, _ in aligned_lines(a, b)]
+
+
+def word_pairs(lines: list[str]) -> set[tuple[str, str]]:
+    words = " ".join(lines).split()
+    return set(zip(["", *words], [*words, ""], strict=True)) if words else set()
+
+
+def edited(page: Page, other: Page, pairs: list[tuple[int, int]]) -> bool:
+    """Whether one is the other but for small changes: lines beside the shared ones decide."""
+    most = max(page.size(), other.size())
+    common = sum(len(page.lines[i]) for i, _ in pairs)
+    if common < COPY_SHARE * most:
+        return False
+    here, there = {i for i, _ in pairs}, {j for _, j in pairs}
+    rest = [line for i, line in enumerate(page.lines) if i not in here]
+    others = [line for j, line in enumerate(other.lines) if j not in there]
+    if max(sum(map(len, rest)), sum(map(len, others))) <= EDIT_SHARE * most:
+        return True
+    one, two = word_pairs(rest), word_pairs(others)
+    return len(one & two) >= EDIT_WORDS * max(min(len(one), len(two)), 1)
+
+
+def copied_in(page: Page, other: Page, pairs: list[tuple[int, int]], recurring: set[str]) -> bool:
+    """Whether nearly all of either, beside recurring lines, is in the other too."""
+    sizes = [sum(len(x) for x in p.lines if x not in recurring) for p in (page, other)]
+    common = sum(len(page.lines[i]) for i, _ in pairs if page.lines[i] not in recurring)
+    return common > 0 and common >= COPY_SHARE * min(sizes)
+
+
 def article(page: Page, neighbours: list[Page]) -> str:
-    gone: set[int] = set()
-    size = sum(map(len, page.lines))
-    for other in neighbours:
-        places = shared_lines(page.lines, other.lines)
-        common = sum(len(page.lines[i]) for i in places)
-        if common >= COPY_SHARE * min(size, sum(map(len, other.lines))):
+    pairs = [aligned_lines(page.lines, other.lines) for other in neighbours]
+    others = [k for k, other in enumerate(neighbours) if not edited(page, other, pairs[k])]
+    times = [0] * len(page.lines)
+    for k in others:
+        third = [set(neighbours[x].lines) for x in others if x != k]
+        if third and copied_in(page, neighbours[k], pairs[k], set().union(*third)):
             continue
-        gone.update(i for i in places if not page.own[i])
+        for i, _ in pairs[k]:
+            times[i] += 1
     marks = any(page.own)
     return "\n".join(
         line
-        for i, (line, own) in enumerate(zip(page.lines, page.own, strict=True))
-        if i not in gone and (own or not marks)
+        for line, own, n in zip(page.lines, page.own, times, strict=True)
+        if own or not (n or marks)
+    )
+
+
+def _placed(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple]]:
+    """Lists of (key, page, row): a key orders as Spark orders host, path and page_id."""
+    for batch in (part for whole in batches for part in slices(whole, column)):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id", "url", column)), strict=True)
+        yield [((h, p, i is not None, i or 0), read_page(x or ""), (i, u)) for h, p, i, u, x in rows]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["host", "path", "page_id", "digest"]
+    for rows in _placed(batches, "html"):
+        found = [(key[0], key[1], row[0], page.digest()) for key, page, row in rows]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted stretch: its first key, and the first and last NEAR different pages, each with
+    its key, of the first and last host."""
+    first = last = None
+    head: OrderedDict[str, tuple] = OrderedDict()
+    tail: OrderedDict[str, tuple] = OrderedDict()
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("host", "path", "page_id", "digest"))
+        for host, path, page_id, digest in zip(*columns, strict=True):
+            key = (host, path, page_id is not None, page_id or 0)
+            first = first or key
+            if host == first[0] and len(head) < NEAR:
+                head.setdefault(digest, key)
+            if host != last:
+                tail.clear()
+            last = host
+            tail[digest] = key
+            tail.move_to_end(digest)
+            if len(tail) > NEAR:
+                tail.popitem(last=False)
+    if first is not None:
+        edges = json.dumps([first, last, list(head.items()), list(tail.items())])
+        yield pa.RecordBatch.from_arrays([pa.array([edges])], ["edges"])
+
+
+def cuts_of(edges: list[str]) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first keys of all stretches in order, and the stretches that need a page of another,
+    by its key."""
+    parts = sorted(
+        (tuple(first), last, [(d, tuple(k)) for d, k in head], [(d, tuple(k)) for d, k in tail])
+        for first, last, head, tail in map(json.loads, edges)
     )
+    wanted: dict[tuple, list[int]] = {}
+
+    def lead(n: int, host: str, way: int) -> None:
+        have: dict[str, tuple] = {}
+        x = n + way
+        while 0 <= x < len(parts) and len(have) < NEAR:
+            first, last, head, tail = parts[x]
+            if host != (last if way < 0 else first[0]):
+                break
+            for digest, key in reversed(tail) if way < 0 else head:
+                if len(have) < NEAR:
+                    have.setdefault(digest, key)
+            if first[0] != last:
+                break
+            x += way
+        for key in have.values():
+            wanted.setdefault(key, []).append(n)
+
+    for n, (first, last, _, _) in enumerate(parts):
+        lead(n, first[0], -1)
+        lead(n, last, 1)
+    return [p[0] for p in parts], wanted
+
+
+DEALT = "stretch int, host string, path string, page_id long, url string, lines string, own string, asked boolean"
+
+
+def _dealt(firsts: list[tuple], wanted: dict[tuple, list[int]]):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in DEALT.split(", ")]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        for rows in _placed(batches, "html"):
+            out = []
+            for key, page, (page_id, url) in rows:
+                marks = "".join("01"[own] for own in page.own)
+                given = (key[0], key[1], page_id, url, "\n".join(page.lines), marks)
+                home = max(bisect_right(firsts, key) - 1, 0)
+                out.append((home, *given, True))
+                out += [(n, *given, False) for n in wanted.get(key, ())]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return deal
+
+
+@dataclass
+class Waiting:
+    """A page whose later neighbours are still to come, and the rows that hold it."""
+
+    page: Page
+    near: dict[str, Page]
+    rows: list[tuple] = field(default_factory=list)
+    later: int = 0
+
+
+def _sorted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(page_id, url, text); rows come sorted within their stretch."""
+    here = None
+    recent: OrderedDict[str, Page] = OrderedDict()
+    waiting: OrderedDict[str, Waiting] = OrderedDict()
+
+    def texts(done: list[Waiting]) -> Iterator[tuple]:
+        for one in done:
+            if one.rows:
+                text = article(one.page, list(one.near.values()))
+                yield from ((*row, text) for row in one.rows)
+
+    for batch in (part for whole in batches for part in slices(whole, "lines")):
+        names = ("stretch", "host", "page_id", "url", "lines", "own", "asked")
+        for stretch, host, page_id, url, lines, own, asked in zip(
+            *(batch.column(c).to_pylist() for c in names), strict=True
+        ):
+            if here != (stretch, host):
+                yield from texts(list(waiting.values()))
+                waiting.clear()
+                recent.clear()
+                here = (stretch, host)
+            page = Page(lines.split("\n") if lines else [], [mark == "1" for mark in own])
+            digest = page.digest()
+            if digest not in waiting:
+                for one in waiting.values():
+                    one.near[digest] = page
+                    one.later += 1
+                for key in [k for k, one in waiting.items() if one.later >= NEAR]:
+                    yield from texts([waiting.pop(key)])
+                before = [k for k in recent if k != digest][-NEAR:]
+                waiting[digest] = Waiting(page, {k: recent[k] for k in before})
+            recent[digest] = page
+            recent.move_to_end(digest)
+            if len(recent) > NEAR + 1:
+                recent.popitem(last=False)
+            if asked:
+                waiting[digest].rows.append((page_id, url))
+    yield from texts(list(waiting.values()))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages come sorted; each is given out once its next neighbour has been read."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    before = waiting = None
-    for batch in (part for whole in batches for part in slices(whole, "html")):
-        out: list[tuple] = []
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")]
-        for page_id, url, host, html in zip(*columns, strict=True):
-            now = (host, read_page(html or ""), page_id, url)
-            if waiting is not None:
-                near = [x[1] for x in (before, now) if x is not None and x[0] == waiting[0]]
-                out.append((waiting[2], waiting[3], article(waiting[1], near)))
-            before, waiting = waiting, now
+    out: list[tuple] = []
+    size = 0
+    for row in _sorted_texts(batches):
+        out.append(row)
+        size += len(row[2]) + 100
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+            out, size = [], 0
+    if out:
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-    if waiting is not None:
-        near = [before[1]] if before is not None and before[0] == waiting[0] else []
-        last = {"page_id": waiting[2], "url": waiting[3], "text": article(waiting[1], near)}
-        yield pa.RecordBatch.from_pylist([last], schema)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every row of pages(page_id, url, html)."""
+def main_texts(pages: DataFrame, stretches: int | None = None) -> DataFrame:
+    """(page_id, url, text) of every row of pages(page_id, url, html).
+
+    stretches: parts that the sorted pages are cut into; as many as shuffles have by default.
+    """
+    spark = pages.sparkSession
     url = F.coalesce("url", F.lit(""))
     placed = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -212,8 +410,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
         F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", "").alias("path"),
     )
     order = ["host", "path", "page_id"]
+    stretches = stretches or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = placed.mapInArrow(_keys, "host string, path string, page_id long, digest string")
+    keys = stored(keys, "page-keys")
+    edges = keys.repartitionByRange(stretches, *order).sortWithinPartitions(*order).mapInArrow(_edges, "edges string")
+    firsts, wanted = cuts_of([r.edges for r in edges.collect()])
     return (
-        placed.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        placed.mapInArrow(_dealt(firsts, wanted), DEALT)
+        .repartitionById(max(len(firsts), 1), F.col("stretch"))
+        .sortWithinPartitions("stretch", *order)
         .mapInArrow(_texts, "page_id long, url string, text string")
     )

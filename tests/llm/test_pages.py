@@ -58,6 +58,50 @@ def test_pages_without_an_article_lose_the_lines_of_their_neighbours(spark):
     assert texts[13] == texts[14] == whole(1)
 
 
+def site(k):
+    """A short article in a long template."""
+    menu = "".join(f"<div>Entry {n} of the menu of this site, as on all pages</div>" for n in range(40))
+    return f"<body>{menu}<p>{unlike(k)}</p><div>All rights of this site</div></body>"
+
+
+def unlike(k):
+    return " ".join(random.Random(k).choices([f"w{n}" for n in range(500)], k=60))
+
+
+def test_a_long_template_around_short_articles_goes():
+    pages = [read_page(site(k)) for k in range(3)]
+    empty = read_page(site(0).replace(unlike(0), ""))
+    assert article(pages[0], pages[1:]) == unlike(0)
+    assert article(pages[0], pages[1:2]) == unlike(0)
+    assert article(pages[0], [empty]) == unlike(0)
+
+
+def test_edited_copies_keep_their_text():
+    text = [unlike(k) for k in range(20)]
+    words = text[3].split()
+    words[7] = "other"
+    first, second = (
+        read_page("".join(f"<p>{t}</p>" for t in x)) for x in (text, [*text[:3], " ".join(words), *text[4:]])
+    )
+    assert article(first, [second]) == "\n".join(text)
+
+
+def test_equal_pages_do_not_hide_other_neighbours(spark):
+    """Copies on both sides, repeated rows, hosts cut over tasks: any cut gives the same texts."""
+    rows = [(k, f"http://h.example/a/{k // 10:03}/{k}", site(k // 10)) for k in range(60)]
+    rows += [(100, "http://two.example/1", site(100)), (101, "http://two.example/2", site(101))]
+    rows += [rows[0], rows[0], (200, "http://z.example/", site(200))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for stretches in (1, 7, 40):
+        found = main_texts(table, stretches).collect()
+        assert sorted(r.page_id for r in found) == sorted(r[0] for r in rows)
+        for r in found:
+            if r.page_id < 60:
+                assert r.text == unlike(r.page_id // 10)
+            elif r.page_id < 200:
+                assert r.text == unlike(r.page_id)
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_texts(table).count() == 0
