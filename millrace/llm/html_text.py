@@ -7,8 +7,9 @@ of a host with the same lines are one page. Each is aligned with the NEAR neares
 before and after it by longest common subsequences of lines. Neighbours that are copies of the
 page are set apart: what is left of each beside the shared lines is hardly anything or an edited
 form of the other's, or the page shares nearly all it has beside the lines that recur on third
-pages. Lines shared with the other neighbours are deleted, unless the page marks them as its
-article. A page that marks an article gives that; one that marks none gives every line left.
+pages. Lines shared with the other neighbours are deleted, inside what the page marks as its
+article too if SURE of them share it. A page that marks an article gives what is left of that;
+one that marks none gives every line left.
 
 Sorting deals even one host of a third of all pages over tasks. The cut points are found first, on
 keys and hashes of the lines alone, and with them the different pages next to each cut, however
@@ -16,8 +17,8 @@ far away equal pages push them; those go to the tasks on both sides. A task hold
 
 Defined results: a null or empty html has an empty text; a null url counts as an empty one;
 repeated rows are repeated in the result; other columns are ignored. On a host with two different
-pages nothing tells a short article in a long template from an edit, but the rest of the lines. A
-page with NEAR or more copies next to it on both sides, all of them different, keeps its text.
+pages nothing tells a short article in a long template from an edit, but the rest of the lines, and
+marked articles are kept whole. A page with NEAR or more copies next to it on both sides, all of them different, keeps its text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from millrace.llm.words import slices
 
 #: Different pages before and after a page that it is compared with.
 NEAR = 3
+#: Different pages, no copies, that share a line before it goes from a marked article.
+SURE = 2
 #: Pages that share so large a part of their characters may be copies.
 COPY_SHARE = 0.8
 #: They are if the rest is so small a part of them, or shares so large a part of its word pairs.
@@ -233,7 +236,7 @@ def article(page: Page, neighbours: list[Page]) -> str:
     return "\n".join(
         line
         for line, own, n in zip(page.lines, page.own, times, strict=True)
-        if own or not (n or marks)
+        if (n < SURE if own else not (n or marks))
     )
 
 

@@ -86,6 +86,18 @@ def test_edited_copies_keep_their_text():
     assert article(first, [second]) == "\n".join(text)
 
 
+def test_lines_that_recur_inside_marked_articles_go():
+    def wrapped(k):
+        return read_page(f"<body><main><div class='x1'>A B C</div><p>{unlike(k)}</p><div>Buy now</div></main></body>")
+
+    pages = [wrapped(k) for k in range(3)]
+    assert article(pages[0], pages[1:]) == unlike(0)
+    # One page alone may quote the article.
+    assert article(pages[0], pages[1:2]) == f"A B C\n{unlike(0)}\nBuy now"
+    copies = [read_page(f"<article><p>{unlike(1)}</p><p>{unlike(2)}</p><p>Seen {k}</p></article>") for k in range(3)]
+    assert article(copies[0], copies[1:]) == f"{unlike(1)}\n{unlike(2)}\nSeen 0"
+
+
 def test_equal_pages_do_not_hide_other_neighbours(spark):
     """Copies on both sides, repeated rows, hosts cut over tasks: any cut gives the same texts."""
     rows = [(k, f"http://h.example/a/{k // 10:03}/{k}", site(k // 10)) for k in range(60)]
