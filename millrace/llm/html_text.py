@@ -51,7 +51,7 @@ EDIT_SHARE, EDIT_WORDS = 0.02, 0.5
 #: Elements whose text is never shown or never part of an article.
 LEFT_OUT = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea "
-    "iframe svg canvas object dialog menu audio video map math label".split()
+    "iframe svg canvas object menu audio video map".split()
 )
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
@@ -62,15 +62,21 @@ INLINE = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names in class, id or role that mark what is no article.
+#: Words, and parts of them between hyphens, in class, id or role that mark what is
+#: no article.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|"
     r"sidebar|footer|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|"
     r"signup|login|share|sharing|social|related|recommended|comments?|replies|reply|discussion|"
-    r"disqus|widget|toolbar|pagination|pager|search|contentinfo|complementary|disclaimer|copyright)"
-    r"(?:$|[\s_\d-])",
+    r"disqus|widget|toolbar|pagination|pager|search|contentinfo|complementary|disclaimer|copyright)\d*",
     re.IGNORECASE,
 )
+#: Names that sections of an article have as well; they mark nothing inside one.
+SECTIONS = frozenset(("related", "discussion"))
+#: First parts of words that say what a page has, and last parts that say a word is
+#: about the page or its article.
+ABOUT = frozenset("has have no not non with without is hide show".split())
+WHOLE = frozenset("page layout main article content body document".split())
 TAG = re.compile(
     r"""<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
     re.DOTALL,
@@ -94,21 +100,38 @@ class Page:
         return blake2b("\n".join([marks, *self.lines]).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
+def mark_word(word: str, within: bool) -> bool:
+    parts = [part for part in re.split(r"[_-]+", word.lower()) if part]
+    if not parts or (len(parts) > 1 and (parts[0] in ABOUT or parts[-1] in WHOLE)):
+        return False
+    return any(MARKS.fullmatch(part) and not (within and part in SECTIONS) for part in parts)
+
+
 def marked(name: str, rest: str, within: bool) -> bool:
     if name in LEFT_OUT or (name == "header" and not within):
         return True
+    if name == "dialog" and not re.search(r"(?:^|\s)open(?:$|[\s=])", rest):
+        return True
     if not rest.strip() or name in ("html", "body"):
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+    words = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
     shown = not HIDDEN.search(found.get("style", "")) and not re.search(r"(?:^|\s)hidden(?:$|[\s=])", rest)
-    return bool(MARKS.search(names)) or not shown
+    return any(mark_word(word, within) for word in words) or not shown
 
 
 def read_page(html: str) -> Page:
+    """If all articles of a page lie in elements that it marks as none, those are read."""
+    page, held = _read(html, False)
+    return _read(html, True)[0] if held and not any(page.own) else page
+
+
+def _read(html: str, inside: bool) -> tuple[Page, bool]:
+    """The page, and whether what was left out holds an article; inside: that is not left out."""
     page = Page()
+    held = False
     parts: list[str] = []
-    within = skip_depth = 0
+    within = skip_depth = articles = 0
     skipped = ""
 
     def close() -> None:
@@ -135,8 +158,17 @@ def read_page(html: str) -> Page:
             # A paragraph without an end tag ends where the next block begins.
             skipped = ""
         if skipped:
-            # An end tag of what holds the skipped element ends it too, if its own is missing.
-            if name == skipped and not tag["rest"].endswith("/"):
+            # The main part is never left out; an article is, like one of the comments, if there
+            # are others. An end tag of what holds the skipped element ends it too, if its own is
+            # missing.
+            opens = not ends and within == 0 and name in ("article", "main")
+            held |= opens
+            if opens and (inside or name == "main"):
+                skip_depth = 0
+            elif name in ("article", "main") and (not ends or articles):
+                articles += -1 if ends else 1
+                continue
+            elif name == skipped and not tag["rest"].endswith("/"):
                 skip_depth += -1 if ends else 1
             if not skip_depth or (ends and name in ("article", "main", "body", "html")):
                 skipped = ""
@@ -157,11 +189,11 @@ def read_page(html: str) -> Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
             elif not tag["rest"].endswith("/"):
-                skipped, skip_depth = name, 1
+                skipped, skip_depth, articles = name, 1, 0
         elif name in ("article", "main"):
             within += 1
     close()
-    return page
+    return page, held
 
 
 def aligned_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -58,6 +58,21 @@ def test_pages_without_an_article_lose_the_lines_of_their_neighbours(spark):
     assert texts[13] == texts[14] == whole(1)
 
 
+def test_names_around_and_in_an_article_do_not_drop_it():
+    names = ("layout has-sidebar", "no-sidebar", "with-comments", "page-search", "search-page", "sidebar")
+    for name in names:
+        for tag in ("article", "main"):
+            html = f"<body><div class='{name}'><nav>N</nav><{tag}><p>text</p></{tag}></div><p>after</p></body>"
+            assert article(read_page(html), []) == "text"
+    for name in names[:3]:
+        assert article(read_page(f"<div class='{name}'><p>text</p></div>"), []) == "text"
+    html = """<article><section class="discussion">a</section><section id="related">b</section><label>c</label>
+    <p>let <math><mi>x</mi></math></p><dialog open>d</dialog><dialog>e</dialog><div class="cookie-bar">f</div>
+    </article><section class="comments"><article>first!</article>
+    <article>second!</article></section><div class="related">g</div>"""
+    assert article(read_page(html), []) == "a\nb\nc\nlet\nx\nd"
+
+
 def site(k):
     """A short article in a long template."""
     menu = "".join(f"<div>Entry {n} of the menu of this site, as on all pages</div>" for n in range(40))
