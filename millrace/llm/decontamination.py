@@ -4,10 +4,12 @@ A seed is a fixed mask over a span of tokens; the tokens at its ignored places m
 place of every training text is hashed under each mask and looked up among the benchmark's
 hashes under the same mask. Around a hit the two token sequences are laid side by side, up to
 AROUND tokens on either side of the hit's first, and the overlap counts if enough of the tokens
-are equal, so passages with a few substituted words are found. Items shorter than a span are
-looked up whole, by one mask as long as they are.
+are equal, so passages with a few substituted words are found. Items of WHOLE_BELOW to SPAN tokens
+have three masks as long as they are, each ignoring another third of the places, so that any one
+token may be substituted. Items of fewer tokens are looked up whole and exactly.
 
-Tokens are words, lower case, without other characters than letters and digits.
+Tokens are words, lower case, without other characters than letters and digits; in scripts that
+put no spaces between words each letter is a token.
 
 The benchmark is the query side: its hashes, each with the tokens around, are dealt into blocks
 of a bounded number of rows; each block is broadcast and meets all training rows, so that a
@@ -16,7 +18,8 @@ look-up and verification of a text happen in one stage, and only its hits leave
 text and item. A text is compared per place, so a passage in a third of all texts gives rows for
 each hit and no pairs of texts.
 
-Defined results: null or empty texts and items without tokens match nothing; of repeated rows
+Defined results: null or empty texts and items without tokens match nothing, nor does an item of
+one token with fewer than LONG_TOKEN letters; of repeated rows
 each is judged the same; a null doc_id or item_id is carried along; other columns are ignored.
 """
 
@@ -35,8 +38,12 @@ SPAN = 12
 AROUND = 30
 #: An overlap stands with so many equal tokens, or with this share of a shorter item's.
 LEAST_EQUAL, LEAST_SHARE = 13, 0.6
-#: Items with fewer tokens are too common to be looked for.
-SHORTEST = 6
+#: Items with fewer tokens are looked up whole and exactly.
+WHOLE_BELOW = 6
+#: Letters that the token of an item of one token has, at least; others are too common.
+LONG_TOKEN = 10
+#: Fixed value: letters of scripts without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Rows of the benchmark that one block holds, about; a block is broadcast.
 BLOCK_ROWS = 50_000
 #: Places of a text that go on together.
@@ -44,32 +51,40 @@ STRETCH = 512
 
 
 def tokens(text: str = "text") -> Column:
-    return F.expr(
-        f"filter(split(lower(coalesce(`{text}`, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
-    )
+    low = f"lower(coalesce(`{text}`, ''))"
+    apart = f"if({low} rlike r'{UNSPACED}', regexp_replace({low}, r'({UNSPACED})', ' $1 '), {low})"
+    return F.expr(f"filter(split({apart}, r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')")
 
 
 def masked_hash(mask: str, array: str, place: str) -> Column:
     words = ", ".join(f"{array}[{place} + {k}]" for k, bit in enumerate(mask) if bit == "1")
-    return F.expr(f"xxhash64({mask.count('1')}, {len(mask)}, {words})")
+    return F.expr(f"xxhash64({int(mask, 2)}, {len(mask)}, {words})")
+
+
+def whole_masks(n: int) -> list[str]:
+    """The masks of items of n tokens that cover them whole."""
+    if n < WHOLE_BELOW:
+        return ["1" * n]
+    return ["".join("01"[(k + skipped) % 3 > 0] for k in range(n)) for skipped in range(3)]
 
 
 def benchmark_rows(benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
     """(mask, hash, item_id, item_tokens, item_place, around), and the masks in use."""
     items = (
         benchmark.select("item_id", tokens().alias("item"))
-        .where(F.size("item") >= SHORTEST)
-        .distinct()
         .withColumn("n", F.size("item"))
+        .where(f"n > 1 OR (n = 1 AND length(item[0]) >= {LONG_TOKEN})")
+        .distinct()
     )
-    short = [r[0] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    short = [r[0] for r in items.where(F.col("n") <= SPAN).select("n").distinct().collect()]
+    whole = [mask for n in sorted(short) for mask in whole_masks(n)]
+    masks = [*MASKS, *whole]
     placed = items.select(
         "item_id", "item", "n", F.posexplode(F.expr("sequence(0, n - 1)")).alias("_", "place")
     )
     rows = [
         placed.where(
-            f"place + {SPAN} <= n" if len(mask) == SPAN else f"n = {len(mask)} AND place = 0"
+            f"place + {SPAN} <= n" if mask in MASKS else f"n = {len(mask)} AND place = 0"
         ).select(
             masked_hash(mask, "item", "place").alias("hash"),
             "item_id",

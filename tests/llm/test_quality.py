@@ -48,6 +48,31 @@ def test_passages_are_found_with_substitutions_and_nothing_else_is(spark):
         assert found == {(1, 1), (2, 1), (3, 1), (None, 1), (9, 4), (10, 1)}
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    lengths = {n: passage_of(f"t{n}x", n) for n in (2, 3, 5, 6, 9, 11, 12)}
+    bench = [*lengths.items(), (100, "Photosynthesis"), (101, "yes"), (102, "水は何度で沸騰しますか"), (103, "首都")]
+    rows, expected = [], set()
+
+    def add(text, item=None):
+        rows.append((len(rows), f"{passage(len(rows), 20)} {text} {passage(500 + len(rows), 20)}"))
+        if item is not None:
+            expected.add((len(rows) - 1, item))
+
+    for n, item in lengths.items():
+        add(item, n)
+        for place in range(n):
+            words = item.split()
+            words[place] = "other"
+            add(" ".join(words), n if n >= 6 else None)
+    add("of photosynthesis yes", 100)
+    add("質問。水は百度で沸騰しますか。", 102)
+    add("その首都の", 103)
+    add("首の都")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in overlaps(texts, items).collect()} == expected
+
+
 def test_no_python_runs_on_the_main_path(spark):
     table = docs(spark).withColumnRenamed("digest", "source")
     bench = spark.createDataFrame([(1, passage(1, 40))], "item_id long, text string")
