@@ -3,7 +3,11 @@
 Texts go through the prefilter of `repeats` first: a window's anchor is the smallest hash among
 the shorter strings inside it, and neighbouring windows with one anchor form a *segment*. Equal
 windows have equal anchors, so all segments of an anchor meet in one bucket, and no other bucket
-needs them. Segments reach it once per block and content.
+needs them. Segments reach it once per block and content. An anchor in very many segments, as of
+a phrase shorter than a window in a third of all texts, would bring them all into one bucket. Such
+anchors are found in a sample of the texts first, which only chooses the path: each of their
+windows is a segment of its own, and goes to a bucket by the 64-bit hash of its bytes, where equal
+windows still meet.
 
 In a bucket, a segment that is the only one of its anchor has no windows to share with another.
 The rest are dealt into two shards. A shard sorts the places of its windows by their last
@@ -25,14 +29,16 @@ Removal may cut characters, so what is kept is binary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import Raised, blocks_of, carried, copied, live, raised_cells
-from millrace.llm.words import BASES, _powers, mix, text_bytes
+from millrace.llm.repeats import Raised, among, blocks_of, carried, copied, live, raised_cells
+from millrace.llm.words import BASES, _powers, mix, slices, text_bytes
 
 WINDOW = 50
 #: Bytes of the strings whose smallest hash is a window's anchor.
@@ -40,6 +46,8 @@ ANCHOR = 20
 BYTES_PER_ANCHOR = 16
 #: Windows of a segment, at most; longer ones go on in the next.
 LONGEST = 200
+#: An anchor in more segments than this goes by single windows; one in SAMPLED texts is looked at.
+CROWDED, SAMPLED = 10_000, 64
 #: Bytes by which a shard's rows are sorted.
 CONTEXT = 8
 #: Windows whose anchors are found at once; only memory and time depend on this.
@@ -85,8 +93,14 @@ def _anchors_at(data: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-def segments_of(column: pa.Array, window: int) -> tuple:
-    """data, offsets, and of every segment: its text, first window, windows and anchor."""
+NONE = np.zeros(0, dtype=np.uint64)
+
+
+def segments_of(column: pa.Array, window: int, crowded: np.ndarray = NONE) -> tuple:
+    """data, offsets, and of every segment: its text, first window, windows and anchor.
+
+    crowded: ordered anchors whose windows are segments of their own.
+    """
     data, offsets = text_bytes(column)
     anchors = byte_anchors(data, window)
     n = len(anchors)
@@ -105,6 +119,7 @@ def segments_of(column: pa.Array, window: int) -> tuple:
     # Long runs are cut every LONGEST windows.
     run_start = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
     new |= (np.arange(len(place)) - run_start) % LONGEST == 0
+    new |= among(value, crowded)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(place)))
     begin = place[first]
@@ -121,6 +136,34 @@ def any_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(value ^ (end - start).astype(np.uint64), 6)
 
 
+def _crowds(window: int):
+    """Segments of a task by anchor."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            anchors, times = np.unique(segments_of(batch.column("text"), window)[-1], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors.view(np.int64)), pa.array(times, pa.int64())], ["anchor", "n"]
+            )
+
+    return count
+
+
+def crowded_anchors(docs: DataFrame, window: int, crowded: int, sampled: int) -> np.ndarray:
+    """Ordered: the anchors that a sample shows in more than `crowded` segments."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(sampled)) == 0)
+    found = (
+        part.select(F.coalesce("text", F.lit("")).alias("text"))
+        .mapInArrow(_crowds(window), "anchor long, n long")
+        .groupBy("anchor")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") * sampled > crowded)
+        .select("anchor")
+        .collect()
+    )
+    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+
+
 def _anchors(window: int):
     def anchors(texts: pa.ChunkedArray):
         _, _, text, _, _, value = segments_of(texts.combine_chunks(), window)
@@ -131,11 +174,13 @@ def _anchors(window: int):
     return anchors
 
 
-def _segments(window: int, cells: int, buckets: int):
+def _segments(window: int, cells: int, buckets: int, crowded: np.ndarray):
     def find(docs: pa.Table, flags: pa.Table) -> pa.Table:
         kept = live(docs, flags)
         block = (docs if docs.num_rows else flags).column("block")[0].as_py()
-        data, _, text, begin, count, anchor = segments_of(kept.column("text").combine_chunks(), window)
+        data, _, text, begin, count, anchor = segments_of(
+            kept.column("text").combine_chunks(), window, crowded
+        )
         pick = Raised(flags, cells)(anchor)
         text, begin, count, anchor = text[pick], begin[pick], count[pick], anchor[pick]
         end = begin + count + window - 1
@@ -144,8 +189,11 @@ def _segments(window: int, cells: int, buckets: int):
         order = np.argsort(key, kind="stable")
         key, ids, anchor, begin, end = key[order], ids[order], anchor[order], begin[order], end[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        # A window of its own is known by its hash alone.
+        own = among(anchor, crowded)
+        anchor = np.where(own, key, anchor)
         raw = data.tobytes()
-        bounds = zip(begin[first].tolist(), end[first].tolist(), strict=True)
+        bounds = zip(begin[first].tolist(), np.where(own, begin, end)[first].tolist(), strict=True)
         return pa.table({
             "block": pa.array(np.full(len(first), block, dtype=np.int64)),
             "bucket": (mix(anchor[first], 8) % np.uint64(buckets)).astype(np.int64),
@@ -233,11 +281,12 @@ def _judged(window: int):
         low = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(low, inverse, rows.column("low").to_numpy())
         content = rows.column("bytes").take(pa.array(at))
-        windows = pc.binary_length(content).to_numpy() - window + 1
+        windows = np.maximum(pc.binary_length(content).to_numpy() - window + 1, 1)
         _, alike, times = np.unique(
             rows.column("anchor").to_numpy()[at], return_inverse=True, return_counts=True
         )
-        several = np.flatnonzero(times[alike] > 1)
+        # What comes without bytes is one window, and its hash tells equal ones.
+        several = np.flatnonzero((times[alike] > 1) & (pc.binary_length(content).to_numpy() > 0))
         single = np.column_stack([windows, low]).astype("<i8")
         spans = [row.tobytes() for row in single]
         most = low.copy()
@@ -257,10 +306,10 @@ def _judged(window: int):
     return judge
 
 
-def _removed(window: int):
+def _removed(window: int, crowded: np.ndarray):
     def remove(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         texts = docs.column("text").combine_chunks()
-        data, offsets, text, begin, count, _ = segments_of(texts, window)
+        data, offsets, text, begin, count, _ = segments_of(texts, window, crowded)
         numbers = docs.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
         known = verdicts.filter(pc.is_valid(verdicts.column("key")))
         keys = known.column("key").to_numpy().view(np.uint64)
@@ -313,15 +362,18 @@ def _removed(window: int):
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeated_bytes(
+    docs: DataFrame, window: int = WINDOW, crowded: int = CROWDED, sampled: int = SAMPLED
+) -> DataFrame:
     """docs(doc_id, text, ...) with ADDED: kept_bytes is what is left of the text's bytes."""
     given, docs = carried(docs, ADDED)
+    crowds = crowded_anchors(docs, window, crowded, sampled)
     blocks = blocks_of(docs, BYTES_PER_ANCHOR)
     flags = raised_cells(blocks, _anchors(window))
     segments = (
         blocks.docs.groupBy("block")
         .cogroup(flags.groupBy("block"))
-        .applyInArrow(_segments(window, blocks.cells, blocks.count), SEGMENTS)
+        .applyInArrow(_segments(window, blocks.cells, blocks.count, crowds), SEGMENTS)
     )
     nothing = F.lit(None)
     verdicts = (
@@ -337,6 +389,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         blocks.docs.groupBy("block")
         .cogroup(verdicts.groupBy("block"))
-        .applyInArrow(_removed(window), kinds.add("kept_bytes", "binary"))
+        .applyInArrow(_removed(window, crowds), kinds.add("kept_bytes", "binary"))
         .select("doc_id", "text", *given, *ADDED)
     )

@@ -6,12 +6,15 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from odd import docs, passage, texts
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_spans import first_documents, remove_repeated_bytes
+from millrace.llm.byte_spans import _segments, crowded_anchors, first_documents, remove_repeated_bytes
 from millrace.llm.near_duplicates import components, near_duplicates
+from millrace.llm.repeats import SLICE, packed
 from millrace.llm.substrings import remove_repeated_windows
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -68,6 +71,30 @@ def test_byte_windows_match_brute_force(spark):
     assert Counter(map(tuple, found.collect())) == expected
 
 
+def test_crowded_anchors_go_by_single_windows(spark):
+    """A phrase shorter than a window, in other surroundings each time, fills no bucket."""
+    phrase = " " + "-=" * 20 + " "
+    rows = [(k, passage(k, 12) + phrase + passage(1000 + k, 12)) for k in range(300)]
+    rows += [(500 + k, passage(k, 12)[-15:] + phrase + passage(1000 + k, 12)[:9]) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    crowds = crowded_anchors(table, 50, 100, 1)
+    assert len(crowds)
+    for choice in ({"crowded": 100, "sampled": 1}, {}):
+        found = {r.doc_id: (r.n_removed, bytes(r.kept_bytes)) for r in remove_repeated_bytes(table, **choice).collect()}
+        for i, seq, gone in covered(lambda t: t.encode(), 50, rows):
+            assert found[i] == (sum(gone), bytes(b for b, g in zip(seq, gone) if not g))
+    assert sum(found[500 + k][0] > 0 for k in range(40)) == 40
+    every = packed(np.arange(SLICE))
+    flags = pa.table({
+        "block": [0, 0], "slice": [0, 1], "cells": [every, every],
+        "copy_id": pa.nulls(2, pa.int64()), "copied": pa.nulls(2, pa.string()),
+    })
+    ids, given = zip(*rows)
+    block = pa.table({"block": [0] * len(rows), "doc_id": ids, "text": given, "digest": given})
+    sent = _segments(50, SLICE, 1000, crowds)(block, flags)
+    assert Counter(sent.column("bucket").to_pylist()).most_common(1)[0][1] < 100
+
+
 @pytest.mark.parametrize("size", [3, 8])
 def test_merged_transforms_find_first_documents(size):
     strings = [b"abracadabra", b"abracadabrab", b"cadabra", b"aaaaaaaaaa", b"xyz", b"aab"]
