@@ -109,3 +109,8 @@ def test_levels_are_counted_only_for_a_dense_rank(spark):
         with_levels = plan_of(found)
         without = plan_of(found.select("event_id", "row_number", "rank", "cume_dist", "ntile"))
     assert with_levels.count("Exchange hash") == without.count("Exchange hash") + 1
+
+
+def test_distinct_sketches_are_merged(spark):
+    plan = QUERIES["approximate_distinct_counts"].build(spark, SMALL)._jdf.queryExecution().toString()
+    assert "hll_union_agg" in plan
