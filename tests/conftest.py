@@ -10,9 +10,6 @@ sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
 from millrace.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-MEDIUM = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

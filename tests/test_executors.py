@@ -6,7 +6,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, SMALL
+from paths import ROOT, SMALL
 
 SCRIPT = f"""
 import sys

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from oracle import spark_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import MEDIUM
+from paths import MEDIUM
 from oracle import connect, duck_rows, spark_rows
 
 from millrace.plans import all_queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import MEDIUM, SMALL
+from paths import MEDIUM, SMALL
 from oracle import connect, duck_rows, spark_rows
 
 from millrace.operators.hot import PARTS_CONF, SMALL_KEY_ROWS_CONF

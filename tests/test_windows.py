@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import MEDIUM, SMALL
+from paths import MEDIUM, SMALL
 from oracle import spark_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
