@@ -38,7 +38,7 @@ from millrace.llm.pieces import cuts
 from millrace.llm.words import slices, span_hashes, text_bytes
 
 #: Bytes of text whose words are numbered together; only memory and traffic depend on it.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Buckets for each partition of the input.
 BUCKETS_PER_PARTITION = 16
 #: Rows that are decoded at once; only memory depends on it.
@@ -125,7 +125,8 @@ def numbered(column: pa.Array, pattern: str, buckets: int) -> BlockWords:
     end = np.append(start[1:], len(data)) if len(start) else start
     _, at, inverse = np.unique(span_hashes(data, start, end, 0), return_index=True, return_inverse=True)
     low, high = start[at], end[at]
-    others = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+    others = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(~_LETTER[data], out=others[1:])
     blank = data[low] == 0x20 if len(low) else np.zeros(0, dtype=bool)
     plain = (others[high] == others[low + blank]) | (high - low == 1)
     odd = np.flatnonzero(~plain)
