@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.plans.registry import Query
 
-MODULES = ("tokens", "repeats", "classifiers", "quality", "pages", "conversations")
+MODULES = ("tokens", "repeats", "classifiers", "quality", "pages", "conversations", "phrases")
 
 
 def llm_queries() -> list[Query]:
