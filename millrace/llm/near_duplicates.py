@@ -3,19 +3,23 @@
 A document's set holds its distinct 5-word shingles. Documents with equal sets are one class
 before anything else. The others are spread over independent trees: a document enters, in each
 tree, the node of its minwise shingle under that tree's hash function, so that two documents of
-similarity s meet in a tree with probability s. Nodes with few pairs to compare are compared
-exhaustively. In a larger node all members are compared with a few of them, the pivots:
-
-- pivots are done then, and leave the node;
-- members that hang together through verified links to pivots that are linked themselves are
-  one component, so pairs among them need no look; they stay only for the others' sake;
-- a node whose members are all of that kind is done. One with such a component goes on with
-  other pivots; one without branches into two children, by the minwise shingles under two
-  further functions. With each round more pairs of a node count as few, so that the rounds end.
-
-So neither a large group of near copies nor a passage in very many documents makes all pairs of
-a group. Of two candidates, LEAST_ALIKE of their minwise shingles must agree, which a pair at the
-threshold misses once in 10**9; the others are confirmed on full sets. With TREES trees two
+similarity s meet in a tree with probability s. A node of at most LEAF members is compared
+exhaustively; a larger one is worked on in two steps:
+
+- if all but HALF of its members are known to be connected, the others are compared with all:
+  the node is cut into chunks, and they are put into every chunk;
+- else its members are compared within chunks, together with a few pivots that are put into
+  every chunk, and then branch into two children each, by the minwise shingles under two further
+  functions. A node that is still large after DEEPEST levels is compared in all pairs of chunks.
+
+Trees come in batches. Connected documents get one label after each level and each batch, and
+only documents of different labels are ever compared, so a group of near copies is worked out
+once and not again in every tree and node. Comparing has two steps. Members of a node are kept
+if they have a candidate, a member of another label with which LEAST_ALIKE of their minwise
+shingles agree (a pair at the threshold misses that once in 10**9). The full sets of those that
+are kept join them, and a group's members outside its largest label are held against all others
+until nothing is left to compare; links leave the group as edges of a star. So what leaves a
+node is at most a row for each member, whatever the number of its pairs. With TREES trees two
 documents at the threshold never meet with probability 0.25**TREES, about 2e-10, before what
 deeper levels add; pairs that are more alike miss more rarely still.
 
@@ -35,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bloom import Filter, filter_of
 from millrace.llm.scratch import stored
-from millrace.llm.words import slices, words_of
+from millrace.llm.words import mix, slices, words_of
 
 WORDS = 5
 #: A link: intersection / union at least so much, in percent.
@@ -46,12 +51,16 @@ TREES = 16
 DEEPER = 16
 #: Minwise shingles of all functions that candidates must share, at least.
 LEAST_ALIKE = 9
-#: Pivots of a large node in each round: active ones, and others.
-PIVOTS, OTHERS = 4, 2
-#: Texts, or pairs of full sets, that go to Python at once; only memory depends on this.
+#: Trees that are worked on together; documents linked by then are not compared again.
+BATCHES = (range(4), range(4, TREES))
+#: Members of a node that are compared at once, at most; of a chunk of a larger node.
+LEAF, HALF = 1024, 512
+#: Members of a large node that are put into each of its chunks.
+PIVOTS = 16
+#: Levels below the first before a large node is compared in all pairs of its chunks.
+DEEPEST = 6
+#: Texts that go to Python at once; only memory depends on this.
 BATCH_ROWS = 500
-#: Pairs of a node that are compared exhaustively, at most, and their growth with each round.
-FEW, MORE = 1024, 4
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +84,8 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, two keys of the whole set, and the minwise shingle of each function."""
+    """doc_id, set size, two keys of the whole set, the minwise shingle of each function and a byte
+    of each."""
     steps = np.random.default_rng(20).integers(1, 1 << 62, TREES + DEEPER, dtype=np.uint64)
     for batch in (part for whole in batches for part in slices(whole, "text")):
         value, bounds = shingles(batch.column("text"))
@@ -98,8 +108,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.ascontiguousarray(keys[:, 1]).view(np.int64)),
              pa.ListArray.from_arrays(
                  pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()),
-                 pa.array(mins.ravel().view(np.int64)))],
-            ["doc_id", "n_shingles", "k1", "k2", "mins"],
+                 pa.array(mins.ravel().view(np.int64))),
+             pa.array([row.tobytes() for row in mix(mins, 9).astype(np.uint8)], pa.binary())],
+            ["doc_id", "n_shingles", "k1", "k2", "mins", "signature"],
         )
 
 
@@ -107,183 +118,257 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KEPT_BYTES = 5
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole, "text")):
-        value, bounds = shingles(batch.column("text"))
-        raw = np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"),
-             pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-            ["doc_id", "members"],
-        )
+def _sets_of(wanted: Filter):
+    """The full sets of the documents that the filter holds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            known = whole.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            keys = whole.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
+            for batch in slices(whole.filter(pa.array(known & wanted.holds(keys))), "text"):
+                value, bounds = shingles(batch.column("text"))
+                raw = np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"),
+                     pa.Array.from_buffers(pa.binary(), batch.num_rows, [
+                         None, pa.py_buffer((bounds * KEPT_BYTES).astype(np.int32)), pa.py_buffer(raw)])],
+                    ["doc", "members"],
+                )
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, common, union) of two full sets each."""
+    return run
 
-    def members(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // KEPT_BYTES, 8), dtype=np.uint8)
-        wide[:, 8 - KEPT_BYTES :] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEPT_BYTES)
-        return wide.view(np.uint64).ravel()
 
+def groups_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches in order of `node`."""
+    rest: pa.Table | None = None
     for batch in batches:
-        common, union = [], []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = members(a.as_py()), members(b.as_py())
-            both = np.concatenate([x, y])
-            both.sort()
-            n = int((both[1:] == both[:-1]).sum())
-            common.append(n)
-            union.append(len(both) - n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())],
-            ["a", "b", "common", "union"],
-        )
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        node = table.column("node").to_numpy()
+        start = int(np.searchsorted(node, node[-1]))
+        if start:
+            yield table.slice(0, start)
+        rest = table.slice(start)
+    if rest is not None:
+        yield rest
+
+
+def agreeing(signatures: np.ndarray) -> np.ndarray:
+    """signatures (..., n, functions): how many of two members' minwise shingles agree (..., n, n)."""
+    out = np.zeros((*signatures.shape[:-1], signatures.shape[-2]), dtype=np.uint8)
+    for k in range(signatures.shape[-1]):
+        own = signatures[..., k]
+        out += own[..., :, None] == own[..., None, :]
+    return out
+
+
+def _signature_matrix(column) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, TREES + DEEPER)
+
+
+#: Pairs of members that are held in memory at once.
+PAIRS_AT_ONCE = 1 << 21
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of nodes that have a candidate of another label in their node."""
+    for table in groups_in(batches):
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        signature = _signature_matrix(table.column("signature"))
+        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        sizes = np.diff(np.append(heads, len(node)))
+        kept = np.zeros(len(node), dtype=bool)
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            own = heads[sizes == size]
+            step = max(PAIRS_AT_ONCE // size**2, 1)
+            for some in (own[k : k + step] for k in range(0, len(own), step)):
+                rows = some[:, None] + np.arange(size)
+                other = label[rows][:, :, None] != label[rows][:, None, :]
+                if other.any():
+                    kept[rows] |= ((agreeing(signature[rows]) >= LEAST_ALIKE) & other).any(axis=2)
+        if kept.any():
+            for batch in table.filter(pa.array(kept)).to_batches():
+                yield batch
+
+
+def linked_labels(labels: np.ndarray, signature: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect the labels of members that are linked, directly or through others.
+
+    Members of the largest label wait; any other is held against all, the one with most
+    candidates first, until every member outside the largest label is done.
+    """
+    names, label = np.unique(labels, return_inverse=True)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    likely = agreeing(signature) >= LEAST_ALIKE
+    done = np.zeros(len(sets), dtype=bool)
+    edges = []
+    while True:
+        cross = likely & (label[:, None] != label[None, :])
+        waiting = np.where(done | (label == np.bincount(label).argmax()), 0, cross.sum(axis=1))
+        one = int(waiting.argmax())
+        if not waiting[one]:
+            return edges
+        marked = np.zeros(int(token.max(initial=-1)) + 1, dtype=bool)
+        marked[token[first[one] : first[one + 1]]] = True
+        sums = np.concatenate([[0], np.cumsum(marked[token])])
+        common = sums[first[1:]] - sums[first[:-1]]
+        linked = (100 * common >= PERCENT * (sizes + sizes[one] - common)) & (sizes > 0)
+        met = np.unique(label[linked])
+        edges += [(int(names[met[0]]), int(names[k])) for k in met[1:]]
+        label[np.isin(label, met)] = met[0]
+        done[one] = True
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between labels, from groups of members with their full sets."""
+    for table in groups_in(batches):
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        signature = _signature_matrix(table.column("signature"))
+        raw = table.column("members").to_pylist()
+        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        edges = []
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(node)], strict=True):
+            sets = []
+            for one in raw[a:b]:
+                wide = np.zeros((len(one) // KEPT_BYTES, 8), dtype=np.uint8)
+                wide[:, 8 - KEPT_BYTES :] = np.frombuffer(one, dtype=np.uint8).reshape(-1, KEPT_BYTES)
+                sets.append(wide.view(np.uint64).ravel())
+            edges += linked_labels(label[a:b], signature[a:b], sets)
+        if edges:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]
+            )
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with linked, from the documents' whole texts."""
-    ids = stored(
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids"
-    )
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "doc_id long, members binary"), "near-sets", BATCH_ROWS)
-    joined = pairs.join(
-        sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a")), "a"
-    ).join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b")
-    found = joined.select("a", "b", "set_a", "set_b").mapInArrow(
-        _compared, "a long, b long, common long, union long"
-    )
-    return found.select(
-        "a", "b", F.expr(f"100 * common >= {PERCENT} * union").alias("linked")
-    )
+MEMBER = "node long, doc long, label long, signature binary"
 
 
-def sized(members: DataFrame) -> DataFrame:
-    """members(node, ...) of nodes with pairs to compare, with size and the number of pairs."""
-    sizes = (
-        members.groupBy("node")
-        .agg(F.count("*").alias("size"), F.count_if("active").alias("live"))
-        .where("size > 1 AND live > 0")
-        .select("node", "size", (F.col("size") * F.col("live")).alias("pairs"))
-    )
-    return members.join(sizes, "node")
+def by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
 
 
-def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The distinct pairs(a, b) of which enough minwise shingles agree."""
-    for side in ("a", "b"):
-        own = signatures.select(F.col("doc_id").alias(side), F.col("mins").alias(f"mins_{side}"))
-        pairs = (pairs.distinct() if side == "a" else pairs).join(own, side)
-    agree = "size(filter(arrays_zip(mins_a, mins_b), m -> m.mins_a = m.mins_b))"
-    return pairs.where(f"{agree} >= {LEAST_ALIKE}").select("a", "b")
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows(doc, ...) with the label of their document, which is the document itself at first."""
+    if labels is None:
+        return rows.withColumn("label", F.col("doc"))
+    return rows.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
 
-def pivots_of(large: DataFrame, level: int) -> DataFrame:
-    """(node, pivot, main): some members of each node, by the smallest of several hashes.
+def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels(doc, label) after edges(a, b) between labels: each becomes its smallest neighbour.
 
-    main: not active, so of the component whose members need not be compared with each other.
+    Two documents of one label are connected; of those that are, not all need have one label.
     """
-    picks = [
-        F.min_by(
-            F.when(F.col("active") == active, F.struct(F.col("doc").alias("pivot"), (~F.col("active")).alias("main"))),
-            F.when(F.col("active") == active, F.xxhash64("doc", F.lit(k + 16 * level))),
-        )
-        for active, count in ((True, PIVOTS), (False, OTHERS))
-        for k in range(count)
-    ]
-    picked = large.groupBy("node").agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("p"))
-    return picked.select("node", F.inline("p"))
-
-
-def left_over(large: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of large nodes that still have something to compare, with active set anew."""
-    star = large.join(pivots, "node").where("doc <> pivot")
-    linked = star.join(
-        links, F.expr("a = least(doc, pivot) AND b = greatest(doc, pivot)")
-    ).select("node", "doc", "pivot", "main", "active")
-    # The centre: a pivot of the old main component, else the one with most links.
-    degrees = linked.groupBy("node", "pivot", "main").count()
-    old = pivots.where("main").groupBy("node").agg(F.min("pivot").alias("old"))
-    centres = (
-        degrees.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("found"))
-        .join(old, "node", "full").select("node", F.coalesce("old", "found").alias("centre"))
-    )
-    # Pivots of the centre's component: the old main ones, itself, and those linked to it.
-    core = (
-        pivots.where("main").select("node", "pivot")
-        .unionByName(centres.select("node", F.col("centre").alias("pivot")))
-        .unionByName(
-            linked.join(centres, "node").where("doc = centre").select("node", "pivot")
-        )
-        .distinct()
-    )
-    joined = linked.join(core, ["node", "pivot"]).select("node", "doc").distinct()
-    return (
-        large.join(joined.withColumn("met", F.lit(True)), ["node", "doc"], "left")
-        .join(pivots.select("node", F.col("pivot").alias("doc")), ["node", "doc"], "left_anti")
-        .select("node", "doc", "tree", F.expr("active AND met IS NULL").alias("active"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("now"))
+    new = least.select(F.col("a").alias("doc"), F.col("now").alias("label"))
+    if labels is None:
+        return stored(new, "near-labels")
+    moved = labels.join(least, F.col("label") == F.col("a"), "left").select(
+        "doc", F.coalesce("now", "label").alias("label")
     )
+    return stored(moved.unionByName(new.join(labels, "doc", "left_anti")), "near-labels")
+
+
+class Comparison:
+    """Compares groups of documents and keeps what is known: labels, edges, full sets."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.labels: DataFrame | None = None
+        self.edges: list[DataFrame] = []
+        self.sets: DataFrame | None = None
+
+    def of(self, groups: DataFrame) -> None:
+        """groups: rows of MEMBER."""
+        kept = stored(by_node(groups.select("node", "doc", "label", "signature")).mapInArrow(_candidates, MEMBER), "near-kept")
+        if kept.isEmpty():
+            return
+        self.add_sets(kept.select("doc").distinct())
+        full = kept.join(self.sets, "doc").select("node", "label", "signature", "members")
+        found = stored(by_node(full).mapInArrow(_links, "a long, b long"), "near-edges").distinct()
+        if not found.isEmpty():
+            self.edges.append(found)
+            self.labels = relabelled(self.labels, found)
+
+    def add_sets(self, ids: DataFrame) -> None:
+        if self.sets is not None:
+            ids = ids.join(self.sets, "doc", "left_anti")
+        ids = stored(ids, "near-ids")
+        if ids.isEmpty():
+            return
+        wanted = filter_of(ids.select(F.col("doc").alias("key")))
+        texts = self.docs.mapInArrow(_sets_of(wanted), "doc long, members binary")
+        new = stored(texts.join(ids, "doc", "left_semi"), "near-sets", BATCH_ROWS)
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+
+def large_groups(large: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups of the members of large nodes(node, doc, label, signature, tree, size), and those
+    members whose nodes have to branch."""
+    counts = large.groupBy("node", "label").agg(F.count("*").alias("n"))
+    nodes = counts.groupBy("node").agg(
+        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
+    ).where("most < size")
+    nodes = stored(nodes.withColumn("chunks", F.ceil(F.col("size") / HALF)), "near-nodes")
+    rows = large.join(nodes, "node").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(5)), "chunks"))
+    few = F.col("size") - F.col("most") <= HALF
+    outside = F.col("label") != F.col("main")
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    # Outsiders of a node that has few of them go into every chunk, else PIVOTS or so of all do.
+    chosen = F.pmod(F.xxhash64("doc", "node"), "size") < PIVOTS
+    places = F.when(F.when(few, outside).otherwise(chosen), everywhere).otherwise(F.array("chunk"))
+    name = F.xxhash64("node", "place")
+    if last:
+        pairs = F.expr("transform(sequence(0L, chunks - 1), c -> xxhash64(least(c, chunk), greatest(c, chunk)))")
+        places = F.when(few, places).otherwise(pairs)
+    groups = rows.withColumn("place", F.explode(places)).withColumn("node", name)
+    return groups, rows.where(~few).select("node", "doc", "tree", "signature")
 
 
 def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of linked documents. signatures(doc_id, mins) of one document per distinct set."""
-    members = stored(
-        sized(
-            signatures.select(
-                F.col("doc_id").alias("doc"),
-                F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "least"),
-            ).select(
-                F.xxhash64("tree", "least").alias("node"), "doc", "tree", F.lit(True).alias("active")
-            )
-        ),
-        "near-members",
-    )
-    found: list[DataFrame] = []
-    level = 0
-    while not members.isEmpty():
-        few = F.col("pairs") <= FEW * MORE**level
-        small, large = members.where(few), members.where(~few)
-        # Two that are both active meet twice, which `alike` puts right.
-        within = (
-            small.where("active").select("node", F.col("doc").alias("one"))
-            .join(small.select("node", F.col("doc").alias("other")), "node")
-            .where("one <> other")
-            .select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
-        )
-        pivots = stored(pivots_of(large, level), "near-pivots")
-        star = large.join(pivots, "node").where("doc <> pivot AND (active OR NOT main)").select(
-            F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")
-        )
-        pairs = stored(alike(within.unionByName(star), signatures), "near-pairs")
-        links = pairs
-        if not pairs.isEmpty():
-            linked = compared(pairs, docs).where("linked").select("a", "b")
-            links = stored(linked, "near-links", BATCH_ROWS)
-            found.append(links)
-        if pivots.isEmpty():
-            break
-        rest = left_over(large, pivots, links)
-        level += 1
-        # Without a component of its own a node branches; with one it goes on as it is.
-        child = [
-            F.xxhash64(
-                "node", F.lit(branch),
-                F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1),
-            )
-            for branch in (0, 1)
-        ]
-        tied = (F.col("pairs") < F.col("size") * F.col("size")).alias("tied")
-        rest = stored(sized(rest).select("node", "doc", "tree", "active", tied), "near-rest")
-        branched = (
-            rest.where("NOT tied")
-            .join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc")
-            .select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "active")
-        )
-        again = rest.where("tied").drop("tied").unionByName(branched)
-        members = stored(sized(again), "near-members")
+    """(a, b) of edges that connect all linked documents. signatures(doc_id, mins, signature) of
+    one document per distinct set."""
+    work = Comparison(docs)
+    for trees in BATCHES:
+        rest = signatures.select(
+            F.col("doc_id").alias("doc"), "signature",
+            F.posexplode(F.slice("mins", trees[0] + 1, len(trees))).alias("tree", "least"),
+        ).select(F.xxhash64(F.col("tree") + trees[0], "least").alias("node"), "doc", "tree", "signature")
+        for level in range(DEEPEST + 1):
+            members = labelled(rest, work.labels)
+            sizes = rest.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
+            sizes = stored(sizes.select("node"), "near-large")
+            if sizes.isEmpty():
+                work.of(members)
+                break
+            large = stored(members.join(sizes, "node"), "near-members")
+            groups, branching = large_groups(large, level == DEEPEST)
+            small = members.join(sizes, "node", "left_anti")
+            columns = ["node", "doc", "label", "signature"]
+            work.of(small.select(columns).unionByName(groups.select(columns)))
+            if level == DEEPEST:
+                break
+            child = [
+                F.xxhash64("node", F.lit(branch),
+                           F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1))
+                for branch in (0, 1)
+            ]
+            rest = stored(
+                branching.join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc")
+                .select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "signature"),
+                "near-rest",
+            )
+            if rest.isEmpty():
+                break
     none = signatures.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    return reduce(DataFrame.unionByName, found, none).distinct()
+    return reduce(DataFrame.unionByName, work.edges, none).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,7 +408,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
         docs.mapInArrow(
-            _signatures, "doc_id long, n_shingles long, k1 long, k2 long, mins array<long>"
+            _signatures, "doc_id long, n_shingles long, k1 long, k2 long, mins array<long>, signature binary"
         ),
         "near-signed",
         BATCH_ROWS,
@@ -334,7 +419,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     firsts = classes.select(F.col("first").alias("doc_id"), "n_shingles", "k1", "k2")
     signatures = stored(
-        known.join(firsts, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select("doc_id", "mins"),
+        known.join(firsts, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select("doc_id", "mins", "signature"),
         "near-distinct",
     )
     links = links_of(signatures, docs)

@@ -11,7 +11,7 @@ not counted in the first full pass has a shortest part outside the filter; that
 border, and frequent as its whole is, so it is a failure. So two passes at most close the
 search, whatever the sample and the filter's false hits; those only change how much is counted.
 
-The filter has at most FILTER_BITS bits, so what is broadcast is bounded. Every task counts a
+The filter has a bounded number of bits, so what is broadcast is bounded. Every task counts a
 block of texts and sends each distinct phrase once with its count to the phrase's bucket; the
 number of buckets follows the input's partitions. Languages are part of a phrase's identity.
 
@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bloom import Filter, filter_of
 from millrace.llm.scratch import stored
 from millrace.llm.words import mix, slices, span_hashes, text_bytes
 
@@ -39,8 +40,6 @@ LONGEST = 4
 FREQUENT = 30
 #: The sample: one document in so many, and the threshold in it.
 SHARE, PROPOSED = 8, 2
-#: Bits of the filter for each phrase, in all at most, and of a slice of it; probes of a phrase.
-BITS_EACH, FILTER_BITS, SLICE_BITS, PROBES = 16, 1 << 27, 1 << 19, 4
 #: Bytes of text that are counted together; only memory and traffic depend on it.
 BLOCK = 4 << 20
 #: Buckets for each partition of the input.
@@ -57,24 +56,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-@dataclass
-class Filter:
-    """A Bloom filter of phrase keys. An empty one takes nothing."""
-
-    bits: np.ndarray
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        found = np.full(len(keys), len(self.bits) > 0)
-        for place in probes(keys, len(self.bits) * 8) if len(self.bits) else ():
-            found &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-        return found
-
-
-def probes(keys: np.ndarray, n_bits: int) -> Iterator[np.ndarray]:
-    for k in range(PROBES):
-        yield (mix(keys, 40 + k) & np.uint64(n_bits - 1)).astype(np.int64)
-
-
 @dataclass
 class Grams:
     """The words of some texts: byte spans, and for each length the key of the phrase that starts
@@ -292,43 +273,6 @@ def counted(texts: DataFrame, pick, sizes: range, threshold: int, buckets: int,
     return stored(found.groupBy("bucket").applyInArrow(_sums(threshold), SUMS), label)
 
 
-def filter_of(phrases: DataFrame) -> Filter:
-    """Of the column `key`; its size follows the number of phrases up to FILTER_BITS."""
-    n = phrases.count()
-    if not n:
-        return Filter(np.zeros(0, dtype=np.uint8))
-    n_bits = min(max(1 << (n * BITS_EACH - 1).bit_length(), 64), FILTER_BITS)
-    slice_bits = min(SLICE_BITS, n_bits)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            place = np.unique(np.concatenate([*probes(keys, n_bits), np.zeros(0, dtype=np.int64)]))
-            own, first = np.unique(place // slice_bits, return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array([
-                    (x % slice_bits).astype("<u4").tobytes() for x in np.split(place, first[1:])
-                ][: len(own)], pa.binary())],
-                ["part", "places"],
-            )
-
-    def merged(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(slice_bits // 8, dtype=np.uint8)
-        for raw in rows.column("places"):
-            place = np.frombuffer(raw.as_py(), dtype="<u4").astype(np.int64)
-            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        return pa.table({"part": rows.column("part")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    slices_of = (
-        phrases.select("key").mapInArrow(places, "part long, places binary")
-        .groupBy("part").applyInArrow(merged, "part long, bits binary")
-    )
-    bits = np.zeros(n_bits // 8, dtype=np.uint8)
-    for part, raw in slices_of.collect():
-        bits[part * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(raw, dtype=np.uint8)
-    return Filter(bits)
-
-
 def frequent_phrases(
     docs: DataFrame, frequent: int = FREQUENT, share: int = SHARE, proposed: int = PROPOSED,
     block: int = BLOCK, buckets: int | None = None,
