@@ -6,20 +6,20 @@ tree, the node of its minwise shingle under that tree's hash function, so that t
 similarity s meet in a tree with probability s. A node of at most LEAF members is compared
 exhaustively; a larger one is worked on in two steps:
 
-- if all but HALF of its members are known to be connected, the others are compared with all:
+- if all but half of LEAF of its members are known to be connected, the others are compared with all:
   the node is cut into chunks, and they are put into every chunk;
 - else its members are compared within chunks, together with a few pivots that are put into
   every chunk, and then branch into two children each, by the minwise shingles under two further
   functions. A node that is still large after DEEPEST levels is compared in all pairs of chunks.
 
-Trees come in batches. Connected documents get one label after each level and each batch, and
-only documents of different labels are ever compared, so a group of near copies is worked out
-once and not again in every tree and node. Comparing has two steps. Members of a node are kept
-if they have a candidate, a member of another label with which LEAST_ALIKE of their minwise
-shingles agree (a pair at the threshold misses that once in 10**9). The full sets of those that
-are kept join them, and a group's members outside its largest label are held against all others
-until nothing is left to compare; links leave the group as edges of a star. So what leaves a
-node is at most a row for each member, whatever the number of its pairs. With TREES trees two
+Trees come in batches. Connected documents get one label after each batch and level, and only
+documents of different labels are ever compared, so a group of near copies is worked out once
+and not again in every tree and node. Comparing has two steps. Members of a node are kept if
+they have a candidate, a member of another label with which LEAST_ALIKE of their minwise shingles
+agree (a pair at the threshold misses that once in 10**9). The full sets of those that are kept
+join them, and a group's members outside its largest label are held against all others until
+nothing is left to compare; links leave the group as edges of a star. So what leaves a node is
+at most a row for each member, whatever the number of its pairs. With TREES trees two
 documents at the threshold never meet with probability 0.25**TREES, about 2e-10, before what
 deeper levels add; pairs that are more alike miss more rarely still.
 
@@ -53,8 +53,8 @@ DEEPER = 16
 LEAST_ALIKE = 9
 #: Trees that are worked on together; documents linked by then are not compared again.
 BATCHES = (range(4), range(4, TREES))
-#: Members of a node that are compared at once, at most; of a chunk of a larger node.
-LEAF, HALF = 1024, 512
+#: Members of a node that are compared at once, at most; chunks of a larger node have half of that.
+LEAF = 3072
 #: Members of a large node that are put into each of its chunks.
 PIVOTS = 16
 #: Levels below the first before a large node is compared in all pairs of its chunks.
@@ -195,8 +195,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch
 
 
-def linked_labels(labels: np.ndarray, signature: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect the labels of members that are linked, directly or through others.
+def linked_labels(
+    labels: np.ndarray, signature: np.ndarray, sets: list[np.ndarray]
+) -> tuple[list[tuple[int, int]], int]:
+    """Edges that connect the labels of members that are linked, directly or through others, and
+    how many members were held against all others for that.
 
     Members of the largest label wait; any other is held against all, the one with most
     candidates first, until every member outside the largest label is done.
@@ -209,11 +212,11 @@ def linked_labels(labels: np.ndarray, signature: np.ndarray, sets: list[np.ndarr
     done = np.zeros(len(sets), dtype=bool)
     edges = []
     while True:
-        cross = likely & (label[:, None] != label[None, :])
-        waiting = np.where(done | (label == np.bincount(label).argmax()), 0, cross.sum(axis=1))
-        one = int(waiting.argmax())
-        if not waiting[one]:
-            return edges
+        waiting = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        chances = (likely[waiting] & (label[waiting][:, None] != label) & ~done).sum(axis=1)
+        if not chances.any():
+            return edges, int(done.sum())
+        one = int(waiting[chances.argmax()])
         marked = np.zeros(int(token.max(initial=-1)) + 1, dtype=bool)
         marked[token[first[one] : first[one + 1]]] = True
         sums = np.concatenate([[0], np.cumsum(marked[token])])
@@ -239,14 +242,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wide = np.zeros((len(one) // KEPT_BYTES, 8), dtype=np.uint8)
                 wide[:, 8 - KEPT_BYTES :] = np.frombuffer(one, dtype=np.uint8).reshape(-1, KEPT_BYTES)
                 sets.append(wide.view(np.uint64).ravel())
-            edges += linked_labels(label[a:b], signature[a:b], sets)
+            edges += linked_labels(label[a:b], signature[a:b], sets)[0]
         if edges:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
 
-MEMBER = "node long, doc long, label long, signature binary"
+MEMBER = "node long, doc long, label long, tree int, signature binary"
+COLUMNS = [part.split()[0] for part in MEMBER.split(", ")]
 
 
 def by_node(rows: DataFrame) -> DataFrame:
@@ -285,17 +289,12 @@ class Comparison:
         self.edges: list[DataFrame] = []
         self.sets: DataFrame | None = None
 
-    def of(self, groups: DataFrame) -> None:
-        """groups: rows of MEMBER."""
-        kept = stored(by_node(groups.select("node", "doc", "label", "signature")).mapInArrow(_candidates, MEMBER), "near-kept")
-        if kept.isEmpty():
-            return
+    def candidates(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups(node, doc, tree, signature) that have a candidate of another label."""
+        rows = by_node(labelled(groups, self.labels).select(*COLUMNS))
+        kept = stored(rows.mapInArrow(_candidates, MEMBER), "near-kept")
         self.add_sets(kept.select("doc").distinct())
-        full = kept.join(self.sets, "doc").select("node", "label", "signature", "members")
-        found = stored(by_node(full).mapInArrow(_links, "a long, b long"), "near-edges").distinct()
-        if not found.isEmpty():
-            self.edges.append(found)
-            self.labels = relabelled(self.labels, found)
+        return kept
 
     def add_sets(self, ids: DataFrame) -> None:
         if self.sets is not None:
@@ -308,102 +307,121 @@ class Comparison:
         new = stored(texts.join(ids, "doc", "left_semi"), "near-sets", BATCH_ROWS)
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
+    def link(self, kept: DataFrame) -> None:
+        """Compares rows of MEMBER, by node, on full sets."""
+        if kept.isEmpty():
+            return
+        full = kept.join(self.sets, "doc").select("node", "label", "signature", "members")
+        found = stored(by_node(full).mapInArrow(_links, "a long, b long"), "near-edges")
+        self.edges.append(found)
+        self.labels = relabelled(self.labels, found)
+
 
-def large_groups(large: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Groups of the members of large nodes(node, doc, label, signature, tree, size), and those
-    members whose nodes have to branch."""
+def large_groups(large: DataFrame, half: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups of the members of large nodes(node, doc, label, tree, signature), and those members
+    whose nodes have to branch."""
     counts = large.groupBy("node", "label").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("node").agg(
         F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
     ).where("most < size")
-    nodes = stored(nodes.withColumn("chunks", F.ceil(F.col("size") / HALF)), "near-nodes")
+    nodes = stored(nodes.withColumn("chunks", F.ceil(F.col("size") / half)), "near-nodes")
     rows = large.join(nodes, "node").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(5)), "chunks"))
-    few = F.col("size") - F.col("most") <= HALF
+    few = F.col("size") - F.col("most") <= half
     outside = F.col("label") != F.col("main")
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     # Outsiders of a node that has few of them go into every chunk, else PIVOTS or so of all do.
     chosen = F.pmod(F.xxhash64("doc", "node"), "size") < PIVOTS
     places = F.when(F.when(few, outside).otherwise(chosen), everywhere).otherwise(F.array("chunk"))
-    name = F.xxhash64("node", "place")
     if last:
         pairs = F.expr("transform(sequence(0L, chunks - 1), c -> xxhash64(least(c, chunk), greatest(c, chunk)))")
         places = F.when(few, places).otherwise(pairs)
-    groups = rows.withColumn("place", F.explode(places)).withColumn("node", name)
+    groups = rows.withColumn("place", F.explode(places)).withColumn("node", F.xxhash64("node", "place"))
     return groups, rows.where(~few).select("node", "doc", "tree", "signature")
 
 
-def links_of(signatures: DataFrame, docs: DataFrame) -> DataFrame:
+def links_of(signatures: DataFrame, docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(a, b) of edges that connect all linked documents. signatures(doc_id, mins, signature) of
     one document per distinct set."""
     work = Comparison(docs)
-    for trees in BATCHES:
-        rest = signatures.select(
-            F.col("doc_id").alias("doc"), "signature",
-            F.posexplode(F.slice("mins", trees[0] + 1, len(trees))).alias("tree", "least"),
-        ).select(F.xxhash64(F.col("tree") + trees[0], "least").alias("node"), "doc", "tree", "signature")
-        for level in range(DEEPEST + 1):
-            members = labelled(rest, work.labels)
-            sizes = rest.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
-            sizes = stored(sizes.select("node"), "near-large")
-            if sizes.isEmpty():
-                work.of(members)
-                break
-            large = stored(members.join(sizes, "node"), "near-members")
-            groups, branching = large_groups(large, level == DEEPEST)
-            small = members.join(sizes, "node", "left_anti")
-            columns = ["node", "doc", "label", "signature"]
-            work.of(small.select(columns).unionByName(groups.select(columns)))
-            if level == DEEPEST:
-                break
-            child = [
-                F.xxhash64("node", F.lit(branch),
-                           F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1))
-                for branch in (0, 1)
-            ]
-            rest = stored(
-                branching.join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc")
-                .select(F.explode(F.array(*child)).alias("node"), "doc", "tree", "signature"),
-                "near-rest",
-            )
-            if rest.isEmpty():
-                break
+    nodes = signatures.select(
+        F.col("doc_id").alias("doc"), "signature", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "least")
+    ).select(F.xxhash64("tree", "least").alias("node"), "doc", "tree", "signature")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of nodes of at most `leaf`, and of larger ones."""
+        sizes = rows.groupBy("node").agg((F.count("*") > leaf).alias("large")).where("large")
+        marked = rows.join(stored(sizes, "near-large"), "node", "left")
+        return marked.where("large IS NULL").drop("large"), marked.where("large").drop("large")
+
+    small, large = parted(nodes)
+    kept = work.candidates(small)
+    for k, trees in enumerate(BATCHES):
+        own = kept.where(F.col("tree").between(trees[0], trees[-1]))
+        work.link(own if k == 0 else work.candidates(own))
+    for level in range(DEEPEST + 1):
+        large = stored(large, "near-members")
+        if large.isEmpty():
+            break
+        groups, branching = large_groups(labelled(large, work.labels), leaf // 2, level == DEEPEST)
+        work.link(work.candidates(groups))
+        if level == DEEPEST:
+            break
+        child = [
+            F.xxhash64("node", F.lit(branch),
+                       F.element_at("mins", F.pmod(F.col("tree") * 3 + 2 * level + branch, F.lit(DEEPER)) + TREES + 1))
+            for branch in (0, 1)
+        ]
+        rest = branching.join(signatures.select(F.col("doc_id").alias("doc"), "mins"), "doc").select(
+            F.explode(F.array(*child)).alias("node"), "doc", "tree", "signature"
+        )
+        small, large = parted(stored(rest, "near-rest"))
+        work.link(work.candidates(small))
     none = signatures.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    return reduce(DataFrame.unionByName, work.edges, none).distinct()
+    return reduce(DataFrame.unionByName, work.edges, none)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, component) of every document in links(a, b): the smallest one it is connected with.
+    """(doc, component) of every document in links(a, b) that is connected with a smaller one:
+    the smallest of those.
 
-    Large-star and small-star steps by turns (Kiveris and others, 2014), until nothing changes;
-    their number grows with the logarithm of the longest chain.
+    In each round a document joins that one of its neighbours and itself which comes first in an
+    order drawn for the round, and the links between joined documents remain. A drawn order takes
+    a share of any graph's documents away in each round, so that rounds grow with the logarithm
+    of their number; most classes are stars and need one.
     """
-    edges = links.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    )
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = stored(edges.distinct(), "near-edges")
-    before = None
-    while True:
-        # Large star: every larger neighbour of a document is tied to the smallest one around it.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        grown = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+    labels = None
+    turn = 0
+    while not edges.isEmpty():
+        def drawn(c: str, turn: int = turn):
+            return F.struct(F.xxhash64(c, F.lit(turn)), F.col(c).alias("doc"))
+
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = stored(
+            both.groupBy("a").agg(F.min(drawn("b")).alias("m"))
+            .select(F.col("a").alias("doc"), F.least("m", drawn("a"))["doc"].alias("now")),
+            "near-step",
         )
-        # Small star: the smaller neighbours of a document, and itself, are tied to the smallest.
-        low = grown.groupBy("u").agg(F.min("v").alias("m"))
-        shrunk = (
-            grown.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
-        )
-        edges = stored(shrunk, "near-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc")
-        before = now
+        for side in ("a", "b"):
+            edges = edges.join(step.withColumnRenamed("doc", side), side).drop(side).withColumnRenamed("now", side)
+        edges = stored(
+            edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+            "near-edges",
+        )
+        if labels is None:
+            labels = step.withColumnRenamed("now", "label")
+        else:
+            moved = step.withColumnRenamed("doc", "label")
+            labels = labels.join(moved, "label", "left").select("doc", F.coalesce("now", "label").alias("label"))
+        turn += 1
+    if labels is None:
+        return links.select(F.col("a").alias("doc"), F.col("a").alias("component")).limit(0)
+    least = labels.groupBy("label").agg(F.min("doc").alias("component"))
+    return labels.join(least, "label").where("doc <> component").select("doc", "component")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
@@ -414,17 +432,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         BATCH_ROWS,
     )
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("n_shingles", "k1", "k2").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-    )
-    firsts = classes.select(F.col("first").alias("doc_id"), "n_shingles", "k1", "k2")
-    signatures = stored(
-        known.join(firsts, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select("doc_id", "mins", "signature"),
-        "near-distinct",
-    )
-    links = links_of(signatures, docs)
+    classes = stored(
+        known.groupBy("n_shingles", "k1", "k2").agg(
+            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+            F.min_by(F.struct("mins", "signature"), "doc_id").alias("own"),
+        ),
+        "near-classes",
+    )
+    signatures = classes.select(F.col("first").alias("doc_id"), "own.mins", "own.signature")
+    links = links_of(signatures, docs, leaf)
     copies = known.join(
-        classes.where("first < last").drop("last"), ["n_shingles", "k1", "k2"]
+        classes.where("first < last").drop("last", "own"), ["n_shingles", "k1", "k2"]
     ).where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     joined = components(links.unionByName(copies))
     component = F.coalesce("component", "doc_id")

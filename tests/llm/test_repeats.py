@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from odd import docs, passage, texts
 from pyspark.sql import functions as F
 
 from millrace.llm.byte_spans import _segments, crowded_anchors, first_documents, remove_repeated_bytes
-from millrace.llm.near_duplicates import components, near_duplicates
+from millrace.llm.near_duplicates import components, linked_labels, near_duplicates, shingles
 from millrace.llm.repeats import SLICE, packed
 from millrace.llm.substrings import remove_repeated_windows
 
@@ -138,8 +139,10 @@ def classes(rows):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-def test_near_duplicates_match_brute_force(spark):
-    found = near_duplicates(docs(spark)).collect()
+@pytest.mark.parametrize("leaf", [3072, 8])
+def test_near_duplicates_match_brute_force(spark, leaf):
+    """With small leaves every group goes by chunks, pivots and branches."""
+    found = near_duplicates(docs(spark), leaf).collect()
     expected = classes(texts())
     assert len(found) == len(texts())
     for row in found:
@@ -161,6 +164,30 @@ def test_components_follow_long_chains(spark):
     assert found.count() == 59 and found.where("component <> 1").isEmpty()
 
 
+def near_copies(n: int) -> list[tuple[int, str]]:
+    """Texts of 100 words with two words changed in each: about the threshold from each other."""
+    base, rows = passage(10, 100).split(), []
+    for k in range(n):
+        copy = list(base)
+        for place in random.Random(k).sample(range(100), 2):
+            copy[place] = f"n{k}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def test_work_in_a_group_of_near_copies_is_linear():
+    """Texts held against the others, for each text, do not grow with the group."""
+    held = []
+    for n in (150, 300, 600):
+        value, bounds = shingles(pa.array([text for _, text in near_copies(n)]))
+        sets = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        edges, times = linked_labels(np.arange(n), np.zeros((n, 32), dtype=np.uint8), sets)
+        assert len(edges) < n
+        held.append(times)
+    # Each time costs one look at every set: so many times a text's sets are looked at.
+    assert max(held) <= 30
+
+
 @pytest.mark.parametrize("operator", [remove_repeated_windows, remove_repeated_bytes, near_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(docs(spark).limit(0)).count() == 0
