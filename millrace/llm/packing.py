@@ -19,6 +19,7 @@ for itself; a null doc_id stays null; other columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,27 @@ WINDOW = 1024
 CLOSING_ID = 0
 #: Tokens of finished pieces that a task gathers before it hands them on.
 HANDED_ON = 1 << 19
+#: Bytes of text that are encoded at once; only memory and time depend on it.
+BYTES_AT_ONCE = 4 << 20
 
 SCHEMA = (
-    "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long,"
+    " offset long"
 )
 _ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "start", "length")]
-    + [("ids", pa.binary())]
-    + [(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset")]
+    [
+        (name, pa.binary() if kind == "binary" else pa.int64())
+        for name, kind in (part.split() for part in SCHEMA.split(","))
+    ]
 )
 
 
 class Packer:
     """Open windows by fill level. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, window: int, first_sequence: int):
+    def __init__(self, window: int, first_sequence: int, with_ids: bool = True):
         self.window = window
+        self.with_ids = with_ids
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.stacks: list[list[list[tuple]]] = [[] for _ in range(window)]
         self.sequence = first_sequence
@@ -57,8 +63,9 @@ class Packer:
     def close(self, pieces: list[tuple]) -> None:
         offset = 0
         for doc_id, start, ids, doc_tokens in pieces:
+            raw = ids.tobytes() if self.with_ids else None
             self.done.append(
-                (doc_id, start, len(ids), ids.tobytes(), doc_tokens, self.sequence, offset)
+                (doc_id, start, len(ids), raw, crc32(ids), doc_tokens, self.sequence, offset)
             )
             offset += len(ids)
         self.sequence += 1
@@ -132,24 +139,27 @@ class Packer:
         )
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """The pieces of docs(doc_id, text): (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """The pieces of docs(doc_id, text): (doc_id, start, length, ids, ids_crc32, doc_tokens,
+    sequence_id, offset).
 
-    ids are little-endian unsigned 32-bit numbers. tokenizer: path of a byte-level vocabulary
-    file, the same on every machine.
+    ids are little-endian unsigned 32-bit numbers, null if with_ids is false; ids_crc32 is their
+    CRC-32 in any case. tokenizer: path of a byte-level vocabulary file, the same on every machine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own = encoder(tokenizer, keep_ids=True)
-        packer = Packer(window, TaskContext.get().partitionId() << 36)
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        packer = Packer(window, TaskContext.get().partitionId() << 36, with_ids)
+        for batch in (part for whole in batches for part in slices(whole, "text", BYTES_AT_ONCE)):
             ids, first = own.sequences(batch.column("text"))
-            bounds = first.tolist()
+            # Every text's ids, moved by the closing ids of those before it.
+            closed = np.full(len(ids) + batch.num_rows, CLOSING_ID, dtype="<u4")
+            closed[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(first))] = ids
+            bounds = (first + np.arange(batch.num_rows + 1)).tolist()
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                closed = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(CLOSING_ID))
-                packer.add(doc_id, closed.astype("<u4", copy=False))
+                packer.add(doc_id, closed[bounds[k] : bounds[k + 1]])
                 if packer.tokens > HANDED_ON:
                     yield packer.hand_on()
         packer.flush()

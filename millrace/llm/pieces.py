@@ -11,6 +11,9 @@ place, so it lies inside one piece and the library treats it by its default.
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,12 +57,25 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+def grown(values: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """values with `more` from place `at`; the array doubles when it is full."""
+    size = len(values)
+    while at + len(more) > size:
+        size *= 2
+    if size > len(values):
+        values = np.concatenate([values, np.zeros(size - len(values), dtype=values.dtype)])
+    values[at : at + len(more)] = more
+    return values
+
+
 class Encoder:
     """Ids or counts of pieces, remembered between batches of one Python worker."""
 
     def __init__(self, path: str, keep_ids: bool):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.keep_ids = keep_ids
         self.forget()
@@ -85,32 +101,27 @@ class Encoder:
             (self.known.get(k, -1) for k in keys.tolist()), dtype=np.int64, count=len(keys)
         )
         new = np.flatnonzero(numbers < 0)
+        raw = data.tobytes() if len(new) else b""
         for block in range(0, len(new), 4096):
             some = new[block : block + 4096]
             places = at[some]
             texts = [
-                data[s:e].tobytes().decode("utf-8")
+                raw[s:e].decode("utf-8")
                 for s, e in zip(start[places].tolist(), end[places].tolist(), strict=True)
             ]
-            for index, ids in zip(some.tolist(), self.encode(texts), strict=True):
-                number = len(self.known)
-                self.known[int(keys[index])] = number
-                if number >= len(self.sizes):
-                    self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                    self.places = np.concatenate([self.places, np.zeros_like(self.places)])
-                self.sizes[number] = len(ids)
-                if self.keep_ids:
-                    self._store(number, ids)
-                numbers[index] = number
+            found = self.encode(texts)
+            number = np.arange(len(self.known), len(self.known) + len(some))
+            self.known.update(zip(keys[some].tolist(), number.tolist(), strict=True))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self.sizes = grown(self.sizes, number[0], sizes)
+            if self.keep_ids:
+                flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+                self.places = grown(self.places, number[0], self.used + np.cumsum(sizes) - sizes)
+                self.ids = grown(self.ids, self.used, flat)
+                self.used += len(flat)
+            numbers[some] = number
         return numbers[inverse]
 
-    def _store(self, number: int, ids: list[int]) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.places[number] = self.used
-        self.used += len(ids)
-
     def _pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of every piece and the first piece of every text (one more at the end)."""
         data, offsets = text_bytes(column)

@@ -21,11 +21,8 @@ TOKEN_LIMIT = 1024
 
 @registry.query(None)
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-        "sequence_id", "offset",
-    )
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False)
+    return pieces.drop("ids")
 
 
 @registry.query(None)

@@ -74,6 +74,8 @@ def test_empty_tables(spark):
 def test_digest_of_ids(spark):
     from pyspark.sql import functions as F
 
-    row = pack(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), PATH)
-    ids = row.select("ids", F.crc32("ids").alias("c")).collect()
-    assert all(zlib.crc32(bytes(r.ids)) == r.c for r in ids)
+    found = pack(docs(spark), PATH).select("ids", "ids_crc32", F.crc32("ids").alias("c")).collect()
+    assert all(zlib.crc32(bytes(r.ids)) == r.c == r.ids_crc32 for r in found)
+    without = pack(docs(spark), PATH, with_ids=False).select("ids", "ids_crc32").collect()
+    assert sorted(r.ids_crc32 for r in without) == sorted(r.ids_crc32 for r in found)
+    assert {r.ids for r in without} == {None}
