@@ -1,8 +1,11 @@
 """Quality rules with verdicts per host, in built-in functions only.
 
 Every text is measured by itself. A host's rate of failures of each rule is shrunk towards all
-hosts' mean by a beta prior whose two parameters come from the mean and the spread of the
-hosts' own rates (method of moments). A host is refused if a shrunk rate exceeds that rule's
+hosts' mean by a beta prior. Its mean is the share of all documents that fail; its strength
+comes from how much more the hosts' rates differ than draws of their sizes from one common rate
+would (moments of the beta-binomial distribution, hosts weighted by documents). So hosts of one
+document each, which tell nothing about differences between hosts, are shrunk altogether. A host
+is refused if a shrunk rate exceeds that rule's
 limit, and its verdict is joined back to its documents. Hosts are summed before anything is
 shuffled, so one that holds a third of all rows costs no more than another. The measures are
 written once, without texts, and read by both the sums and the join; Spark broadcasts the hosts
@@ -94,6 +97,18 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def beta_prior(hosts: int, n: int, squares: float, failed: int, failed_squares: float) -> tuple[float, float]:
+    """Mean and strength, in documents. squares: of the hosts' sizes; failed_squares: each host's
+    failures squared over its size."""
+    mean = failed / n if n else 0.0
+    room = n - hosts - squares / n + 1 if n else 0.0
+    if not 0 < mean < 1 or room <= 0:
+        return mean, STRONGEST
+    # What the rates' spread has beyond chance, as a share of the most it could have.
+    share = ((failed_squares - mean * mean * n) / (mean * (1 - mean)) - (hosts - 1)) / room
+    return mean, min(max(1 / share - 1, WEAKEST), STRONGEST) if share > 0 else STRONGEST
+
+
 def with_verdicts(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns of docs(text, source, ...), MEASURES, base_failed and kept."""
     measured = (
@@ -108,16 +123,18 @@ def with_verdicts(docs: DataFrame, *keep: str) -> DataFrame:
     hosts = measured.groupBy("host").agg(
         F.count("*").alias("n"), *[count.alias(name) for name, count in failures.items()]
     )
-    rates = [F.col(name) / F.col("n") for name in RULES]
-    # Two numbers for each rule; the only thing that the driver sees.
-    moments = hosts.agg(
-        *[f(rate) for rate in rates for f in (F.avg, F.var_pop)]
+    n = F.col("n").cast("double")
+    # Three numbers and two for each rule; the only thing that the driver sees.
+    sums = hosts.agg(
+        F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(n * n).alias("squares"),
+        *[F.sum(name).alias(name) for name in RULES],
+        *[F.sum(F.col(name).cast("double") * F.col(name) / n).alias(f"{name}_squares") for name in RULES],
     ).first()
     refused = F.lit(False)
-    for k, (name, (_, limit)) in enumerate(RULES.items()):
-        mean, spread = moments[2 * k] or 0.0, moments[2 * k + 1] or 0.0
-        strength = mean * (1 - mean) / spread - 1 if spread > 0 else STRONGEST
-        strength = min(max(strength, WEAKEST), STRONGEST)
+    for name, (_, limit) in RULES.items():
+        mean, strength = beta_prior(
+            sums["hosts"], sums["n"] or 0, sums["squares"] or 0.0, sums[name] or 0, sums[f"{name}_squares"] or 0.0
+        )
         shrunk = (F.col(name) + mean * strength) / (F.col("n") + strength)
         refused = refused | (shrunk > limit)
     return (

@@ -19,12 +19,17 @@ _RULES_SQL = {
 }
 
 
-def _strength(name: str) -> str:
-    mean = f"avg({name} / n) OVER ()"
-    spread = f"var_pop({name} / n) OVER ()"
+def _prior(name: str) -> str:
+    """Mean and strength of the beta prior by the moments of the beta-binomial distribution."""
+    mean = f"(sum({name}) OVER () / sum(n) OVER ())"
+    room = "(sum(n) OVER () - count(*) OVER () - sum(CAST(n AS DOUBLE) * n) OVER () / sum(n) OVER () + 1)"
+    share = (
+        f"((sum(CAST({name} AS DOUBLE) * {name} / n) OVER () - {mean} * {mean} * sum(n) OVER ())"
+        f" / ({mean} * (1 - {mean})) - (count(*) OVER () - 1)) / {room}"
+    )
     return (
-        f"{mean} AS {name}_mean, CASE WHEN {spread} > 0 THEN least(greatest("
-        f"{mean} * (1 - {mean}) / {spread} - 1, {rules.WEAKEST}), {rules.STRONGEST})"
+        f"{mean} AS {name}_mean, CASE WHEN {mean} <= 0 OR {mean} >= 1 OR {room} <= 0 THEN {rules.STRONGEST}"
+        f" WHEN {share} > 0 THEN least(greatest(1 / ({share}) - 1, {rules.WEAKEST}), {rules.STRONGEST})"
         f" ELSE {rules.STRONGEST} END AS {name}_strength"
     )
 
@@ -63,7 +68,7 @@ WITH listed AS (
            {", ".join(f"count(*) FILTER ({rule}) AS {name}" for name, rule in _RULES_SQL.items())}
     FROM judged GROUP BY host
 ), priors AS (
-    SELECT *, {", ".join(_strength(name) for name in _RULES_SQL)} FROM hosts
+    SELECT *, {", ".join(_prior(name) for name in _RULES_SQL)} FROM hosts
 ), verdicts AS (
     SELECT host, {" OR ".join(
         f"({name} + {name}_mean * {name}_strength) / (n + {name}_strength) > {rules.RULES[name][1]}"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from odd import docs, passage, passage_of
 
 from millrace.llm.decontamination import overlaps
-from millrace.llm.host_rules import with_verdicts
+from millrace.llm.host_rules import beta_prior, with_verdicts
 
 
 def test_hosts_that_fail_throughout_are_refused(spark):
@@ -22,6 +23,33 @@ def test_hosts_that_fail_throughout_are_refused(spark):
     assert found[201].base_failed and found[201].n_words == 0 and found[203].kept
 
 
+def test_hosts_of_one_document_are_not_refused_for_it(spark):
+    """A host of one document says nothing about hosts, however many of them fail."""
+    rows = [(k, passage(k, 80) + (" " + "### " * 60 if k % 10 < 3 else ""), f"host{k}") for k in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert with_verdicts(table, "doc_id").where("NOT kept").isEmpty()
+
+
+def test_prior_is_as_strong_as_the_hosts_are_alike():
+    """Sums as with_verdicts makes them, for hosts of (documents, failures)."""
+
+    def prior(hosts):
+        return beta_prior(
+            len(hosts), sum(n for n, _ in hosts), sum(n * n for n, _ in hosts), sum(x for _, x in hosts),
+            sum(x * x / n for n, x in hosts),
+        )
+
+    draw = np.random.default_rng(4)
+    alike = prior([(50, int(x)) for x in draw.binomial(50, 0.2, 400)])
+    assert abs(alike[0] - 0.2) < 0.02 and alike[1] > 200
+    rates = draw.beta(2, 8, 4000)
+    sizes = draw.integers(1, 40, 4000)
+    mean, strength = prior([(int(n), int(x)) for n, x in zip(sizes, draw.binomial(sizes, rates), strict=True)])
+    assert abs(mean - 0.2) < 0.02 and 8 < strength < 12.5
+    assert prior([(40, 0), (30, 30)])[1] < 0.5
+    assert prior([]) == prior([(5, 0)]) == (0.0, 1_000_000.0)
+
+
 def test_words_in_repeated_windows(spark):
     rows = [(1, "a b c x a b c y", "s"), (2, "a a a a", "s"), (3, "a b", "s"), (4, "l\nl\n \nl\nm", "s")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
