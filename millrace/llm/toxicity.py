@@ -6,13 +6,17 @@ marks and obfuscated letters. Tokens are runs of letters, lower case; a digit or
 stands for a letter inside a word is read as that letter, and counted as obfuscation.
 
 The lexicon is learned: whole words, and beginnings of words of 4 to 12 bytes, that are much
-more frequent in toxic than in other training texts, beside a few fixed insults. It, the trees
-and the calibration are each fitted on their own part of a bounded sample of labelled rows, so
-that none sees its own training rows through another. Scoring covers every row.
+more frequent in toxic than in other training texts, beside a few fixed insults. At every size
+it, the trees and the calibration are cross-fitted over FOLDS parts of the labelled rows: a row's
+features come from the lexicon of the other parts, and the calibration is fitted to the scores
+that trees of the other parts give each row; the final lexicon and trees see all rows. Of either
+class at most SAMPLE rows are used, those with the smallest hashes, so that rare toxic labels
+are all taken; rows of a class that is cut weigh more in the calibration, by as much as was cut.
+Scoring covers every row.
 
 Defined results: a null or empty text has all features zero and gets the score that the trees
-and the calibration give it; a null doc_id keeps its row; with fewer than FEWEST toxic or clean
-rows to grow trees on, the score follows from the number of strong lexicon entries alone;
+and the calibration give it; a null doc_id keeps its row; if no row, or none of one class, is
+labelled there is nothing to learn, and the score follows from the number of fixed insults;
 repeated rows are repeated in the result; all given columns are kept but one called score.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +39,13 @@ from pyspark.sql import types as T
 from millrace.llm.scratch import stored
 from millrace.llm.words import BASES, MASK, slices, span_hashes, text_bytes
 
-#: Labelled rows that are used for fitting, at most: those with the smallest hashes of doc_id.
-SAMPLE = 20_000
-#: Entries of the learned lexicon, at most.
+#: Labelled rows of either class that are used for fitting, at most.
+SAMPLE = 10_000
+FOLDS = 3
+#: Entries of the learned lexicon, at most: the best by SURE's measure, of which the test tables
+#: give a few hundred. It travels with every task.
 ENTRIES = 2_000
 TREES, DEPTH = 30, 4
-#: Toxic and clean rows that trees need, at least.
-FEWEST = 12
 #: An entry's log odds times the root of its toxic texts, at least: few texts prove nothing.
 SURE = 6
 #: Words from a lexicon hit within which a second-person word counts as near.
@@ -184,51 +189,68 @@ def features_of(column: pa.Array, keys: np.ndarray, weights: np.ndarray) -> np.n
 
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and toxic texts of a task by entry."""
+    """Texts and toxic texts of a task by entry and fold."""
     for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
         t = tokens_of(batch.column("text"))
         owner = np.repeat(np.arange(batch.num_rows), np.diff(t.first)).astype(np.uint64)
-        toxic = batch.column("toxic").to_numpy().astype(bool)
+        toxic = batch.column("toxic").to_numpy() > 0
+        fold = batch.column("fold").to_numpy()
         texts, keys = [], []
         for value in t.entries():
             pair = np.unique(np.column_stack([value, owner])[value != 0], axis=0)
             keys.append(pair[:, 0])
             texts.append(pair[:, 1].astype(np.int64))
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        bad = toxic[np.concatenate(texts)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(np.bincount(at, minlength=len(key))),
-             pa.array(np.bincount(at, weights=bad, minlength=len(key)).astype(np.int64))],
-            ["entry", "texts", "toxic"],
-        )
-
-
-def learned_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered hashes and weights: the fixed insults, and entries by log odds in labelled
-    (text, toxic)."""
-    totals = labelled.agg(F.count("*"), F.sum("toxic")).first()
-    n, bad = totals[0], totals[1] or 0
-    weight = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log(
-        (F.col("texts") - F.col("toxic") + 0.5) / (n - bad + 1.0)
-    )
-    entries = (
-        labelled.select("text", F.col("toxic").cast("long").alias("toxic"))
-        .mapInArrow(_entry_counts, "entry long, texts long, toxic long")
+        key, text = np.concatenate(keys), np.concatenate(texts)
+        for k in range(FOLDS):
+            own = fold[text] == k
+            entry, at = np.unique(key[own], return_inverse=True)
+            bad = toxic[text[own]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(entry.view(np.int64)), pa.array(np.full(len(entry), k)),
+                 pa.array(np.bincount(at, minlength=len(entry))),
+                 pa.array(np.bincount(at, weights=bad, minlength=len(entry)).astype(np.int64))],
+                ["entry", "fold", "texts", "toxic"],
+            )
+
+
+def learned_lexicons(labelled: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ordered hashes and weights of the fixed insults, and of entries by log odds in
+    labelled(text, toxic, fold): for each fold from the other folds, and last from all."""
+    totals = {(k, bad): n for k, bad, n in labelled.groupBy("fold", F.col("toxic") > 0).count().collect()}
+    own = [F.col("fold") == k for k in range(FOLDS)] + [F.lit(False)]
+    counts = stored(
+        labelled.select("text", F.col("toxic").cast("long").alias("toxic"), F.col("fold").cast("long").alias("fold"))
+        .mapInArrow(_entry_counts, "entry long, fold long, texts long, toxic long")
         .groupBy("entry")
-        .agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-        .withColumn("weight", weight)
-        .where(f"weight > 1.5 AND weight * sqrt(toxic) >= {SURE}")
-        # Frequent entries first; the list is a bounded part of the model.
-        .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "entry")
-        .limit(ENTRIES)
-        .select("entry", "weight")
-        .collect()
-    )
-    lexicon = {e & MASK: w for e, w in entries}
-    for word in INSULTS:
-        lexicon.setdefault(word_hash(word), 3.0)
-    keys = np.array(sorted(lexicon), dtype=np.uint64)
-    return keys, np.array([lexicon[int(k)] for k in keys])
+        .agg(*[
+            F.sum(F.when(~left_out, F.col(name))).alias(f"{name}{k}")
+            for k, left_out in enumerate(own) for name in ("texts", "toxic")
+        ])
+        .where(f"toxic{FOLDS} > 0"),
+        "toxic-entries",
+    )
+    out = []
+    for k in range(FOLDS + 1):
+        bad = sum(n for (fold, toxic), n in totals.items() if toxic and fold != k)
+        good = sum(n for (fold, toxic), n in totals.items() if not toxic and fold != k)
+        toxic, texts = F.col(f"toxic{k}"), F.col(f"texts{k}")
+        weight = F.log((toxic + 0.5) / (bad + 1.0)) - F.log((texts - toxic + 0.5) / (good + 1.0))
+        entries = (
+            counts.select("entry", weight.alias("weight"), (weight * F.sqrt(toxic)).alias("sure"))
+            .where(f"weight > 1.5 AND sure >= {SURE}")
+            .orderBy(F.desc("sure"), "entry")
+            .limit(ENTRIES)
+            .select("entry", "weight")
+            .collect()
+        )
+        out.append(lexicon_of({e & MASK: w for e, w in entries}))
+    return out
+
+
+def lexicon_of(entries: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    entries = {word_hash(word): 3.0 for word in INSULTS} | entries
+    keys = np.array(sorted(entries), dtype=np.uint64)
+    return keys, np.array([entries[int(k)] for k in keys])
 
 
 @dataclass
@@ -280,37 +302,58 @@ class ToxicityModel:
         )
 
 
+def sampled_labels(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, toxic, weight) of at most `most` labels of each class; weight: of how many labels
+    of its class each stands for."""
+    marks = stored(
+        labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
+            "doc_id", (F.col("toxic") > 0).cast("double").alias("toxic"), F.xxhash64("doc_id", F.lit(17)).alias("order")
+        ),
+        "toxic-marks",
+    )
+    totals = dict(marks.groupBy("toxic").count().collect())
+    parts = [
+        marks.where(F.col("toxic") == kind).orderBy("order", "doc_id").limit(most)
+        .select("doc_id", "toxic", F.lit(max(totals.get(kind, 0) / most, 1.0)).alias("weight"))
+        for kind in (0.0, 1.0)
+    ]
+    return stored(parts[0].unionByName(parts[1]), "toxic-labels")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """From the texts of docs(doc_id, text) and labels(doc_id, toxic), toxic 1 or 0.
 
-    Of more than `sample` labels those with the smallest hashes are used. They are few enough to
-    be broadcast, so that no text is shuffled.
+    The labels that are used are few enough to be broadcast, so that no text is shuffled.
     """
-    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
-        "doc_id", F.col("toxic").cast("double").alias("toxic"), F.xxhash64("doc_id", F.lit(17)).alias("order")
-    )
-    picked = stored(marks.orderBy("order", "doc_id").limit(sample).drop("order"), "toxic-labels")
+    picked = sampled_labels(labels, sample)
     rows = stored(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(picked), "doc_id")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(10))),
+        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(FOLDS))),
         "toxic-rows",
     )
-    model = ToxicityModel(*learned_lexicon(rows.where("part < 4")), None, None)
-    counts = rows.where("part >= 4").groupBy(F.expr("part >= 8"), "toxic").count().collect()
-    have = {(late, toxic): n for late, toxic, n in counts}
-    if min(have.get((False, toxic), 0) for toxic in (0.0, 1.0)) < FEWEST:
-        return model
-    data = model.features(rows.where("part >= 4").select(F.struct("text", "toxic", "part").alias("given")))
-    data = data.select("features", "given.toxic", "given.part").checkpoint()
+    if rows.select("toxic").distinct().count() < 2:
+        return ToxicityModel(*lexicon_of({}), None, None)
+    *lexicons, (keys, weights) = learned_lexicons(rows)
+    parts = [
+        ToxicityModel(*lexicon, None, None)
+        .features(rows.where(F.col("fold") == k).select(F.struct("text", "toxic", "weight", "fold").alias("given")))
+        .select("features", "given.toxic", "given.weight", "given.fold")
+        for k, lexicon in enumerate(lexicons)
+    ]
     # A small table; a few partitions keep the many small jobs short.
-    fitting, held = data.where("part < 8").coalesce(2), data.where("part >= 8").coalesce(2)
-    model.trees = GBTClassifier(
+    data = reduce(DataFrame.unionByName, parts).coalesce(2).checkpoint()
+    trees = GBTClassifier(
         featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2,
         minInstancesPerNode=5, maxBins=64, seed=7,
-    ).fit(fitting)
-    if min(have.get((True, 0.0), 0), have.get((True, 1.0), 0)) >= 20:
-        model.calibration = IsotonicRegression(
-            featuresCol="raw", labelCol="toxic", predictionCol="calibrated"
-        ).fit(model.raw(held).select("raw", "toxic"))
-    return model
+    )
+    held = [
+        ToxicityModel(keys, weights, trees.fit(data.where(F.col("fold") != k)), None)
+        .raw(data.where(F.col("fold") == k)).select("raw", "toxic", "weight")
+        for k in range(FOLDS)
+        if not data.where(F.col("fold") != k).isEmpty()
+    ]
+    calibration = IsotonicRegression(
+        featuresCol="raw", labelCol="toxic", weightCol="weight", predictionCol="calibrated"
+    ).fit(reduce(DataFrame.unionByName, held))
+    return ToxicityModel(keys, weights, trees.fit(data), calibration)
