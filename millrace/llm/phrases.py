@@ -135,33 +135,30 @@ def counted_again(g: Grams, proposed: Filter, failed: Filter, words: Filter) ->
     return out
 
 
-def expanded(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... sizes[0] of them, then those of the next, and so on."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(first - (ends - sizes), sizes) + np.arange(total)
-
-
-def entries(g: Grams, languages: list[bytes], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the phrases of `size` words at these words, each after its language and
-    ended by PHRASE_ENDS, and their lengths."""
-    names = np.frombuffer(b"".join(languages), dtype=np.uint8)
-    name_size = np.array([len(x) for x in languages], dtype=np.int64)
-    name_start = np.cumsum(name_size) - name_size
-    own = g.owner[at]
-    parts = [(names, name_start[own], name_size[own], LANGUAGE_ENDS)]
-    for k in range(size):
-        last = k == size - 1
-        s = g.start[at + k]
-        parts.append((g.data, s, g.end[at + k] - s, PHRASE_ENDS if last else 0x20))
-    lengths = sum(part[2] + 1 for part in parts)
-    out = np.empty(int(lengths.sum()), dtype=np.uint8)
-    place = np.cumsum(lengths) - lengths
-    for source, s, n, ending in parts:
-        out[expanded(place, n)] = source[expanded(s, n)]
-        out[place + n] = ending
-        place = place + n + 1
-    return out, lengths
+def entries(g: Grams, words: pa.Array, languages: pa.Array, at: np.ndarray, size: int) -> pa.Array:
+    """The phrases of `size` words at these words, each after its language, both ended by their
+    mark. words: the bytes of all words of g; languages: those of its texts."""
+    own = [words.take(pa.array(at + k)) for k in range(size)]
+    phrase = pc.binary_join_element_wise(*own, b" ") if size > 1 else own[0]
+    language = languages.take(pa.array(g.owner[at]))
+    marked = pc.binary_join_element_wise(language, phrase, bytes([LANGUAGE_ENDS]))
+    return pc.binary_join_element_wise(marked, b"", bytes([PHRASE_ENDS]))
+
+
+def words_in(g: Grams) -> pa.Array:
+    """The bytes of every word."""
+    inside = np.zeros(len(g.data) + 1, dtype=np.int8)
+    inside[g.start] += 1
+    inside[g.end] -= 1
+    held = g.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    ends = np.concatenate([[0], np.cumsum(g.end - g.start)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(g.start), [None, pa.py_buffer(ends), pa.py_buffer(held)])
+
+
+def bytes_of(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of a fresh binary column end to end, and its bounds."""
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[: len(column) + 1]
+    return column.buffers()[2], bounds
 
 
 COUNTS = "bucket long, phrases binary, counts binary, languages array<string>, totals array<long>"
@@ -176,24 +173,22 @@ def _counts(pick, size_of: range, buckets: int, block: int):
             languages = [x.encode() for x in batch.column("lang").to_pylist()]
             g = grams_of(batch.column("text"), languages)
             flags = pick(g)
-            data, lengths, bucket, counts = [], [], [], []
+            words = words_in(g)
+            names = pa.array(languages, pa.binary())
+            phrases, bucket, counts = [], [], []
             for size in size_of:
                 at = np.flatnonzero(flags[size - 1])
                 keys, first, n = np.unique(g.keys[size - 1][at], return_index=True, return_counts=True)
-                own, length = entries(g, languages, at[first], size)
-                data.append(own)
-                lengths.append(length)
+                phrases.append(entries(g, words, names, at[first], size))
                 counts.append(n)
                 bucket.append(((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64))
-            data, lengths, counts, bucket = map(np.concatenate, (data, lengths, counts, bucket))
+            counts, bucket = map(np.concatenate, (counts, bucket))
             if not len(counts):
                 continue
             order = np.argsort(bucket, kind="stable")
-            begin = np.cumsum(lengths) - lengths
-            data = data[expanded(begin[order], lengths[order])]
+            data, ends = bytes_of(pa.concat_arrays(phrases).take(pa.array(order)))
             bucket, counts = bucket[order], counts[order].astype("<u4")
             heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.concatenate([[0], np.cumsum(lengths[order])])
             bounds = ends[np.append(heads, len(bucket))].astype(np.int32)
             n_words = np.bincount(g.owner, minlength=len(languages))
             totals: dict[str, int] = {}
@@ -203,7 +198,7 @@ def _counts(pick, size_of: range, buckets: int, block: int):
             none = [[]] * (len(heads) - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[heads]),
-                 pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(bounds), pa.py_buffer(data)]),
+                 pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(bounds), data]),
                  pa.Array.from_buffers(
                      pa.binary(), len(heads),
                      [None, pa.py_buffer((np.append(heads, len(bucket)) * 4).astype(np.int32)), pa.py_buffer(counts)]),
