@@ -7,18 +7,26 @@ of a host with the same lines are one page. Each is aligned with the NEAR neares
 before and after it by longest common subsequences of lines. Neighbours that are copies of the
 page are set apart: what is left of each beside the shared lines is hardly anything or an edited
 form of the other's, or the page shares nearly all it has beside the lines that recur on third
-pages. Lines shared with the other neighbours are deleted, inside what the page marks as its
-article too if SURE of them share it. A page that marks an article gives what is left of that;
-one that marks none gives every line left.
+pages. Lines shared with the other neighbours are *suspects*, inside what the page marks as its
+article only if SURE of them share it, and never the article's own headline.
+
+Whether suspects go is decided once for each line and host, by counting: a line that is suspect
+on HOST_SHARE of the host's different pages is part
+of its template and goes from all its pages; any other stays on all. A page that marks an article
+gives what is left of that; one that marks none gives every line left. A host's template has at
+most 1 / HOST_SHARE as many lines as its pages have on average, so it is a short list.
 
 Sorting deals even one host of a third of all pages over tasks. The cut points are found first, on
 keys and hashes of the lines alone, and with them the different pages next to each cut, however
 far away equal pages push them; those go to the tasks on both sides. A task holds a few pages.
+Pages are read three times: for the cuts, for the alignment, and for the result.
 
 Defined results: a null or empty html has an empty text; a null url counts as an empty one;
-repeated rows are repeated in the result; other columns are ignored. On a host with two different
-pages nothing tells a short article in a long template from an edit, but the rest of the lines, and
-marked articles are kept whole. A page with NEAR or more copies next to it on both sides, all of them different, keeps its text.
+repeated rows are repeated in the result; other columns are ignored. A quote opens a value only
+behind an equals sign; where an open quote leaves no end for many tags, tags end at the next `>`.
+On a host with two different pages nothing tells a short article in a long template from an edit,
+but the rest of the lines, and marked articles are kept whole. A page with NEAR or more copies
+next to it on both sides, all of them different, makes no line suspect.
 """
 
 from __future__ import annotations
@@ -43,6 +51,8 @@ from millrace.llm.words import slices
 NEAR = 3
 #: Different pages, no copies, that share a line before it goes from a marked article.
 SURE = 2
+#: A host's different pages on which a line has to be suspect.
+HOST_SHARE = 0.5
 #: Pages that share so large a part of their characters may be copies.
 COPY_SHARE = 0.8
 #: They are if the rest is so small a part of them, or shares so large a part of its word pairs.
@@ -78,26 +88,40 @@ SECTIONS = frozenset(("related", "discussion"))
 ABOUT = frozenset("has have no not non with without is hide show".split())
 WHOLE = frozenset("page layout main article content body document".split())
 TAG = re.compile(
-    r"""<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
+    r"""(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?][^>]*+>""",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: What ends at the next `>`, whatever its quotes.
+PLAIN_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>|<[!?][^>]*+>", re.DOTALL)
+TAG_START = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+#: Tags without an end after which quotes are no longer looked at.
+PATIENCE = 16
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 @dataclass
 class Page:
-    """Lines of a page that it does not mark as no article; own: whether it marks them as one."""
+    """Lines of a page that it does not mark as no article; own: whether it marks them as one;
+    heads: whether they are headlines of that."""
 
     lines: list[str] = field(default_factory=list)
     own: list[bool] = field(default_factory=list)
+    heads: list[bool] = field(default_factory=list)
+
+    def marks(self) -> str:
+        return "".join("012"[own + head] for own, head in zip(self.own, self.heads, strict=True))
+
+    @staticmethod
+    def of(lines: str, marks: str) -> Page:
+        return Page(lines.split("\n") if lines else [], [m != "0" for m in marks], [m == "2" for m in marks])
 
     def size(self) -> int:
         return sum(map(len, self.lines))
 
     def digest(self) -> str:
-        marks = "".join("01"[own] for own in self.own)
-        return blake2b("\n".join([marks, *self.lines]).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        return blake2b("\n".join([self.marks(), *self.lines]).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def mark_word(word: str, within: bool) -> bool:
@@ -131,7 +155,7 @@ def _read(html: str, inside: bool) -> tuple[Page, bool]:
     page = Page()
     held = False
     parts: list[str] = []
-    within = skip_depth = articles = 0
+    within = skip_depth = articles = headline = failed = 0
     skipped = ""
 
     def close() -> None:
@@ -140,16 +164,22 @@ def _read(html: str, inside: bool) -> tuple[Page, bool]:
         if line:
             page.lines.append(line)
             page.own.append(within > 0)
+            page.heads.append(within > 0 and headline > 0)
 
     at = 0
     while True:
-        tag = TAG.search(html, at)
-        if tag is None:
+        start = TAG_START.search(html, at)
+        if start is None or html.find(">", start.start()) < 0 and not html.startswith("<!--", start.start()):
             if not skipped:
                 parts.append(html[at:])
             break
+        tag = (TAG if failed < PATIENCE else PLAIN_TAG).match(html, start.start())
         if not skipped:
-            parts.append(html[at : tag.start()])
+            parts.append(html[at : start.start() if tag else start.end()])
+        if tag is None:
+            failed += 1
+            at = start.end()
+            continue
         at = tag.end()
         if tag["name"] is None:
             continue
@@ -178,6 +208,11 @@ def _read(html: str, inside: bool) -> tuple[Page, bool]:
                 continue
         if name not in INLINE:
             close()
+        if name == "h1":
+            headline = max(headline - 1, 0) if ends else headline + 1
+        elif headline and name in ("article", "main", "p", "section", "div", "h2", "h3"):
+            # A headline without an end tag ends where the next block begins.
+            headline = 0
         if ends:
             if name in ("article", "main"):
                 within = max(within - 1, 0)
@@ -196,21 +231,86 @@ def _read(html: str, inside: bool) -> tuple[Page, bool]:
     return page, held
 
 
+#: Bits of the rows that an alignment keeps at once; longer pages are cut in two first.
+ROW_BITS = 1 << 26
+
+
 def aligned_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places in a and b of a longest common subsequence of the two, by rows of bits."""
+    """Places in a and b of a longest common subsequence of the two, the last first."""
     both = set(a) & set(b)
     at_a = [i for i, line in enumerate(a) if line in both]
     at_b = [j for j, line in enumerate(b) if line in both]
-    places: dict[str, int] = {}
-    for j, place in enumerate(at_b):
-        places[b[place]] = places.get(b[place], 0) | 1 << j
-    full = (1 << len(at_b)) - 1
-    rows = [full]
-    for place in at_a:
-        row, hit = rows[-1], rows[-1] & places[a[place]]
-        rows.append(((row + hit) | (row & ~hit)) & full)
+    names: dict[str, int] = {}
+    one = [names.setdefault(a[i], len(names)) for i in at_a]
+    two = [names.setdefault(b[j], len(names)) for j in at_b]
+    return [(at_a[i], at_b[j]) for i, j in reversed(alignment(one, two))]
+
+
+def alignment(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order. Pages whose rows would take more than
+    ROW_BITS are cut where two shorter alignments make up a longest one (Hirschberg, 1975)."""
+    found, tail = [], []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            k, m = k - 1, m - 1
+            tail.append((k, m))
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) <= ROW_BITS or k - i == 1:
+            found += ((i + x, j + y) for x, y in by_rows(a[i:k], b[j:m]))
+            continue
+        half = (i + k) // 2
+        ahead = lengths(a[i:half], b[j:m])
+        behind = lengths(a[half:k][::-1], b[j:m][::-1])[::-1]
+        sums = [x + y for x, y in zip(ahead, behind, strict=True)]
+        cut = j + sums.index(max(sums))
+        todo += [(half, k, cut, m), (i, half, j, cut)]
+    return sorted(found + tail)
+
+
+def bit_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For every start of a, a number whose bit j is unset where b's first j + 1 lines add one to
+    the length of the longest common subsequence."""
+    places: dict[int, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    masks = {line: sum_of_bits(own, len(b)) for line, own in places.items()}
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for line in a:
+        hit = row & masks.get(line, 0)
+        row = ((row + hit) | (row & ~hit)) & full
+        yield row
+
+
+def sum_of_bits(places: list[int], n: int) -> int:
+    raw = bytearray(n // 8 + 1)
+    for j in places:
+        raw[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(raw, "little")
+
+
+def lengths(a: list[int], b: list[int]) -> list[int]:
+    """The lengths of longest common subsequences of a and all starts of b."""
+    for row in bit_rows(a, b):
+        last = row
+    bits = bin(last | 1 << len(b))[3:][::-1]
+    out = [0]
+    for bit in bits:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def by_rows(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    rows = list(bit_rows(a, b))
     found = []
-    i, j = len(at_a), len(at_b)
+    i, j = len(a), len(b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
@@ -218,8 +318,8 @@ def aligned_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            found.append((at_a[i], at_b[j]))
-    return found
+            found.append((i, j))
+    return found[::-1]
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[int]:
@@ -254,7 +354,8 @@ def copied_in(page: Page, other: Page, pairs: list[tuple[int, int]], recurring:
     return common > 0 and common >= COPY_SHARE * min(sizes)
 
 
-def article(page: Page, neighbours: list[Page]) -> str:
+def suspects(page: Page, neighbours: list[Page]) -> list[bool]:
+    """Which lines the page shares with enough neighbours that are no copies of it."""
     pairs = [aligned_lines(page.lines, other.lines) for other in neighbours]
     others = [k for k, other in enumerate(neighbours) if not edited(page, other, pairs[k])]
     times = [0] * len(page.lines)
@@ -264,14 +365,31 @@ def article(page: Page, neighbours: list[Page]) -> str:
             continue
         for i, _ in pairs[k]:
             times[i] += 1
+    return [
+        n >= (SURE if own else 1) and not head
+        for n, own, head in zip(times, page.own, page.heads, strict=True)
+    ]
+
+
+def kept_text(page: Page, gone: list[bool]) -> str:
+    """The lines that are not gone, of the marked article if there is one."""
     marks = any(page.own)
     return "\n".join(
-        line
-        for line, own, n in zip(page.lines, page.own, times, strict=True)
-        if (n < SURE if own else not (n or marks))
+        line for line, own, out in zip(page.lines, page.own, gone, strict=True) if not out and (own or not marks)
     )
 
 
+def article(page: Page, neighbours: list[Page]) -> str:
+    """A page's text by its neighbours alone: all suspects go."""
+    return kept_text(page, suspects(page, neighbours))
+
+
+def line_key(own: bool, line: str) -> int:
+    """A line's number on its host, another one inside articles."""
+    raw = blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8, person=b"own" if own else b"").digest()
+    return int.from_bytes(raw, "little", signed=True)
+
+
 def _placed(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple]]:
     """Lists of (key, page, row): a key orders as Spark orders host, path and page_id."""
     for batch in (part for whole in batches for part in slices(whole, column)):
@@ -354,8 +472,7 @@ def _dealt(firsts: list[tuple], wanted: dict[tuple, list[int]]):
         for rows in _placed(batches, "html"):
             out = []
             for key, page, (page_id, url) in rows:
-                marks = "".join("01"[own] for own in page.own)
-                given = (key[0], key[1], page_id, url, "\n".join(page.lines), marks)
+                given = (key[0], key[1], page_id, url, "\n".join(page.lines), page.marks())
                 home = max(bisect_right(firsts, key) - 1, 0)
                 out.append((home, *given, True))
                 out += [(n, *given, False) for n in wanted.get(key, ())]
@@ -367,67 +484,85 @@ def _dealt(firsts: list[tuple], wanted: dict[tuple, list[int]]):
 
 @dataclass
 class Waiting:
-    """A page whose later neighbours are still to come, and the rows that hold it."""
+    """A page whose later neighbours are still to come; asked: it lies in this stretch itself."""
 
     page: Page
     near: dict[str, Page]
-    rows: list[tuple] = field(default_factory=list)
+    asked: bool = False
     later: int = 0
 
 
-def _sorted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(page_id, url, text); rows come sorted within their stretch."""
-    here = None
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, line, digest) of every suspect line that may still be part of its page's text; rows
+    come sorted within their stretch."""
+    here: tuple | None = None
     recent: OrderedDict[str, Page] = OrderedDict()
     waiting: OrderedDict[str, Waiting] = OrderedDict()
-
-    def texts(done: list[Waiting]) -> Iterator[tuple]:
-        for one in done:
-            if one.rows:
-                text = article(one.page, list(one.near.values()))
-                yield from ((*row, text) for row in one.rows)
+    out: list[tuple[str, int, str]] = []
+
+    def judge(done: list[tuple[str, Waiting]]) -> None:
+        for digest, one in done:
+            if one.asked:
+                page, marks = one.page, any(one.page.own)
+                found = suspects(page, list(one.near.values()))
+                keys = {
+                    line_key(own, line)
+                    for line, own, hit in zip(page.lines, page.own, found, strict=True) if hit and (own or not marks)
+                }
+                out.extend((here[1], key, digest) for key in keys)
+
+    def handed() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        kinds = (pa.string(), pa.int64(), pa.string())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "line", "digest"]
+        )
+        out.clear()
+        return batch
 
     for batch in (part for whole in batches for part in slices(whole, "lines")):
-        names = ("stretch", "host", "page_id", "url", "lines", "own", "asked")
-        for stretch, host, page_id, url, lines, own, asked in zip(
-            *(batch.column(c).to_pylist() for c in names), strict=True
-        ):
+        names = ("stretch", "host", "lines", "own", "asked")
+        for stretch, host, lines, own, asked in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if here != (stretch, host):
-                yield from texts(list(waiting.values()))
+                judge(list(waiting.items()))
                 waiting.clear()
                 recent.clear()
                 here = (stretch, host)
-            page = Page(lines.split("\n") if lines else [], [mark == "1" for mark in own])
+            page = Page.of(lines, own)
             digest = page.digest()
             if digest not in waiting:
                 for one in waiting.values():
                     one.near[digest] = page
                     one.later += 1
                 for key in [k for k, one in waiting.items() if one.later >= NEAR]:
-                    yield from texts([waiting.pop(key)])
+                    judge([(key, waiting.pop(key))])
                 before = [k for k in recent if k != digest][-NEAR:]
                 waiting[digest] = Waiting(page, {k: recent[k] for k in before})
             recent[digest] = page
             recent.move_to_end(digest)
             if len(recent) > NEAR + 1:
                 recent.popitem(last=False)
-            if asked:
-                waiting[digest].rows.append((page_id, url))
-    yield from texts(list(waiting.values()))
+            waiting[digest].asked |= asked
+        yield handed()
+    judge(list(waiting.items()))
+    yield handed()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    out: list[tuple] = []
-    size = 0
-    for row in _sorted_texts(batches):
-        out.append(row)
-        size += len(row[2]) + 100
-        if size > 1 << 20:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+    """Texts of pages without the lines of their host's template."""
+    for batch in (part for whole in batches for part in slices(whole, "html")):
+        texts = []
+        for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+            page = read_page(html or "")
+            known = set(template or ())
+            gone = [
+                bool(known) and not head and line_key(own, line) in known
+                for line, own, head in zip(page.lines, page.own, page.heads, strict=True)
+            ]
+            texts.append(kept_text(page, gone))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
+        )
 
 
 def main_texts(pages: DataFrame, stretches: int | None = None) -> DataFrame:
@@ -450,9 +585,20 @@ def main_texts(pages: DataFrame, stretches: int | None = None) -> DataFrame:
     keys = stored(keys, "page-keys")
     edges = keys.repartitionByRange(stretches, *order).sortWithinPartitions(*order).mapInArrow(_edges, "edges string")
     firsts, wanted = cuts_of([r.edges for r in edges.collect()])
-    return (
+    found = (
         placed.mapInArrow(_dealt(firsts, wanted), DEALT)
         .repartitionById(max(len(firsts), 1), F.col("stretch"))
         .sortWithinPartitions("stretch", *order)
-        .mapInArrow(_texts, "page_id long, url string, text string")
+        .mapInArrow(_suspects, "host string, line long, digest string")
     )
+    sizes = keys.groupBy("host").agg(F.count_distinct("digest").alias("pages"))
+    lines = found.groupBy("host", "line").agg(F.count_distinct("digest").alias("times"))
+    template = stored(
+        lines.join(sizes, "host").where(F.col("times") >= F.col("pages") * HOST_SHARE)
+        .groupBy("host").agg(F.collect_list("line").alias("template")),
+        "page-templates",
+    )
+    return (
+        placed.select("host", "page_id", "url", "html").join(template, "host", "left")
+        .mapInArrow(_texts, "page_id long, url string, text string")
+    )

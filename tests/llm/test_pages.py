@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
-from millrace.llm.html_text import article, main_texts, read_page, shared_lines
+from millrace.llm import html_text
+from millrace.llm.html_text import aligned_lines, article, main_texts, read_page, shared_lines
 
 
 def lcs(a, b):
@@ -129,6 +131,63 @@ def test_equal_pages_do_not_hide_other_neighbours(spark):
                 assert r.text == unlike(r.page_id)
 
 
+def hosted(bodies):
+    return [(k, f"http://h.example/a/{k:03}", f"<body><article>{body}</article></body>") for k, body in enumerate(bodies)]
+
+
+def texts_of(spark, rows, stretches=None):
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in main_texts(table.repartition(3), stretches).collect()}
+
+
+def test_a_line_has_one_fate_on_a_host(spark):
+    """A sentence that stands in three neighbours of thirty is text; one on most pages is template."""
+    bodies = [
+        f"<p>{unlike(k)}</p>" + ("<p>A quoted sentence.</p>" if k in (4, 5, 6, 20) else "")
+        + ("<div>Seen on our site</div>" if k % 5 else "")
+        for k in range(30)
+    ]
+    for stretches in (1, 9):
+        texts = texts_of(spark, hosted(bodies), stretches)
+        for k in range(30):
+            quoted = "\nA quoted sentence." if k in (4, 5, 6, 20) else ""
+            assert texts[k] == unlike(k) + quoted
+
+
+def test_headlines_that_neighbours_share_stay(spark):
+    bodies = [f"<h1>Daily report</h1><p>{unlike(k)}</p><p>Daily report</p>" for k in range(12)]
+    texts = texts_of(spark, hosted(bodies))
+    assert all(texts[k] == f"Daily report\n{unlike(k)}" for k in range(12))
+
+
+def test_long_odd_pages_take_no_time():
+    """A megabyte of open quotes, of one attribute, and a hundred thousand equal lines."""
+    began = time.process_time()
+    assert read_page("<a \"x " * 160_000).lines
+    assert read_page("<p>" + "<a b=\"x ' <p c='\" " * 50_000 + "><b>y</b>") is not None
+    assert read_page("<p>a<a " + "x" * 1_000_000 + ">y").lines == ["ay"]
+    one, two = read_page("<p>x</p>" * 100_000), read_page("<p>x</p>" * 90_000 + "<p>y</p>")
+    assert len(shared_lines(one.lines, two.lines)) == 90_000
+    assert time.process_time() - began < 20
+
+
+def test_alignments_cut_in_two_are_as_long(monkeypatch):
+    rng = random.Random(5)
+    whole = [([rng.choice("abc") for _ in range(60)], [rng.choice("abcd") for _ in range(50)]) for _ in range(40)]
+    wanted = [len(shared_lines(a, b)) for a, b in whole]
+    monkeypatch.setattr(html_text, "ROW_BITS", 40)
+    for (a, b), n in zip(whole, wanted, strict=True):
+        pairs = sorted(aligned_lines(a, b))
+        assert len(pairs) == n and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_quotes_in_tags():
+    assert read_page("<p>a<a title='x > y' href=z>b</a> <i class=\"q\">c</i>").lines == ["ab c"]
+    assert read_page("<p it's>a</p><p>b").lines == ["a", "b"]
+    assert read_page("a < b <3 c<br/>d").lines == ["a < b <3 c", "d"]
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_texts(table).count() == 0
