@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # The session may name a number of rows up to which keys are never split; by default only a
@@ -33,18 +33,19 @@ def hot_keys(
     """The keys with more than 1/parts of all rows as a local table, or None if there are none.
 
     Fewer than ``parts`` keys can each hold more than 1/parts of the rows, so both the rows
-    brought here and the table that is broadcast are bounded whatever the data.
+    brought here and the table that is broadcast are bounded whatever the data. One pass: the
+    most frequent ``parts`` keys come with the number of all rows, observed on the way.
     """
     spark = df.sparkSession
     if min_rows is None:
         min_rows = small_key_rows(spark)
-    total = df.count()
-    if total <= min_rows:
-        return None
-    bar = max(total // parts, min_rows)
-    found = df.groupBy(*keys).count().where(F.col("count") > bar).drop("count")
-    rows = found.collect()
-    return spark.createDataFrame(rows, found.schema) if rows else None
+    seen = Observation()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counts.observe(seen, F.sum("_n").alias("total"))
+    most = counted.orderBy(F.desc("_n")).limit(parts).collect()
+    bar = max((seen.get["total"] or 0) // parts, min_rows)
+    rows = [row[:-1] for row in most if row["_n"] > bar]
+    return spark.createDataFrame(rows, counts.drop("_n").schema) if rows else None
 
 
 def flag_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:

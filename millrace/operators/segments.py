@@ -51,23 +51,33 @@ def _array(points: Sequence[Point]) -> str:
     return f"array({', '.join(map(_literal, points))})"
 
 
+# More points than this would make the compiled search longer than a method may be.
+MOST_COMPILED = 128
+
+
 def count_below(points: Sequence[Point], value: Column, inclusive: bool = False) -> Column:
     """How many of the sorted points lie below the value (or at it).
 
-    Looks first at every k-th point and then within one run of k, so a row costs about twice
-    the square root of the number of points.
+    A binary search of nested conditions, which Spark compiles; a row costs the logarithm of the
+    number of points. Of more points every k-th is searched so, and a run of k within an array.
     """
-    if not points:
-        return F.lit(0)
 
     def below(point: Column) -> Column:
         return (point <= value) if inclusive else (point < value)
 
-    width = math.isqrt(len(points) - 1) + 1
+    def search(some: Sequence[Point], low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        right, left = search(some, middle + 1, high), search(some, low, middle)
+        return F.when(below(F.expr(_literal(some[middle]))), right).otherwise(left)
+
+    if len(points) <= MOST_COMPILED:
+        return search(points, 0, len(points))
+    width = -(-len(points) // MOST_COMPILED)
     runs = [points[i : i + width] for i in range(0, len(points), width)]
-    heads = F.expr(_array([run[0] for run in runs]))
     table = F.expr(f"array({', '.join(map(_array, runs))})")
-    run = F.size(F.filter(heads, below))
+    run = search([run[0] for run in runs], 0, len(runs))
     within = F.size(F.filter(F.element_at(table, F.greatest(run, F.lit(1))), below))
     return F.when(run == 0, 0).otherwise((run - 1) * width + within)
 
@@ -160,21 +170,28 @@ def plan_split(
 ) -> Split:
     """Looks for hot keys and, if there are any, for the points at which to cut them.
 
-    ``by`` and ``tie`` are numeric columns. Without hot keys this costs two counts.
+    ``by`` and ``tie`` are numeric columns. One pass looks for hot keys, a second for the cut
+    points if there are any; without keys one pass does both.
     """
     parts = parts or part_count(df.sparkSession)
     if min_rows is None:
         min_rows = small_key_rows(df.sparkSession)
-    everything_hot = not keys and df.count() > min_rows
-    hot = hot_keys(df, keys, parts, min_rows) if keys else None
+    shares = [i / parts for i in range(1, parts)]
+    cut_points = F.percentile_approx(by, shares, max(10_000, 20 * parts))
+    found = None
+    if not keys:
+        n_rows, found = df.agg(F.count(F.lit(1)), cut_points).first()
+        everything_hot, hot = n_rows > min_rows, None
+    else:
+        everything_hot, hot = False, hot_keys(df, keys, parts, min_rows)
     spread = tuple(spread) or tuple(df.columns)
     split = Split(tuple(keys), by, tie, hot, everything_hot, (), (), (), spread, parts)
     if not split.needed:
         return split
     rows = split.flagged(df.select(*keys, by, *([tie] if tie else []))).where("_hot")
-    shares = [i / parts for i in range(1, parts)]
-    accuracy = max(10_000, 20 * parts)
-    cuts = _cuts(rows.agg(F.percentile_approx(by, shares, accuracy)).first()[0] or [])
+    if keys:
+        found = rows.agg(cut_points).first()[0]
+    cuts = _cuts(found or [])
     points = tuple(_in_order(cuts))
     solid = tuple(point for point in points if cuts[point] > 1)
     ties: tuple[tuple[Point, ...], ...] = ()
@@ -184,7 +201,7 @@ def plan_split(
         found = (
             rows.where(F.array_contains(F.expr(_array(solid)), F.col(by)))
             .groupBy(by)
-            .agg(F.percentile_approx(tie, shares, accuracy).alias("cuts"))
+            .agg(F.percentile_approx(tie, shares, max(10_000, 20 * parts)).alias("cuts"))
             .orderBy(by)
             .collect()
         )

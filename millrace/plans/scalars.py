@@ -242,9 +242,9 @@ def embedding_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")
     )
-    products = F.zip_with(
-        F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e) - 1), lambda x, y: x * y
-    )
+    # A vector without elements has no products, and one of fewer than three no third.
+    pairs = F.greatest(F.size(e) - 1, F.lit(0))
+    products = F.zip_with(F.slice(e, 1, pairs), F.slice(e, 2, pairs), lambda x, y: x * y)
 
     def total(array: Column) -> Column:
         return F.aggregate(array, zero, lambda acc, x: acc + x)
@@ -259,7 +259,7 @@ def embedding_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_position(e, F.array_max(e)).cast("int").alias("place_of_max"),
         F.exists(e, lambda x: F.abs(x) > 0.4).alias("has_peak"),
         F.round(total(products), 6).alias("neighbour_product"),
-        F.round(F.element_at(F.sort_array(e, asc=False), 3), 6).alias("third_largest"),
+        F.round(F.try_element_at(F.sort_array(e, asc=False), F.lit(3)), 6).alias("third_largest"),
     )
 
 
