@@ -201,8 +201,8 @@ def linked_labels(
     """Edges that connect the labels of members that are linked, directly or through others, and
     how many members were held against all others for that.
 
-    Members of the largest label wait; any other is held against all, the one with most
-    candidates first, until every member outside the largest label is done.
+    Members of the largest label wait; any other is held against all, those with most candidates
+    first, until every member outside the largest label is done or has no candidate left.
     """
     names, label = np.unique(labels, return_inverse=True)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -210,22 +210,27 @@ def linked_labels(
     first = np.concatenate([[0], np.cumsum(sizes)])
     likely = agreeing(signature) >= LEAST_ALIKE
     done = np.zeros(len(sets), dtype=bool)
+    largest = np.bincount(label).argmax()
     edges = []
     while True:
-        waiting = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        waiting = np.flatnonzero(~done & (label != largest))
         chances = (likely[waiting] & (label[waiting][:, None] != label) & ~done).sum(axis=1)
-        if not chances.any():
+        waiting = waiting[np.argsort(-chances, kind="stable")][: np.count_nonzero(chances)]
+        if not len(waiting):
             return edges, int(done.sum())
-        one = int(waiting[chances.argmax()])
-        marked = np.zeros(int(token.max(initial=-1)) + 1, dtype=bool)
-        marked[token[first[one] : first[one + 1]]] = True
-        sums = np.concatenate([[0], np.cumsum(marked[token])])
-        common = sums[first[1:]] - sums[first[:-1]]
-        linked = (100 * common >= PERCENT * (sizes + sizes[one] - common)) & (sizes > 0)
-        met = np.unique(label[linked])
-        edges += [(int(names[met[0]]), int(names[k])) for k in met[1:]]
-        label[np.isin(label, met)] = met[0]
-        done[one] = True
+        for one in waiting.tolist():
+            if label[one] == largest or not (likely[one] & (label != label[one]) & ~done).any():
+                continue
+            marked = np.zeros(int(token.max(initial=-1)) + 1, dtype=bool)
+            marked[token[first[one] : first[one + 1]]] = True
+            sums = np.concatenate([[0], np.cumsum(marked[token])])
+            common = sums[first[1:]] - sums[first[:-1]]
+            linked = (100 * common >= PERCENT * (sizes + sizes[one] - common)) & (sizes > 0)
+            met = np.unique(label[linked])
+            edges += [(int(names[met[0]]), int(names[k])) for k in met[1:]]
+            label[np.isin(label, met)] = met[0]
+            largest = np.bincount(label).argmax()
+            done[one] = True
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,9 +390,10 @@ def components(links: DataFrame) -> DataFrame:
     the smallest of those.
 
     In each round a document joins that one of its neighbours and itself which comes first in an
-    order drawn for the round, and the links between joined documents remain. A drawn order takes
-    a share of any graph's documents away in each round, so that rounds grow with the logarithm
-    of their number; most classes are stars and need one.
+    order, and the links between joined documents remain. The order is that of ids for two rounds,
+    enough for stars around their smallest document, which most classes are. After that it is
+    drawn anew each time: a drawn order takes a share of any graph's documents away in each round,
+    so that rounds grow with the logarithm of their number.
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = stored(edges.distinct(), "near-edges")
@@ -395,7 +401,8 @@ def components(links: DataFrame) -> DataFrame:
     turn = 0
     while not edges.isEmpty():
         def drawn(c: str, turn: int = turn):
-            return F.struct(F.xxhash64(c, F.lit(turn)), F.col(c).alias("doc"))
+            rank = F.lit(0) if turn < 2 else F.xxhash64(c, F.lit(turn))
+            return F.struct(rank.alias("rank"), F.col(c).alias("doc"))
 
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stored(
