@@ -26,6 +26,10 @@ class Filter:
 
     bits: np.ndarray
 
+    def __len__(self) -> int:
+        """Bytes of the filter."""
+        return len(self.bits)
+
     def holds(self, keys: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), len(self.bits) > 0)
         for place in probes(keys, len(self.bits) * 8) if len(self.bits) else ():

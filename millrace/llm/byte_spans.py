@@ -37,7 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import Raised, among, blocks_of, carried, copied, live, raised_cells
+from millrace.llm.bloom import Filter, filter_of
+from millrace.llm.repeats import Raised, blocks_of, carried, copied, live, raised_cells
+from millrace.llm.scratch import stored
 from millrace.llm.words import BASES, _powers, mix, slices, text_bytes
 
 WINDOW = 50
@@ -93,13 +95,13 @@ def _anchors_at(data: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-NONE = np.zeros(0, dtype=np.uint64)
+NONE = Filter(np.zeros(0, dtype=np.uint8))
 
 
-def segments_of(column: pa.Array, window: int, crowded: np.ndarray = NONE) -> tuple:
+def segments_of(column: pa.Array, window: int, crowded: Filter = NONE) -> tuple:
     """data, offsets, and of every segment: its text, first window, windows and anchor.
 
-    crowded: ordered anchors whose windows are segments of their own.
+    crowded: of anchors whose windows are segments of their own.
     """
     data, offsets = text_bytes(column)
     anchors = byte_anchors(data, window)
@@ -119,8 +121,10 @@ def segments_of(column: pa.Array, window: int, crowded: np.ndarray = NONE) -> tu
     # Long runs are cut every LONGEST windows.
     run_start = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
     new |= (np.arange(len(place)) - run_start) % LONGEST == 0
-    new |= among(value, crowded)
     first = np.flatnonzero(new)
+    if len(crowded):
+        alone = np.repeat(crowded.holds(value[first]), np.diff(np.append(first, len(place))))
+        first = np.flatnonzero(new | alone)
     count = np.diff(np.append(first, len(place)))
     begin = place[first]
     text = np.searchsorted(offsets, begin, side="right") - 1
@@ -149,8 +153,12 @@ def _crowds(window: int):
     return count
 
 
-def crowded_anchors(docs: DataFrame, window: int, crowded: int, sampled: int) -> np.ndarray:
-    """Ordered: the anchors that a sample shows in more than `crowded` segments."""
+def crowded_anchors(docs: DataFrame, window: int, crowded: int, sampled: int) -> Filter:
+    """The anchors that a sample shows in more than `crowded` segments.
+
+    Their number grows with the input, the filter's size is bounded. A false hit sends another
+    anchor's windows singly too, in every block alike.
+    """
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(sampled)) == 0)
     found = (
         part.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -158,10 +166,9 @@ def crowded_anchors(docs: DataFrame, window: int, crowded: int, sampled: int) ->
         .groupBy("anchor")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") * sampled > crowded)
-        .select("anchor")
-        .collect()
+        .select(F.col("anchor").alias("key"))
     )
-    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+    return filter_of(stored(found, "bytes-crowded"))
 
 
 def _anchors(window: int):
@@ -174,7 +181,7 @@ def _anchors(window: int):
     return anchors
 
 
-def _segments(window: int, cells: int, buckets: int, crowded: np.ndarray):
+def _segments(window: int, cells: int, buckets: int, crowded: Filter):
     def find(docs: pa.Table, flags: pa.Table) -> pa.Table:
         kept = live(docs, flags)
         block = (docs if docs.num_rows else flags).column("block")[0].as_py()
@@ -190,7 +197,7 @@ def _segments(window: int, cells: int, buckets: int, crowded: np.ndarray):
         key, ids, anchor, begin, end = key[order], ids[order], anchor[order], begin[order], end[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         # A window of its own is known by its hash alone.
-        own = among(anchor, crowded)
+        own = crowded.holds(anchor)
         anchor = np.where(own, key, anchor)
         raw = data.tobytes()
         bounds = zip(begin[first].tolist(), np.where(own, begin, end)[first].tolist(), strict=True)
@@ -306,7 +313,7 @@ def _judged(window: int):
     return judge
 
 
-def _removed(window: int, crowded: np.ndarray):
+def _removed(window: int, crowded: Filter):
     def remove(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
         texts = docs.column("text").combine_chunks()
         data, offsets, text, begin, count, _ = segments_of(texts, window, crowded)
