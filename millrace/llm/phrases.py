@@ -40,8 +40,9 @@ LONGEST = 4
 FREQUENT = 30
 #: The sample: one document in so many, and the threshold in it.
 SHARE, PROPOSED = 8, 2
-#: Bytes of text that are counted together; only memory and traffic depend on it.
-BLOCK = 4 << 20
+#: Bytes of text, and rows, that are counted together at most; only memory and traffic depend on
+#: them.
+BLOCK, BATCH_ROWS = 4 << 20, 600
 #: Buckets for each partition of the input.
 BUCKETS_PER_PARTITION = 16
 
@@ -265,7 +266,7 @@ def keys_of(phrases: list[str], languages: list[str], sizes: list[int]) -> np.nd
 def counted(texts: DataFrame, pick, sizes: range, threshold: int, buckets: int, block: int, label: str) -> DataFrame:
     """SUMS of the picked phrases of texts(lang, text) that reach the threshold."""
     found = texts.mapInArrow(_counts(pick, sizes, buckets, block), COUNTS)
-    return stored(found.groupBy("bucket").applyInArrow(_sums(threshold), SUMS), label)
+    return stored(found.groupBy("bucket").applyInArrow(_sums(threshold), SUMS), label, BATCH_ROWS)
 
 
 def frequent_phrases(
