@@ -25,8 +25,11 @@ from millrace.sources import table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model scores TOXIC or more."""
-    scored = toxicity_model(spark, sf_dir, docs).score(docs)
-    return scored.where(F.col("score") < TOXIC).select(*[c for c in docs.columns if c in scored.columns])
+    # A column that is called as the model's own goes by another name meanwhile.
+    aside = {c: f"_given_{c}" for c in docs.columns if c.lower() == "score"}
+    scored = toxicity_model(spark, sf_dir, docs).score(docs.withColumnsRenamed(aside))
+    kept = scored.where(F.col("score") < TOXIC).drop("score")
+    return kept.withColumnsRenamed({there: here for here, there in aside.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
