@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.money import cents
 from millrace.plans.registry import Registry
-from millrace.sources import stream_table
+from millrace.sources import arriving, stream_table, table
 from millrace.streaming.drain import drain, session_conf
 from millrace.streaming.matching import once_each, stream_interval_join
 from millrace.streaming.state import largest_of_day
@@ -35,7 +35,7 @@ def _stamp(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-@registry.query("""
+_HOURS_SQL = """
     WITH closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS upto FROM events)
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
            event_type, count(*) AS n,
@@ -43,7 +43,10 @@ def _stamp(name: str):
     FROM events, closed
     WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= upto
     GROUP BY ALL
-""")
+"""
+
+
+@registry.query(_HOURS_SQL)
 def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = {"n": F.lit(1), "cents": cents("value")}
     found = stream_window_sums(_events(spark, sf_dir), "ts", "1 hour", None, ["event_type"], sums)
@@ -51,6 +54,16 @@ def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(_stamp("window_start"), "event_type", "n", "cents")
 
 
+@registry.query(_HOURS_SQL)
+def streamed_hours_in_batches(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The events arrive in four pieces, each a micro-batch, and windows cross their edges."""
+    events = arriving(table(spark, sf_dir, "events"), "ts", 4, 2, "events")
+    sums = {"n": F.lit(1), "cents": cents("value")}
+    found = stream_window_sums(on_event_time(events, "ts", DELAY), "ts", "1 hour", None, ["event_type"], sums)
+    done = drain(found, "hours-in-batches", folder)
+    return done.select(_stamp("window_start"), "event_type", "n", "cents")
+
+
 @registry.query("""
     WITH closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS upto FROM events),
     marked AS (

@@ -1,3 +1,3 @@
-from millrace.sources.tables import scratch_path, stream_table, table
+from millrace.sources.tables import arriving, scratch_path, stream_table, table
 
 __all__ = ["scratch_path", "stream_table", "table"]

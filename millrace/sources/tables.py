@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,29 @@ def stream_table(
     return reader.parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
+def arriving(df: DataFrame, at: str, pieces: int, files: int, label: str) -> DataFrame:
+    """The rows as a stream of files that arrive piece by piece in order of the time `at`.
+
+    The pieces hold about equally many rows. Each is written as `files` files, and as many are
+    taken at a time, so that a piece is a micro-batch.
+    """
+    spark = df.sparkSession
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    shares = [k / pieces for k in range(1, pieces)]
+    found = df.agg(F.percentile_approx(when, shares, 10_000)).first()[0] if shares else []
+    edges = [None, *(found or []), None]
+    folder = scratch_path(spark, label)
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (when > low)
+        if high is not None:
+            inside = inside & (when <= high)
+        # Rows without a time come first.
+        df.where(F.coalesce(inside, F.lit(k == 0))).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder in the checkpoint folder that the session or its context names.
 

@@ -10,7 +10,8 @@ from oracle import spark_rows
 from pyspark.sql import functions as F
 
 from millrace.functions.money import cents
-from millrace.sources import scratch_path, table
+from millrace.plans.streams import streamed_hours, streamed_hours_in_batches
+from millrace.sources import arriving, scratch_path, table
 from millrace.streaming.drain import drain
 from millrace.streaming.matching import once_each, stream_interval_join
 from millrace.streaming.state import largest_of_day
@@ -169,3 +170,20 @@ def test_largest_of_day_over_batches_with_a_late_row(spark, events):
     rows = [tuple(r) for r in found.select("key", "day", "place", "id", "amount").collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == expected
+
+
+def test_registered_stream_runs_in_several_batches(spark):
+    """One micro-batch for each piece, and the windows of one batch."""
+    folder = scratch_path(spark, "several")
+    found = spark_rows(streamed_hours_in_batches(spark, SMALL, folder))
+    assert found == spark_rows(streamed_hours(spark, SMALL))
+    commits = spark.read.text(f"{folder}/progress/commits").select(F.input_file_name()).distinct().count()
+    assert commits >= 4
+
+
+def test_rows_arrive_in_order_of_time(spark):
+    rows = table(spark, SMALL, "events").select("event_id", "ts")
+    nulls = rows.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    for given, pieces in ((rows.unionByName(nulls), 3), (nulls, 3), (rows.limit(0), 2)):
+        done = drain(arriving(given, "ts", pieces, 2, "test-arriving"), "test-arrived")
+        assert spark_rows(done) == spark_rows(given)
