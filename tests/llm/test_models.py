@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.language_model import WEIGHT, asked, built, count_of, levels_of, score_texts
 from millrace.llm.queries.classifiers import TOXIC, remainder
-from millrace.llm.toxicity import fit_toxicity
+from millrace.llm.toxicity import fit_toxicity, sampled_labels
 from millrace.llm.words import mix
 
 
@@ -39,6 +39,23 @@ def test_without_labels_insults_alone_decide(spark):
     assert found[1] >= TOXIC and found[4] >= TOXIC and found[2] < TOXIC and found[3] < TOXIC
 
 
+def test_few_labels_still_grow_trees_and_calibrate(spark):
+    """Six toxic rows, of which each fold has some."""
+    rows = [(k, passage(k, 60) + (" trash slurword idiot" if k % 10 == 0 else ""), int(k % 10 == 0)) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(table, table.select("doc_id", "toxic"))
+    assert model.trees is not None and model.calibration is not None
+    assert model.score(table.limit(0)).isEmpty()
+    none = fit_toxicity(table.limit(0), table.select("doc_id", "toxic"))
+    assert none.trees is None and none.score(table.limit(0)).isEmpty()
+
+
+def test_a_class_that_is_cut_weighs_more(spark):
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1000)], "doc_id long, toxic int")
+    found = sampled_labels(labels, 150).groupBy("toxic", "weight").count().collect()
+    assert {tuple(r) for r in found} == {(1.0, 1.0, 100), (0.0, 6.0, 150)}
+
+
 def tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [w for w in re.split("[\x20\x09-\x0d]+", low) if w] + [None]

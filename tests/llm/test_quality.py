@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+
 import numpy as np
 from odd import docs, passage, passage_of
 
-from millrace.llm.decontamination import overlaps
+from millrace.llm.decontamination import AROUND, LEAST_EQUAL, LEAST_SHARE, MASKS, SPAN, overlaps, whole_masks
 from millrace.llm.host_rules import beta_prior, with_verdicts
 
 
@@ -76,6 +80,66 @@ def test_passages_are_found_with_substitutions_and_nothing_else_is(spark):
         assert found == {(1, 1), (2, 1), (3, 1), (None, 1), (9, 4), (10, 1)}
 
 
+def brute_overlaps(rows, bench):
+    """{(doc_id, item_id): n_equal} by laying every place of every text on every place of every item."""
+
+    def tokens(text):
+        return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+
+    def masks(n):
+        whole = [m for m in whole_masks(n)] if n <= SPAN else []
+        return [(m, False) for m in MASKS] + [(m, True) for m in whole]
+
+    best: dict = {}
+    items = {(i, tuple(tokens(t))) for i, t in bench}
+    for doc_id, text in rows:
+        words = tokens(text)
+        for item_id, item in items:
+            n = len(item)
+            if n < 2:
+                continue
+            for p in range(len(words)):
+                for q in range(n):
+                    hit = any(
+                        (q == 0 if whole else q + SPAN <= n) and p + len(m) <= len(words)
+                        and all(words[p + k] == item[q + k] for k, bit in enumerate(m) if bit == "1")
+                        for m, whole in masks(n)
+                    )
+                    if hit:
+                        low = max(q - AROUND, 0)
+                        equal = sum(
+                            0 <= p + k - q < len(words) and words[p + k - q] == item[k]
+                            for k in range(low, min(low + 2 * AROUND, n))
+                        )
+                        best[doc_id, item_id] = max(best.get((doc_id, item_id), 0), equal)
+    sizes = dict((i, len(t)) for i, t in items)
+    return {
+        key: n for key, n in best.items()
+        if n >= min(LEAST_EQUAL, math.ceil(LEAST_SHARE * sizes[key[1]]))
+    }
+
+
+def test_overlaps_match_brute_force(spark):
+    """Texts of few different words, so that seeds hit by chance as well, and planted passages."""
+    draw = random.Random(8)
+    few = [f"v{k}" for k in range(4)]
+    bench = [(k, " ".join(draw.choices(few, k=draw.choice([3, 7, 12, 14, 20, 70])))) for k in range(12)]
+    bench += [(50 + k, passage(900 + k, 25)) for k in range(4)]
+    rows = [(k, " ".join(draw.choices(few, k=draw.choice([5, 40, 60])))) for k in range(12)]
+    for k in range(8):
+        words = passage(900 + k % 4, 25).split()[draw.randrange(4) :]
+        for place in draw.sample(range(len(words)), k):
+            words[place] = "other"
+        rows.append((100 + k, f"{passage(k, 30 + 97 * k)}, {' '.join(words)}. {passage(50 + k, 20)}"))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    expected = brute_overlaps(rows, bench)
+    assert len(expected) > 10
+    for block_rows in (50_000, 30):
+        found = {(r.doc_id, r.item_id): r.n_equal for r in overlaps(texts, items, block_rows).collect()}
+        assert found == expected
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     lengths = {n: passage_of(f"t{n}x", n) for n in (2, 3, 5, 6, 9, 11, 12)}
     bench = [*lengths.items(), (100, "Photosynthesis"), (101, "yes"), (102, "水は何度で沸騰しますか"), (103, "首都")]
