@@ -42,7 +42,7 @@ FREQUENT = 30
 SHARE, PROPOSED = 8, 2
 #: Bytes of text, and rows, that are counted together at most; only memory and traffic depend on
 #: them.
-BLOCK, BATCH_ROWS = 4 << 20, 600
+BLOCK, BATCH_ROWS = 4 << 20, 300
 #: Buckets for each partition of the input.
 BUCKETS_PER_PARTITION = 16
 
