@@ -25,10 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -41,7 +43,7 @@ from millrace.llm.words import BASES, MASK, slices, span_hashes, text_bytes
 
 #: Labelled rows of either class that are used for fitting, at most.
 SAMPLE = 10_000
-FOLDS = 3
+FOLDS = 2
 #: Entries of the learned lexicon, at most: the best by SURE's measure, of which the test tables
 #: give a few hundred. It travels with every task.
 ENTRIES = 2_000
@@ -347,13 +349,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
         featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2,
         minInstancesPerNode=5, maxBins=64, seed=7,
     )
+    # A fit is many small jobs one after the other, so those of all parts run side by side.
+    fold = F.col("fold")
+    fitted_on = [data.where(fold != k) for k in range(FOLDS)] + [data]
+    with ThreadPool(len(fitted_on)) as pool:
+        *others, final = pool.map(inheritable_thread_target(data.sparkSession)(trees.fit), fitted_on)
     held = [
-        ToxicityModel(keys, weights, trees.fit(data.where(F.col("fold") != k)), None)
-        .raw(data.where(F.col("fold") == k)).select("raw", "toxic", "weight")
-        for k in range(FOLDS)
-        if not data.where(F.col("fold") != k).isEmpty()
-    ]
+        ToxicityModel(keys, weights, other, None).raw(data.where(fold == k)).select("raw", "toxic", "weight")
+        for k, other in enumerate(others)
+    ]
     calibration = IsotonicRegression(
         featuresCol="raw", labelCol="toxic", weightCol="weight", predictionCol="calibrated"
     ).fit(reduce(DataFrame.unionByName, held))
-    return ToxicityModel(keys, weights, trees.fit(data), calibration)
+    return ToxicityModel(keys, weights, final, calibration)
