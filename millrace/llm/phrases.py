@@ -12,8 +12,9 @@ border, and frequent as its whole is, so it is a failure. So two passes at most
 search, whatever the sample and the filter's false hits; those only change how much is counted.
 
 The filter has a bounded number of bits, so what is broadcast is bounded. Every task counts a
-block of texts and sends each distinct phrase once with its count to the phrase's bucket; the
-number of buckets follows the input's partitions. Languages are part of a phrase's identity.
+block of texts and sends each distinct phrase once with its count to the phrase's bucket, in one
+row for each bucket; the number of buckets is fixed, so that rows follow the blocks. A bucket is
+read as a stream: only its distinct phrases are held. Languages are part of a phrase's identity.
 
 Defined results: a null text has no words, a null language is `und`; repeated rows count each;
 other columns are ignored; an empty table has no phrases. Phrases are told apart by 64-bit
@@ -43,8 +44,10 @@ SHARE, PROPOSED = 8, 2
 #: Bytes of text, and rows, that are counted together at most; only memory and traffic depend on
 #: them.
 BLOCK, BATCH_ROWS = 4 << 20, 300
-#: Buckets for each partition of the input.
-BUCKETS_PER_PARTITION = 16
+#: Buckets of a full pass, whatever the input's size; a pass over the sample has its share of them.
+BUCKETS = 1024
+#: Bytes of a bucket's rows that wait at least until they are added up.
+WAITING = 8 << 20
 
 #: No UTF-8 text holds these bytes: the end of a language, and of a phrase.
 LANGUAGE_ENDS, PHRASE_ENDS = 0xFF, 0xFE
@@ -215,33 +218,35 @@ def _counts(pick, size_of: range, buckets: int, block: int):
 SUMS = "lang string, size long, phrase string, f long, key long"
 
 
-def _sums(threshold: int):
+def _sums(threshold: int, waiting: int = WAITING):
     """The exact counts of one bucket's phrases that reach the threshold."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        data = np.frombuffer(b"".join(x.as_py() for x in rows.column("phrases")), dtype=np.uint8)
-        counts = np.frombuffer(b"".join(x.as_py() for x in rows.column("counts")), dtype="<u4")
-        stops = np.flatnonzero(data == PHRASE_ENDS) + 1
-        bounds = np.concatenate([[0], stops]).astype(np.int64)
-        found = pa.Array.from_buffers(
-            pa.large_binary(), len(stops), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
-        )
-        sums = pa.table({"entry": found, "f": pa.array(counts.astype(np.int64))})
-        sums = sums.group_by("entry").aggregate([("f", "sum")])
-        sums = sums.filter(pc.greater_equal(sums.column("f_sum"), threshold))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = added([_NO_ENTRIES])
+        parts, size = [], 0
+        totals: dict[str, int] = {}
+        for rows in batches:
+            for names, values in zip(rows.column("languages").to_pylist(), rows.column("totals").to_pylist(), strict=True):
+                for name, value in zip(names, values, strict=True):
+                    totals[name] = totals.get(name, 0) + value
+            parts.append(entries_in(rows))
+            size += parts[-1].nbytes
+            # As much waits as is held, so that an entry is added up a few times only.
+            if size >= max(waiting, sums.nbytes):
+                sums = added([sums, *parts])
+                parts, size = [], 0
+        if parts:
+            sums = added([sums, *parts])
+        sums = sums.filter(pc.greater_equal(sums.column("f"), threshold))
         out: dict[str, list] = {name: [] for name in ("lang", "size", "phrase", "f")}
-        for entry, f in zip(sums.column("entry").to_pylist(), sums.column("f_sum").to_pylist(), strict=True):
+        for entry, f in zip(sums.column("entry").to_pylist(), sums.column("f").to_pylist(), strict=True):
             language, phrase = entry[:-1].split(b"\xff")
             for name, value in zip(out, (language.decode(), phrase.count(b" ") + 1, phrase.decode(), f), strict=True):
                 out[name].append(value)
         keys = keys_of(out["phrase"], out["lang"], out["size"])
-        totals: dict[str, int] = {}
-        for names, values in zip(rows.column("languages").to_pylist(), rows.column("totals").to_pylist(), strict=True):
-            for name, value in zip(names, values, strict=True):
-                totals[name] = totals.get(name, 0) + value
         n = len(totals)
         columns = [[*totals, *out["lang"]], [0] * n + out["size"], [""] * n + out["phrase"], [*totals.values(), *out["f"]]]
-        return pa.table(
+        yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)]
             + [pa.array(np.concatenate([np.zeros(n, dtype=np.uint64), keys]).view(np.int64))],
             names=["lang", "size", "phrase", "f", "key"],
@@ -250,6 +255,27 @@ def _sums(threshold: int):
     return run
 
 
+_NO_ENTRIES = pa.table({"entry": pa.array([], pa.large_binary()), "f": pa.array([], pa.int64())})
+
+
+def entries_in(rows: pa.RecordBatch) -> pa.Table:
+    """The phrases and counts of COUNTS rows, one by one."""
+    data = np.frombuffer(b"".join(rows.column("phrases").to_pylist()), dtype=np.uint8)
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u4")
+    stops = np.flatnonzero(data == PHRASE_ENDS) + 1
+    bounds = np.concatenate([[0], stops]).astype(np.int64)
+    found = pa.Array.from_buffers(
+        pa.large_binary(), len(stops), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+    )
+    return pa.table({"entry": found, "f": pa.array(counts.astype(np.int64))})
+
+
+def added(parts: list[pa.Table]) -> pa.Table:
+    """Each entry once, with the sum of its counts."""
+    sums = pa.concat_tables(parts).group_by("entry", use_threads=False).aggregate([("f", "sum")])
+    return sums.select(["entry", "f_sum"]).rename_columns(["entry", "f"])
+
+
 def keys_of(phrases: list[str], languages: list[str], sizes: list[int]) -> np.ndarray:
     """The keys that grams_of gives these phrases."""
     if not phrases:
@@ -276,7 +302,7 @@ def frequent_phrases(
     """(lang, size, phrase, f) of every phrase of docs(doc_id, text, lang) with f >= frequent, and
     with size 0 the number of words of each language."""
     if buckets is None:
-        buckets = BUCKETS_PER_PARTITION * docs.rdd.getNumPartitions()
+        buckets = BUCKETS
     given = docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -287,7 +313,9 @@ def frequent_phrases(
     known = filter_of(texts.sparkSession.createDataFrame([], SUMS))
     for size in range(1, LONGEST + 1):
         flags = _first_of(known)
-        level = counted(sample, flags, range(size, size + 1), proposed, buckets, block, "phrases-sample").where("size > 0")
+        level = counted(
+            sample, flags, range(size, size + 1), proposed, max(buckets // share, 1), block, "phrases-sample"
+        ).where("size > 0")
         found = level if found is None else found.unionByName(level)
         known = filter_of(found)
         if level.isEmpty():

@@ -6,9 +6,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import phrases
 from millrace.llm.phrases import collocations, frequent_phrases
 from millrace.llm.queries.phrases import op11_phrase_mining
 
@@ -106,3 +109,39 @@ def test_ranks_stop_and_products_pass_64_bits(spark):
     got = sorted(map(tuple, collocations(table, 1, 80, 2_000_000).collect()))
     score = 2_000_000 * (big - 1) // (2 * big - 1)
     assert got == [("x", 1, "a b", big - 1, big, big - 1, big, score)]
+
+
+def test_a_block_sends_as_many_rows_however_many_partitions(spark, monkeypatch):
+    """Else rows grow with blocks times partitions, the square of the input."""
+    real, sent = phrases.counted, []
+
+    def seen(texts, pick, sizes, threshold, buckets, block, label):
+        sent.append(texts.mapInArrow(phrases._counts(pick, sizes, buckets, block), phrases.COUNTS).count())
+        return real(texts, pick, sizes, threshold, buckets, block, label)
+
+    monkeypatch.setattr(phrases, "counted", seen)
+    texts = [(k, " ".join(f"w{k * j}" for j in range(200)), "en") for k in range(8)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string").checkpoint()
+    found = []
+    for partitions in (8, 64):
+        frequent_phrases(table.repartition(partitions, "doc_id"), block=1)
+        found.append([*sent])
+        sent.clear()
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("waiting", [1, 1 << 20])
+def test_a_bucket_is_added_up_batch_by_batch(waiting):
+    def batch(phrases_, counts, languages, totals):
+        ends = b"".join(b"en\xff" + p + b"\xfe" for p in phrases_)
+        return pa.record_batch(
+            [pa.array([0]), pa.array([ends]), pa.array([np.array(counts, "<u4").tobytes()]),
+             pa.array([languages], pa.list_(pa.string())), pa.array([totals], pa.list_(pa.int64()))],
+            ["bucket", "phrases", "counts", "languages", "totals"],
+        )
+
+    batches = [batch([b"a b", b"c"], [2, 1], ["en"], [7]), batch([], [], [], []), batch([b"c", b"a b"], [1, 4], ["en"], [5])]
+    (found,) = phrases._sums(3, waiting)(iter(batches))
+    assert [(r["lang"], r["size"], r["phrase"], r["f"]) for r in found.to_pylist()] == [
+        ("en", 0, "", 12), ("en", 2, "a b", 6)
+    ]
