@@ -114,3 +114,22 @@ def test_levels_are_counted_only_for_a_dense_rank(spark):
 def test_distinct_sketches_are_merged(spark):
     plan = QUERIES["approximate_distinct_counts"].build(spark, SMALL)._jdf.queryExecution().toString()
     assert "hll_union_agg" in plan
+
+
+def test_no_order_has_a_sketch_of_its_own(spark):
+    """Sketches are aggregated by flag and status only; beside a distinct count Spark would keep
+    one for each order of a flag."""
+    plan = QUERIES["approximate_distinct_counts"].build(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketched
+    assert all("keys=[l_returnflag" in line and "l_orderkey" not in line.split("functions=")[0] for line in sketched)
+
+
+def test_orders_and_flags_without_a_value(spark, tmp_path):
+    lines = [(k % 40 if k % 7 else None, [None, "A", "N"][k % 3], "OF"[k % 2], k) for k in range(400)]
+    lines += [(None, "R", "O", 1)]
+    columns = "l_orderkey long, l_returnflag string, l_linestatus string, n_orders long"
+    spark.createDataFrame(lines, columns).repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {tuple(r) for r in QUERIES["approximate_distinct_counts"].build(spark, str(tmp_path)).collect()}
+    orders = {flag: {key for key, own, *_ in lines if own == flag and key is not None} for _, flag, *_ in lines}
+    assert found == {(flag, len(own), True, True) for flag, own in orders.items()}
